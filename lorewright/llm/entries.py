@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from .ann import op4_nearest
 from .bpe import op2_bpe
+from .dedup import op7_near_duplicates
+from .html import op3_html
 from .mixing import OP8_SQL, op8_source_mix
 from .pii import op5_pii
 from .quality import OP10_SQL, op10_quality_rules
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
+    "op3_html": op3_html,
+    "op4_nearest": op4_nearest,
     "op5_pii": op5_pii,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_source_mix": op8_source_mix,
     "op10_quality_rules": op10_quality_rules,
 }

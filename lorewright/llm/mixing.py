@@ -54,7 +54,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
     level = (F.col("all") - F.col("capped")) / F.col("left")
     s = s.withColumn("level", F.when(level * F.col("weight") < F.col("cap"), level))
-    level = F.min("level").over(W.partitionBy())
+    # the first source in the order that stays below its cap gives the ratio; later ones would give less
+    level = F.max("level").over(W.partitionBy())
     return s.select("source", "source_size", "rank", F.coalesce(F.least(F.col("cap"), level * F.col("weight")), F.col("cap")).alias("target"))
 
 
@@ -76,8 +77,8 @@ def schedule(spark: SparkSession, tgt: DataFrame, block: int = BLOCK) -> DataFra
 
     A source that the points give too few slots gets the rest after all others.
     """
-    need = tgt.select("rank", "target", F.ceil(F.col("target") / block).cast("long").alias("need"))
-    n = need.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]
+    need = tgt.select("rank", "target", F.ceil(F.floor("target") / block).cast("long").alias("need"))
+    n, sources = need.agg(F.coalesce(F.sum("need"), F.lit(0)), F.count("*")).first()
     edges = need.withColumn("hi", F.sum("target").over(W.orderBy("rank"))).withColumn("all", F.sum("target").over(W.partitionBy()))
     edges = edges.select(F.coalesce(F.lag("hi").over(W.orderBy("rank")), F.lit(0.0)).alias("lo"), "hi", "all", "rank", "need").filter("hi > lo")
     edges = edges.select("rank", "need", (F.col("lo") / F.col("all")).alias("lo"), (F.col("hi") / F.col("all")).alias("hi"))
@@ -95,7 +96,7 @@ def schedule(spark: SparkSession, tgt: DataFrame, block: int = BLOCK) -> DataFra
     got = part.groupBy("rank").agg(F.sum("n").alias("got"))
     rest = need.join(got, "rank", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < need")
     rest = rest.select("rank", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("turn"))
-    return main.unionByName(rest.select((F.lit(n) + F.col("turn")).alias("slot"), "rank", "turn"))
+    return main.unionByName(rest.select((F.lit(n) + F.col("turn") * sources + F.col("rank") - 1).alias("slot"), "rank", "turn"))
 
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = 0, block: int = BLOCK, keep_text: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +139,7 @@ sou AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDE
 wei AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][(rank - 1) % {len(WEIGHTS)} + 1] AS weight, {MOST} * source_size::DOUBLE AS cap FROM sou),
 lev AS (SELECT *, ({SHARE} * sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM wei),
-tar AS (SELECT *, least(cap, coalesce((SELECT min(level) FROM lev WHERE level * weight < cap) * weight, cap)) AS target FROM lev),
+tar AS (SELECT *, least(cap, coalesce((SELECT max(level) FROM lev WHERE level * weight < cap) * weight, cap)) AS target FROM lev),
 lay AS (SELECT s.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
     FROM siz s JOIN tar t ON s.source IS NOT DISTINCT FROM t.source),
 mixed AS (SELECT *, least(greatest(floor(target)::BIGINT - start, 0), size) AS taken_1, least(greatest(floor(target)::BIGINT - start - source_size, 0), size) AS taken_2 FROM lay)"""
