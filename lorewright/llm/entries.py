@@ -8,7 +8,9 @@ from .dedup import op7_near_duplicates
 from .html import op3_html
 from .mixing import OP8_SQL, op8_source_mix
 from .pii import op5_pii
+from .ppm import op6_lm_score
 from .quality import OP10_SQL, op10_quality_rules
+from .suffixes import op9_suffix_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {
@@ -17,8 +19,10 @@ QUERIES = {
     "op3_html": op3_html,
     "op4_nearest": op4_nearest,
     "op5_pii": op5_pii,
+    "op6_lm_score": op6_lm_score,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_source_mix": op8_source_mix,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
