@@ -40,6 +40,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that every executor can hold: some 30 MB.
+FEW_IDS = 1_000_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose key is (or is not: left_anti) among ids, a stored table of distinct keys.
+
+    Up to FEW_IDS are broadcast, so that wide rows stay where they are; more are joined by a shuffle.
+    """
+    return df.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, key, how)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of results that are no longer referenced, before more are written."""
     gc.collect()

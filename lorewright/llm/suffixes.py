@@ -27,37 +27,49 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, release, stage
-from .hashing import mix, prefix, ranges
+from .common import read, release, stage, with_ids
+from .hashing import INVERSE, mix, powers, prefix, ranges
 
 LENGTH, ANCHOR = 50, 32
 #: Text of a bucket of step 1, bytes scanned at once, and passages of a partition of step 2.
-BUCKET_BYTES, PIECE, PART_ROWS = 16 << 20, 4 << 20, 400_000
+BUCKET_BYTES, PIECE, PART_ROWS = 8 << 20, 1 << 20, 400_000
+#: Text whose runs are sent together.
+SEND_BYTES = 8 << 20
 #: Low bits of a window's entry that hold the place; the others are the hash.
 PLACE = np.uint64(28)
 
 
-def runs(b: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first passage, last passage, hash of the anchor, hash of all bytes) of each run of passages."""
+def runs(b: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first passage, last passage, hash of the anchor, hash of all bytes) of each run of passages.
+
+    b holds texts end to end, ends their ends. No passage reaches over an end.
+    """
     n, width = len(b) - length + 1, length - anchor + 1
     if n <= 0:
         none = np.zeros(0, np.uint64)
         return none.astype(np.int64), none.astype(np.int64), none, none
     p = prefix(b)
-    starts = np.arange(len(b) - anchor + 1)
-    grams = ranges(p, starts, starts + anchor)
-    least = ((grams >> PLACE) << PLACE) | starts.astype(np.uint64)
+    grams = (p[anchor:] - p[:-anchor]) * powers(INVERSE, len(b) - anchor + 1)
+    least = (grams >> PLACE) << PLACE
+    least |= np.arange(len(grams), dtype=np.uint64)
     span = 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if width > span:
-        least = np.minimum(least[: n], least[width - span : width - span + n])
-    at = (least[:n] & np.uint64((1 << 28) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    last = np.append(first[1:], n) - 1
-    whole = ranges(p, first, last + length) + (at[first] - first).astype(np.uint64)
-    return first, last, grams[at[first]], mix(whole * np.uint64(64) + (last - first).astype(np.uint64))
+        least = np.minimum(least[:n], least[width - span : width - span + n])
+    at = least[:n] & np.uint64((1 << 28) - 1)
+    new = np.append(True, at[1:] != at[:-1])
+    valid = np.ones(n, bool)
+    for e in ends[:-1]:
+        valid[max(0, e - length + 1) : e] = False
+        if e < n:
+            new[e] = True
+    first = np.flatnonzero(new & valid)
+    stop = np.flatnonzero(np.append((new | ~valid)[1:], True) & valid)
+    anchors = at[first].astype(np.int64)
+    whole = ranges(p, first, stop + length) + (anchors - first).astype(np.uint64)
+    return first, stop, mix(grams[anchors]), mix(whole * np.uint64(64) + (stop - first).astype(np.uint64))
 
 
 ENTRY = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("doc", "<u4"), ("first", "<u4"), ("more", "u1")])
@@ -121,17 +133,49 @@ def _by_document(doc: np.ndarray, first: np.ndarray, more: np.ndarray) -> dict[i
 def send(docs: DataFrame, buckets: int) -> DataFrame:
     """docs (rid, doc_id, text) to packed runs by bucket. Rows with n = 0 hold what is known to go already."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Bytes of about PIECE, the ends of the texts in them, whose texts these are, and where they start in these."""
+        held, whose, size = [], [], 0
+        for k, t in enumerate(texts):
+            if len(t) < LENGTH:
+                continue
+            if len(t) > PIECE:
+                x = np.frombuffer(t, np.uint8)
+                for at in range(0, len(t) - LENGTH + 1, PIECE):
+                    part = x[at : at + PIECE + LENGTH - 1]
+                    yield part, np.array([len(part)]), np.array([k]), np.array([at])
+                continue
+            held.append(t)
+            whose.append(k)
+            size += len(t)
+            if size >= PIECE:
+                yield np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(h) for h in held]), np.array(whose), np.zeros(len(held), np.int64)
+                held, whose, size = [], [], 0
+        if held:
+            yield np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(h) for h in held]), np.array(whose), np.zeros(len(held), np.int64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+        """(rids, ids, texts) of about SEND_BYTES."""
         for b in batches:
             rids, ids = b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            parts = []
+            texts, size, start = [], 0, 0
             for k, t in enumerate(b.column(2)):
-                x = np.frombuffer(t.as_py().encode(), np.uint8)
-                for at in range(0, max(0, len(x) - LENGTH + 1), PIECE):
-                    first, last, gram, whole = runs(x[at : at + PIECE + LENGTH - 1])
-                    e = np.zeros(len(first), ENTRY)
-                    e["gram"], e["whole"], e["doc"], e["first"], e["more"] = gram, whole, k, first + at, last - first
-                    parts.append(e)
+                texts.append(t.as_py().encode())
+                size += len(texts[-1])
+                if size >= SEND_BYTES or k == b.num_rows - 1:
+                    yield rids[start : k + 1], ids[start : k + 1], texts
+                    texts, size, start = [], 0, k + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rids, ids, texts in cut(batches):
+            parts = []
+            for x, ends, whose, start in pieces(texts):
+                first, last, gram, whole = runs(x, ends)
+                text = np.searchsorted(ends, first, side="right")
+                e = np.zeros(len(first), ENTRY)
+                e["gram"], e["whole"], e["doc"], e["more"] = gram, whole, whose[text], last - first
+                e["first"] = first - np.append(0, ends[:-1])[text] + start[text]
+                parts.append(e)
             x = np.concatenate(parts) if parts else np.zeros(0, ENTRY)
             order, group, heads = _equal_groups(x, ids[x["doc"]])
             x = x[order]
@@ -278,12 +322,15 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     found = stage(found, "runs")
     release(docs.sparkSession)
     asked = found.agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0]
-    question = found.filter("octet_length(question) > 0").groupBy("rid").agg(F.collect_list("question").alias("pieces"))
-    again = repeated(suffixes(long_, question), asked)
+    question = found.filter("octet_length(question) > 0")
+    rids = stage(question.select("rid").distinct(), "rids")
+    question = question.groupBy("rid").agg(F.collect_list("question").alias("pieces"))
+    again = stage(repeated(suffixes(with_ids(long_, rids, "rid"), question), asked), "repeated")
     release(docs.sparkSession)
     single = again.groupBy("rid").agg(F.array_sort(F.collect_set("at")).alias("at"))
     many = found.filter("octet_length(removed) > 0").groupBy("rid").agg(F.collect_list("removed").alias("removed"))
     gone = many.join(single, "rid", "full")
+    rids = stage(found.filter("octet_length(removed) > 0").select("rid").unionByName(again.select("rid")).distinct(), "rids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -310,7 +357,9 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             kinds = {"kept_sha256": pa.string(), "kept": pa.binary()}
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, kinds.get(c, pa.int64())) for c, v in columns.items())], names=["doc_id", *columns])
 
-    j = d.join(gone, "rid", "left").select("doc_id", "text", "removed", "at")
+    # texts that lose nothing stay where they are
+    whole = with_ids(d, rids, "rid", "left_anti").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("removed"), F.lit(None).cast("array<long>").alias("at"))
+    j = with_ids(d, rids, "rid").join(gone, "rid").select("doc_id", "text", "removed", "at").unionByName(whole)
     return j.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
