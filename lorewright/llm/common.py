@@ -40,6 +40,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(staged: DataFrame) -> None:
+    """Delete the files of a table that stage() wrote, once nothing that is still to run reads it."""
+    jvm, conf = staged.sparkSession._jvm, staged.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    shared = jvm.org.apache.hadoop.fs.Path(shared_dir(staged.sparkSession)).getName()
+    for folder in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getParent().getName() == shared:
+            path.getFileSystem(conf).delete(path, True)
+
+
 #: Ids that every executor can hold: some 30 MB.
 FEW_IDS = 1_000_000
 

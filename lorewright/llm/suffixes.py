@@ -19,7 +19,7 @@ before it is sent: of equal runs in a batch only the smallest id's travels.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, release, stage, with_ids
+from .common import discard, read, release, stage, with_ids
 from .hashing import INVERSE, mix, powers, prefix, ranges
 
 LENGTH, ANCHOR = 50, 32
@@ -98,7 +98,10 @@ def _entries(z: bytes, n: int) -> np.ndarray:
 
 
 SENT = "bucket int, n int, entries binary, doc_ids binary, rids binary"
-FOUND = "rid long, removed binary, question binary, asked long"
+#: Runs of a bucket that are removed (kind 0) or in question (1), for the documents of one slice.
+FOUND = "slice int, kind int, rids binary, counts binary, pairs binary"
+#: The same for one document, from all buckets, with the number of passages in question.
+GATHERED = "rid long, removed binary, question binary, asked long"
 
 
 def _equal_groups(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,50 +199,88 @@ def send(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("rid", "doc_id", "text").mapInArrow(run, SENT)
 
 
-def _settle(rows: pa.Table) -> pa.Table:
-    """One bucket: what goes, and what stays in question, by document."""
-    out: dict[str, list] = {"rid": [], "removed": [], "question": [], "asked": []}
-    parts, ids, rids, base = [], [], [], 0
-    for n, entries, i, r in zip(rows["n"].to_pylist(), rows["entries"], rows["doc_ids"], rows["rids"], strict=True):
-        i, r = np.frombuffer(i.as_py(), np.int64), np.frombuffer(r.as_py(), np.int64)
-        if n:
-            e = _entries(entries.as_py(), n)
-            e["doc"] += base
-            parts.append(e)
-            ids.append(i)
-            rids.append(r)
-            base += len(i)
-        else:
-            for column, value in zip(out.values(), (int(r[0]), entries.as_py(), b"", 0), strict=True):
-                column.append(value)
-    if parts:
-        x, ids, rids = np.concatenate(parts), np.concatenate(ids), np.concatenate(rids)
-        order, group, heads = _equal_groups(x, ids[x["doc"]])
-        x, own = x[order], ids[x["doc"][order]]
-        again = own > own[heads][group]
-        # anchors with differing runs and more than one document
-        gram_new = np.append(True, x["gram"][1:] != x["gram"][:-1])
-        gram, starts = np.cumsum(gram_new) - 1, np.flatnonzero(gram_new)
-        kinds = np.bincount(gram[heads], minlength=len(starts))
-        mixed = (kinds > 1) & (np.maximum.reduceat(own, starts) != np.minimum.reduceat(own, starts))
-        asked = ~again & mixed[gram]
-        removed = _by_document(x["doc"][again], x["first"][again], x["more"][again])
-        question = _by_document(x["doc"][asked], x["first"][asked], x["more"][asked])
-        passages = np.bincount(x["doc"][asked], weights=x["more"][asked] + 1.0, minlength=base)
-        for d in removed.keys() | question.keys():
-            for column, value in zip(out.values(), (int(rids[d]), removed.get(d, b""), question.get(d, b""), int(passages[d])), strict=True):
-                column.append(value)
-    return pa.table({"rid": pa.array(out["rid"], pa.int64()), "removed": pa.array(out["removed"], pa.binary()), "question": pa.array(out["question"], pa.binary()), "asked": pa.array(out["asked"], pa.int64())})
+def _per_slice(kind: int, rid: np.ndarray, pairs: np.ndarray, slices: int) -> Iterator[tuple]:
+    """Rows of FOUND, one for each slice of documents that has any of these (first, last) passages."""
+    part = (rid.view(np.uint64) % np.uint64(slices)).astype(np.int64)
+    order = np.lexsort((rid, part))
+    part, rid, pairs = part[order], rid[order], pairs[order]
+    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else [], len(part)).astype(np.int64)
+    for start, stop in zip(edges[:-1], edges[1:], strict=True):
+        own, counts = np.unique(rid[start:stop], return_counts=True)
+        yield int(part[start]), kind, own.tobytes(), counts.astype("<u4").tobytes(), pairs[start:stop].astype("<u4").tobytes()
+
+
+def settle(slices: int) -> Callable[[pa.Table], pa.Table]:
+    """One bucket: what goes, and what stays in question, in a row for each slice of documents."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        parts, ids, rids, base = [], [], [], 0
+        known: list[tuple[np.ndarray, np.ndarray]] = []
+        for n, entries, i, r in zip(rows["n"].to_pylist(), rows["entries"], rows["doc_ids"], rows["rids"], strict=True):
+            i, r = np.frombuffer(i.as_py(), np.int64), np.frombuffer(r.as_py(), np.int64)
+            if n:
+                e = _entries(entries.as_py(), n)
+                e["doc"] += base
+                parts.append(e)
+                ids.append(i)
+                rids.append(r)
+                base += len(i)
+            else:
+                pairs = np.frombuffer(entries.as_py(), "<u4").reshape(-1, 2)
+                known.append((np.repeat(r, len(pairs)), pairs))
+        out: list[tuple] = []
+        if parts:
+            x, ids, rids = np.concatenate(parts), np.concatenate(ids), np.concatenate(rids)
+            order, group, heads = _equal_groups(x, ids[x["doc"]])
+            x, own = x[order], ids[x["doc"][order]]
+            again = own > own[heads][group]
+            # anchors with differing runs and more than one document
+            gram_new = np.append(True, x["gram"][1:] != x["gram"][:-1])
+            gram, starts = np.cumsum(gram_new) - 1, np.flatnonzero(gram_new)
+            kinds = np.bincount(gram[heads], minlength=len(starts))
+            mixed = (kinds > 1) & (np.maximum.reduceat(own, starts) != np.minimum.reduceat(own, starts))
+            asked = ~again & mixed[gram]
+            pairs = np.stack([x["first"], x["first"] + x["more"]], 1)
+            known.append((rids[x["doc"][again]], pairs[again]))
+            out += _per_slice(1, rids[x["doc"][asked]], pairs[asked], slices)
+        if known:
+            out += _per_slice(0, np.concatenate([r for r, _ in known]), np.concatenate([p for _, p in known]), slices)
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        kinds_ = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({name: pa.array(c, k) for name, c, k in zip(("slice", "kind", "rids", "counts", "pairs"), columns, kinds_, strict=True)})
+
+    return run
+
+
+def _gather(rows: pa.Table) -> pa.Table:
+    """One slice of documents: the runs of each document from all buckets."""
+    found: list[dict[int, bytes]] = [{}, {}]
+    asked: dict[int, int] = {}
+    for kind in (0, 1):
+        mine = [k for k, x in enumerate(rows["kind"].to_pylist()) if x == kind]
+        if not mine:
+            continue
+        joined = [np.frombuffer(b"".join(rows[c][k].as_py() for k in mine), t) for c, t in (("rids", np.int64), ("counts", "<u4"), ("pairs", "<u4"))]
+        rid, pairs = np.repeat(joined[0], joined[1]), joined[2].reshape(-1, 2)
+        order = np.argsort(rid, kind="stable")
+        rid, pairs = rid[order], pairs[order]
+        cuts = np.flatnonzero(rid[1:] != rid[:-1]) + 1
+        for r, p in zip(rid[np.append(0, cuts)].tolist(), np.split(pairs, cuts), strict=True):
+            found[kind][r] = p.tobytes()
+            if kind:
+                asked[r] = int((p[:, 1].astype(np.int64) - p[:, 0] + 1).sum())
+    rids = sorted(found[0].keys() | found[1].keys())
+    return pa.table({"rid": pa.array(rids, pa.int64()), **{name: pa.array([f.get(r, b"") for r in rids], pa.binary()) for name, f in zip(("removed", "question"), found, strict=True)}, "asked": pa.array([asked.get(r, 0) for r in rids], pa.int64())})
 
 
 def suffixes(docs: DataFrame, question: DataFrame) -> DataFrame:
-    """(suffix, doc_id, rid, at): the first LENGTH bytes at each passage in question. question: (rid, pieces)."""
+    """(suffix, doc_id, rid, at): the first LENGTH bytes at each passage in question. question: (rid, question)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 x = np.frombuffer(b.column(2)[k].as_py().encode(), np.uint8)
-                pairs = np.frombuffer(b"".join(b.column(3)[k].as_py()), "<u4").reshape(-1, 2).astype(np.int64)
+                pairs = np.frombuffer(b.column(3)[k].as_py(), "<u4").reshape(-1, 2).astype(np.int64)
                 at = np.concatenate([np.arange(f, u + 1) for f, u in pairs])
                 for cut in range(0, len(at), 100_000):
                     part = at[cut : cut + 100_000]
@@ -248,7 +289,7 @@ def suffixes(docs: DataFrame, question: DataFrame) -> DataFrame:
                     suffix = pa.Array.from_buffers(pa.binary(LENGTH), len(part), [None, flat]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([suffix, one(b.column(1)[k]), one(b.column(0)[k]), pa.array(part)], names=["suffix", "doc_id", "rid", "at"])
 
-    return docs.join(question, "rid").select("rid", "doc_id", "text", "pieces").mapInArrow(run, "suffix binary, doc_id long, rid long, at long")
+    return docs.join(question, "rid").select("rid", "doc_id", "text", "question").mapInArrow(run, "suffix binary, doc_id long, rid long, at long")
 
 
 def multikey_order(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -318,17 +359,20 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     long_ = d.filter(F.octet_length("text") >= LENGTH).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = max(1, -(-size // BUCKET_BYTES))
-    found = send(long_, buckets).groupBy("bucket").applyInArrow(_settle, FOUND)
-    found = stage(found, "runs")
+    # as many slices of documents as buckets: a slice takes one row of each bucket at most, and holds the runs of some BUCKET_BYTES
+    found = send(long_, buckets).groupBy("bucket").applyInArrow(settle(buckets), FOUND)
+    settled = stage(found, "settled")
+    release(docs.sparkSession)
+    found = stage(settled.groupBy("slice").applyInArrow(_gather, GATHERED), "runs")
+    discard(settled)
     release(docs.sparkSession)
     asked = found.agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0]
-    question = found.filter("octet_length(question) > 0")
-    rids = stage(question.select("rid").distinct(), "rids")
-    question = question.groupBy("rid").agg(F.collect_list("question").alias("pieces"))
+    question = found.filter("octet_length(question) > 0").select("rid", "question")
+    rids = stage(question.select("rid"), "rids")
     again = stage(repeated(suffixes(with_ids(long_, rids, "rid"), question), asked), "repeated")
     release(docs.sparkSession)
     single = again.groupBy("rid").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    many = found.filter("octet_length(removed) > 0").groupBy("rid").agg(F.collect_list("removed").alias("removed"))
+    many = found.filter("octet_length(removed) > 0").select("rid", "removed")
     gone = many.join(single, "rid", "full")
     rids = stage(found.filter("octet_length(removed) > 0").select("rid").unionByName(again.select("rid")).distinct(), "rids")
 
@@ -340,7 +384,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                 removed, at = b.column(2)[k].as_py(), b.column(3)[k].as_py()
                 edges = np.zeros(len(raw) + 1, np.int32)
                 if removed:
-                    pairs = np.frombuffer(b"".join(removed), "<u4").reshape(-1, 2).astype(np.int64)
+                    pairs = np.frombuffer(removed, "<u4").reshape(-1, 2).astype(np.int64)
                     np.add.at(edges, pairs[:, 0], 1)
                     np.add.at(edges, pairs[:, 1] + LENGTH, -1)
                 if at:
@@ -358,7 +402,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, kinds.get(c, pa.int64())) for c, v in columns.items())], names=["doc_id", *columns])
 
     # texts that lose nothing stay where they are
-    whole = with_ids(d, rids, "rid", "left_anti").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("removed"), F.lit(None).cast("array<long>").alias("at"))
+    whole = with_ids(d, rids, "rid", "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("removed"), F.lit(None).cast("array<long>").alias("at"))
     j = with_ids(d, rids, "rid").join(gone, "rid").select("doc_id", "text", "removed", "at").unionByName(whole)
     return j.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
