@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .functions import text  # noqa: F401
-from .operators import changes, graph, retrieval  # noqa: F401
+from .operators import changes, evidence, graph, retrieval, templates  # noqa: F401
+from .sources import files  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
