@@ -136,7 +136,7 @@ def tags(q: Column) -> Column:
     return F.array_compact(F.array(*(F.when(F.lower(q).rlike(v), F.lit(k)) for k, v in INTENTS.items())))
 
 
-_TAGGED = " UNION ALL ".join(f"SELECT item_id, text, '{k}' AS intent FROM benchmark WHERE regexp_matches(lower(text), '{v}')" for k, v in INTENTS.items())
+_TAGGED = " UNION ALL ".join(f"SELECT conv_id, turn, text, '{k}' AS intent FROM conversations WHERE regexp_matches(lower(text), '{v}')" for k, v in INTENTS.items())
 _HOLDS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS intent FROM documents WHERE regexp_matches(lower(text), '{v}')" for k, v in EVIDENCE.items())
 
 
@@ -147,18 +147,18 @@ def intent_evidence(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(F.explode(held).alias("intent")).groupBy("intent").agg(F.count("*").alias("documents"))
 
 
-@query("evidence_guard", "SELECT item_id, intent, NOT CASE intent " + " ".join(f"WHEN '{k}' THEN regexp_matches(lower(text), '{v}')" for k, v in EVIDENCE.items()) + f" END AS refused FROM ({_TAGGED})")
+@query("evidence_guard", "SELECT conv_id, turn, intent, NOT CASE intent " + " ".join(f"WHEN '{k}' THEN regexp_matches(lower(text), '{v}')" for k, v in EVIDENCE.items()) + f" END AS refused FROM ({_TAGGED})")
 def evidence_guard(spark: SparkSession, d: str) -> DataFrame:
-    """A question is refused for an intent whose evidence its context (here its passage) lacks."""
-    t = read(spark, d, "benchmark").select("item_id", "text", F.explode(tags(F.col("text"))).alias("intent"))
+    """A question is refused for an intent whose evidence its context (here its own turn) lacks."""
+    t = read(spark, d, "conversations").select("conv_id", "turn", "text", F.explode(tags(F.col("text"))).alias("intent"))
     held = F.coalesce(*(F.when(F.col("intent") == k, F.lower("text").rlike(v)) for k, v in EVIDENCE.items()))
-    return t.select("item_id", "intent", (~held).alias("refused"))
+    return t.select("conv_id", "turn", "intent", (~held).alias("refused"))
 
 
-@query("intent_expand", "SELECT item_id, CASE intent " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NEUTRAL.items()) + f" END AS term FROM ({_TAGGED})")
+@query("intent_expand", "SELECT conv_id, turn, CASE intent " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NEUTRAL.items()) + f" END AS term FROM ({_TAGGED})")
 def intent_expand(spark: SparkSession, d: str) -> DataFrame:
     terms = F.create_map(*(F.lit(x) for kv in NEUTRAL.items() for x in kv))
-    return read(spark, d, "benchmark").select("item_id", F.explode(tags(F.col("text"))).alias("intent")).select("item_id", F.element_at(terms, F.col("intent")).alias("term"))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.explode(tags(F.col("text"))).alias("intent")).select("conv_id", "turn", F.element_at(terms, F.col("intent")).alias("term"))
 
 
 @query("search_terms", "SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 4))) AS term FROM benchmark")
