@@ -1,15 +1,19 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
 Training counts every run of ORDER + 1 bytes of the training texts (lower-cased in A-Z, an end mark last);
-counts of shorter runs are sums of these. The trie keeps the runs of each length whose share of all is
-RARE at least: as many as 1 / RARE at most, however large the corpus, and of a run that is kept all its
-suffixes are kept. A byte is predicted from the longest context in the trie; if it was not seen there the
-model escapes to the next shorter context (method C: escapes count as often as there are distinct bytes)
-and excludes the bytes that the longer context would have predicted. Since a context's bytes are among
-those of its suffix, the escape chain of a context is a sum of constants of its nodes.
+counts of shorter runs are sums of these. A byte is predicted from the longest context that was seen; if it
+was not seen there the model escapes to the next shorter context (method C: escapes count as often as there
+are distinct bytes) and excludes the bytes that the longer context would have predicted. Since a context's
+bytes are among those of its suffix, the escape chain of a context is a sum of constants of its nodes.
+
+All counted runs take part. The prediction of a byte depends on its run alone, so runs are a table of
+predictions: those with a share of RARE or more, 1 / RARE at most, are broadcast; all others are joined with
+the documents that hold them. A run that training has not seen needs its escape chain: as far as contexts
+of two bytes or more go, all that it needs are runs that share the nearest two bytes of their contexts, so
+these are brought together, and the runs of one and two bytes (65,536 at most) are broadcast.
 
 Beside it the base score of a text: its words under an add-one unigram model of the training words.
-Counts of frequent words (a bounded number) are broadcast; all other words are joined.
+Counts of frequent words (a bounded number) are broadcast; all other words are joined, as the runs are.
 """
 
 from __future__ import annotations
@@ -19,19 +23,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import read, stage
 from .hashing import word_hashes
 
 ORDER = 5
+#: Byte runs with this share of all or more are broadcast: 1 / RARE at most.
 RARE = 2.0**-23
 #: Words with this share of the training words or more are broadcast: 1 / FREQUENT at most.
 FREQUENT = 2.0**-19
 #: Marks the end of a text, and fills the context before its start. No UTF-8 text holds this byte.
 END = 255
-#: Bytes handled at once.
+#: Bytes, or runs, handled at once.
 CHUNK = 1 << 21
+#: Sums of predictions are whole multiples of this, so that they don't depend on the order of rows.
+GRAIN = 2.0**-36
 
 
 def fold(doc_id: Column) -> Column:
@@ -200,19 +208,63 @@ class Model:
         return out
 
 
+def _suffixes(keys: np.ndarray, n: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the runs of j + 1 bytes from those of longer ones."""
+    out, place = np.unique(keys & np.uint64((1 << (8 * (j + 1))) - 1), return_inverse=True)
+    return out, np.bincount(place, weights=n, minlength=len(out))
+
+
 def build(counts: DataFrame) -> Model:
-    """The trie from the counts of byte runs: for each length those with a share of RARE at least."""
-    runs = counts.filter("kind = 1")
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    out = []
-    for j in range(ORDER + 1):
-        key = F.col("key").bitwiseAND((1 << (8 * (j + 1))) - 1) if j < 7 else F.col("key")
-        kept = runs.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).filter(F.col("n") >= max(1.0, total * RARE)).toArrow()
-        keys, n = kept["key"].to_numpy().view(np.uint64), kept["n"].to_numpy()
-        order = np.argsort(keys)
-        out.append((keys[order], n[order].astype(float)))
-    # the suffix of a kept run is kept too, as its count is no smaller
-    return Model(out, total)
+    """The whole trie in one place, for a corpus that fits there."""
+    runs = counts.filter("kind = 1").select("key", "n").toArrow()
+    keys, n = runs["key"].to_numpy().view(np.uint64), runs["n"].to_numpy().astype(float)
+    return Model([_suffixes(keys, n, j) for j in range(ORDER + 1)], n.sum())
+
+
+def predictions(runs: DataFrame) -> DataFrame:
+    """(key, n, value) of each seen run: log10 of its count by that of its context and the context's distinct bytes."""
+    context = W.partitionBy(F.shiftright("key", 8))
+    # with all runs kept a context occurred as often as they follow it
+    return runs.select("key", "n", (F.log10(F.col("n").cast("double")) - F.log10((F.sum("n").over(context) + F.count("*").over(context)).cast("double"))).alias("value"))
+
+
+def escapes(runs: DataFrame, unseen: DataFrame) -> DataFrame:
+    """(key, value) of runs that training has not seen. unseen: (key), distinct, none of them among runs."""
+    short = []
+    for j in (0, 1):
+        t = runs.groupBy(F.col("key").bitwiseAND((1 << (8 * (j + 1))) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+        short.append(_suffixes(t["key"].to_numpy().view(np.uint64), t["n"].to_numpy().astype(float), j))
+    total = short[0][1].sum()
+
+    def solve(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        seen, asked = n > 0, keys[n == 0]
+        if len(asked):
+            value = Model(short + [_suffixes(keys[seen], n[seen].astype(float), j) for j in range(2, ORDER + 1)], total).log10(asked)
+        else:
+            value = np.zeros(0)
+        return pa.RecordBatch.from_arrays([pa.array(asked.view(np.int64)), pa.array(value)], names=["key", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for b in batches:
+            held.append((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()))
+            size += b.num_rows
+            if size < CHUNK:
+                continue
+            keys, n = (np.concatenate(z) for z in zip(*held, strict=True))
+            pair = (keys >> np.uint64(8)) & np.uint64(0xFFFF)
+            cut = int(np.flatnonzero(pair == pair[-1])[0])  # the last pair may go on in the next batch
+            if cut:
+                yield solve(keys[:cut], n[:cut])
+            held, size = [(keys[cut:], n[cut:])], len(keys) - cut
+        if held:
+            yield solve(*(np.concatenate(z) for z in zip(*held, strict=True)))
+
+    pair = F.shiftright("key", 8).bitwiseAND(0xFFFF)
+    both = runs.select("key", "n").unionByName(unseen.select("key", F.lit(0).cast("long").alias("n")))
+    both = both.withColumn("pair", pair).repartition("pair").sortWithinPartitions("pair")
+    return both.select("key", "n").mapInArrow(run, "key long, value double")
 
 
 def score(docs: DataFrame, counts: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -227,11 +279,16 @@ def score(docs: DataFrame, counts: DataFrame, text: str = "text", doc_id: str =
     frequent = words.filter(F.col("n") >= max(1.0, n * FREQUENT)).select("key", "n")
     head = frequent.toArrow()
     keys = head["key"].to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast((build(counts), Table(keys), head["n"].to_numpy().astype(float)))
-    schema = "doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, score double, rare array<long>"
+    runs = counts.filter("kind = 1")
+    predicted = stage(predictions(runs), "predictions")
+    common = F.col("n") >= max(1.0, (runs.agg(F.sum("n")).first()[0] or 0) * RARE)
+    fast = predicted.filter(common).select("key", "value").toArrow()
+    # a run that is not in the table has row -1: the zero at the end
+    shared = docs.sparkSession.sparkContext.broadcast((Table(fast["key"].to_numpy().view(np.uint64)), np.append(fast["value"].to_numpy(), 0.0), Table(keys), head["n"].to_numpy().astype(float)))
+    schema = "doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, head_score double, rare array<struct<kind int, key long, c long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table, number = shared.value
+        run_table, value, table, number = shared.value
         for whole in batches:
             at = 0
             while at < whole.num_rows:
@@ -242,35 +299,45 @@ def score(docs: DataFrame, counts: DataFrame, text: str = "text", doc_id: str =
                 b = whole.slice(at, len(texts_))
                 at += len(texts_)
                 each = [codes(x) for x in texts_]
-                logs = model.log10(np.concatenate(each))
+                at_run = run_table.find(np.concatenate(each))
+                logs = value[at_run]
                 ends = np.cumsum([len(x) for x in each])
                 total = np.add.reduceat(logs, np.append(0, ends[:-1]))
                 tokens, known, sums, rare, offsets = [], [], [], [], [0]
-                for x in texts_:
+                for x, c, row_ in zip(texts_, each, np.split(at_run, ends[:-1]), strict=True):
                     h = word_hashes(x)
                     row = table.find(h)
                     tokens.append(len(h) + 1)
                     known.append(int((row >= 0).sum()))
                     sums.append(float(np.log10(number[row[row >= 0]] + 1).sum()))
-                    rare.append(h[row < 0].view(np.int64))
-                    offsets.append(offsets[-1] + len(rare[-1]))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(rare)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), pa.array(total), lists], names=["doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score", "rare"])
+                    for kind, missed in ((0, h[row < 0]), (1, c[row_ < 0])):
+                        key, times = np.unique(missed, return_counts=True)
+                        rare.append((np.full(len(key), kind, np.int32), key.view(np.int64), times.astype(np.int64)))
+                    offsets.append(offsets[-1] + len(rare[-2][0]) + len(rare[-1][0]))
+                parts = [pa.array(np.concatenate(z)) for z in zip(*rare, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, names=["kind", "key", "c"]))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), pa.array(total), lists], names=["doc_id", "held_out", "n_tokens", "head_known", "head_sum", "head_score", "rare"])
 
     scored = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (fold(F.col(doc_id)) == 2).alias("held_out"), text).mapInArrow(run, schema)
     scored = stage(scored.withColumn("uid", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("uid", F.explode("rare").alias("key")).groupBy("uid", "key").agg(F.count("*").alias("c"))
-    others = words.filter(F.col("n") < max(1.0, n * FREQUENT))
-    tail = tail.join(others, "key").groupBy("uid").agg(F.sum("c").alias("tail_known"), F.sum(F.col("c") * F.log10(F.col("n") + 1.0)).alias("tail_sum"))
+    tail = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.kind", "r.key", "r.c")
+    asked = tail.filter("kind = 1").select("key").distinct()
+    unseen = stage(asked.join(predicted.select("key"), "key", "left_anti"), "unseen")
+    grains = lambda value: F.round(value / GRAIN).cast("long").alias("grains")
+    others = words.filter(F.col("n") < max(1.0, n * FREQUENT)).select("kind", "key", grains(F.log10(F.col("n") + 1.0)))
+    for table in (predicted.filter(~common), escapes(runs, unseen)):
+        others = others.unionByName(table.select(F.lit(1).alias("kind"), "key", grains(F.col("value"))))
+    part = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0))
+    tail = tail.join(others, ["kind", "key"]).groupBy("uid").agg(part(0, F.col("c")).alias("tail_known"), part(0, F.col("c") * F.col("grains")).alias("tail_sum"), part(1, F.col("c") * F.col("grains")).alias("tail_score"))
     j = scored.drop("rare").join(tail, "uid", "left")
     end_known = F.lit(1 if texts else 0)
-    sums = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) + F.log10(F.lit(float(texts) + 1.0))
+    sums = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0)) * GRAIN + F.log10(F.lit(float(texts) + 1.0))
     return j.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + end_known).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (sums - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
-        "score",
+        (F.col("head_score") + F.coalesce("tail_score", F.lit(0)) * GRAIN).alias("score"),
     )
 
 

@@ -177,6 +177,29 @@ def test_ppm_is_a_distribution_and_learns(spark):
     assert ppm.score(df.limit(0), counts).count() == 0
 
 
+@pytest.mark.parametrize("rare", [2.0**-23, 2.0**-7, 2.0])
+def test_ppm_scores_by_every_counted_run(spark, monkeypatch, rare):
+    monkeypatch.setattr(ppm, "RARE", rare)
+    monkeypatch.setattr(ppm, "CHUNK", 3000)
+    df = odd_docs(spark, [*sentences(60), *(f"only here: {i} {t[:40]}" for i, t in enumerate(sentences(30, 7)))])
+    counts = ppm.count(df.filter(ppm.fold(df.doc_id) != 2)).cache()
+    n = {r.key: r.n for r in counts.filter("kind = 1").collect()}
+    runs = []
+    for j in range(ppm.ORDER + 1):
+        found = {}
+        for key, times in n.items():
+            short = key & ((1 << (8 * (j + 1))) - 1)
+            found[short] = found.get(short, 0) + times
+        keys = np.array(sorted(found), np.uint64)
+        runs.append((keys, np.array([found[int(k)] for k in keys], float)))
+    model = ppm.Model(runs, sum(n.values()))
+    for r, text in [(r, text) for r in ppm.score(df, counts).collect() for text in [t.text for t in df.collect() if t.doc_id == r.doc_id][:1]]:
+        assert r.score == pytest.approx(model.log10(ppm.codes(ppm.lowered(text))).sum(), abs=1e-6)
+    nothing = ppm.count(df.limit(0))
+    for r in ppm.score(df.filter("doc_id < 3"), nothing).collect():
+        assert r.score == pytest.approx(-math.log10(256) * (len(sentences(60)[r.doc_id].encode()) + 1))
+
+
 PAGE = """<html><head><title>t</title><script>var a="<p>no</p>";</script></head><body><header>Site name</header><nav><a href="/">Home</a></nav>
 <div class="cookie-notice">We use cookies.</div><main><article><header><h1>The title &amp; more</h1></header><p>First   para<b>graph</b> with<br>words
  in it, and some more.</p><p>Short.</p><aside>Related</aside><p>Last one&#33;</p></article><section id="comments"><p>A reader writes at length about what was said in this article.</p></section></main>
