@@ -1,8 +1,10 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard.
 
 Vectors go to shards of about SHARD rows by a hash of their id. A shard's graph is kept as flat arrays:
-the vectors, and for each level the members and a fixed number of neighbours of each. Queries, in
-blocks, search every shard from the top level down; the nearest of all shards are merged.
+the distinct vectors with the ids of each, and for each level the members and a fixed number of neighbours
+of each. Queries, in blocks, search every shard from the top level down; the nearest of all shards are
+merged. A query whose search ends among vectors that are about equally near, where links lead nowhere in
+particular, is compared with the whole shard.
 
 Nearness is the inner product. Graphs are built on vectors with one more coordinate that makes all
 norms of a shard equal, so that nearness in the graph is a proper distance.
@@ -22,6 +24,9 @@ from .common import read, stage
 SHARD, BLOCK = 8192, 512
 #: Neighbours of a node, candidates they are chosen from, share of a level in the next, search width.
 LINKS, CANDIDATES, THIN, WIDTH = 32, 64, 16, 128
+#: A search has ended in a dense place if the scores from the last wanted to the last found differ by no more
+#: than this share of the greatest possible score.
+DENSE = 0.02
 
 
 def neighbours(x: np.ndarray) -> np.ndarray:
@@ -76,7 +81,7 @@ def neighbours(x: np.ndarray) -> np.ndarray:
     return links
 
 
-def build(ids: np.ndarray, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def build(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Levels from the bottom up: (members, their neighbours as places among the members)."""
     levels, members = [], np.arange(len(x), dtype=np.int32)
     rng = np.random.default_rng(len(x))
@@ -135,7 +140,12 @@ def search(x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], q: np.nda
     return found
 
 
-INDEX = "shard long, dim int, ids binary, vectors binary, levels array<struct<members binary, links binary>>"
+def whole(x: np.ndarray, first: np.ndarray, q: np.ndarray, width: int) -> np.ndarray:
+    """The width rows of x that are nearest to one query, by all scores; ties go to the smaller of first."""
+    return np.lexsort((first, -np.einsum("kd,d->k", x, q)))[:width]
+
+
+INDEX = "shard long, dim int, ids binary, starts binary, vectors binary, levels array<struct<members binary, links binary>>"
 
 
 def _build_shard(key: tuple, rows: pa.Table) -> pa.Table:
@@ -143,9 +153,12 @@ def _build_shard(key: tuple, rows: pa.Table) -> pa.Table:
     x = np.array(rows["embedding"].to_pylist(), np.float64)
     norm = (x * x).sum(axis=1)
     wide = np.column_stack([x, np.sqrt(np.maximum(norm.max() - norm, 0))]).astype(np.float32)
-    levels = [{"members": m.tobytes(), "links": k.tobytes()} for m, k in build(ids, wide)]
+    wide, place = np.unique(wide, axis=0, return_inverse=True)
+    order = np.lexsort((ids, place.ravel()))
+    ids, starts = ids[order], np.append(0, np.cumsum(np.bincount(place.ravel())))
+    levels = [{"members": m.tobytes(), "links": k.tobytes()} for m, k in build(wide)]
     kind = pa.list_(pa.struct([("members", pa.binary()), ("links", pa.binary())]))
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()), "ids": [ids.tobytes()], "vectors": [wide.tobytes()], "levels": pa.array([levels], kind)})
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()), "ids": [ids.tobytes()], "starts": [starts.astype(np.int64).tobytes()], "vectors": [wide.tobytes()], "levels": pa.array([levels], kind)})
 
 
 def valid(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -176,17 +189,35 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOC
         if not left.num_rows or not right.num_rows:
             return pa.table(empty)
         ids = np.frombuffer(left["ids"][0].as_py(), np.int64)
-        x = np.frombuffer(left["vectors"][0].as_py(), np.float32).reshape(len(ids), -1)
+        starts = np.frombuffer(left["starts"][0].as_py(), np.int64)
+        x = np.frombuffer(left["vectors"][0].as_py(), np.float32).reshape(len(starts) - 1, -1)
         levels = []
         for level in left["levels"][0].as_py():
             members = np.frombuffer(level["members"], np.int32)
             levels.append((members, np.frombuffer(level["links"], np.int32).reshape(len(members), -1)))
         own, q = right["vec_id"].to_numpy(), np.array(right["embedding"].to_pylist(), np.float64)
         found = search(x, levels, np.column_stack([q, np.zeros(len(q))]).astype(np.float32))
-        exact = np.einsum("nkd,nd->nk", x[found][:, :, :-1].astype(np.float64), q)
-        exact = np.where((found < 0) | (ids[found] == own[:, None]), -np.inf, exact)
-        order = np.lexsort((ids[found], -exact), axis=1)[:, :k]
-        score, near = np.take_along_axis(exact, order, 1), np.take_along_axis(ids[found], order, 1)
+        plain, first = x[:, :-1].astype(np.float64), ids[starts[:-1]]
+        # k + 1 vectors of k + 1 ids each suffice, as one id may be the query's own
+        few = min(k + 1, found.shape[1])
+        exact = np.where(found < 0, -np.inf, np.einsum("nkd,nd->nk", plain[found], q))
+        part = -np.sort(-exact, axis=1)
+        reach = np.sqrt((x[0].astype(np.float64) ** 2).sum() * (q * q).sum(axis=1))
+        short = (found >= 0).sum(axis=1) < min(WIDTH, len(x))
+        for i in np.flatnonzero(short | (part[:, few - 1] - part[:, -1] <= DENSE * reach)):
+            near = whole(plain, first, q[i], found.shape[1])
+            found[i] = -1
+            found[i, : len(near)] = near
+        exact = np.where(found < 0, -np.inf, np.einsum("nkd,nd->nk", plain[found], q))
+        order = np.lexsort((first[found], -exact), axis=1)[:, :few]
+        exact, found = np.take_along_axis(exact, order, 1), np.take_along_axis(found, order, 1)
+        at = starts[found][:, :, None] + np.arange(k + 1)
+        held = (at < starts[found + 1][:, :, None]) & (exact > -np.inf)[:, :, None]
+        member = ids[np.where(held, at, 0)].reshape(len(q), -1)
+        exact = np.where(held, exact[:, :, None], -np.inf).reshape(len(q), -1)
+        exact[member == own[:, None]] = -np.inf
+        order = np.lexsort((member, -exact), axis=1)[:, :k]
+        score, near = np.take_along_axis(exact, order, 1), np.take_along_axis(member, order, 1)
         ok = score > -np.inf
         return pa.table({"query_id": np.repeat(own, ok.sum(axis=1)), "vec_id": near[ok], "score": score[ok]})
 

@@ -257,6 +257,31 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert ann.nearest(ann.build_index(v.limit(0)), v.limit(0)).count() == 0
 
 
+def test_nearest_by_id_among_copies_and_in_a_dense_cluster(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[::3] = x[0]  # a third are copies
+    x[1::6] = x[1] + rng.normal(scale=1e-4, size=x[1::6].shape)  # a sixth lie close together
+    x = np.round(x * 2**14) / 2**14  # sums of products are exact
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    v = ann.valid(df)
+    got = {}
+    for r in ann.nearest(ann.build_index(v, 1000), v.filter("vec_id % 3 < 2 and vec_id % 10 < 2"), 20, 100).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert len(got) == 400
+    hits = []
+    for q, near in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(len(x)), -s))[:20].tolist()
+        if q % 3 == 0:
+            assert [i for _, i in sorted(near)] == best
+        elif q % 6 == 1:
+            hits.append(len({i for _, i in near} & set(best)) / 20)
+    assert np.mean(hits) == 1
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng, texts = random.Random(5), sentences(900)
     bad = {i for i in range(900) if rng.random() < 0.25}
