@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +36,13 @@ BOILER_NAMES = frozenset(
 )
 CONTENT_NAMES = frozenset("article content main post entry story body text prose".split())
 NAME = re.compile(r"[a-z]+")
+NEXT_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
+
+#: Elements whose content is no markup: one that is not closed goes on to the page's end.
+TEXT_ONLY = frozenset("script style textarea title".split())
+#: A sign of boilerplate by name, or a form, does not hold for a container with this share of the page's text or more.
+MOST = 0.5
 
 #: Weights of the classifier, in nats.
 IN_CONTENT, IN_BOILER, NAMED_CONTENT = 4.0, 8.0, 1.5
@@ -54,9 +61,9 @@ class Block:
     link: float
 
 
-def _signs(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether a container speaks for boilerplate, is content by its tag, or content by its name."""
-    boiler, content, named = tag in BOILER_TAGS or tag == "header", tag in CONTENT_TAGS, False
+def _signs(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a container is boilerplate, looks like it by name or as a form, is content by its tag, or by its name."""
+    boiler, looks, content, named = tag in BOILER_TAGS and tag != "form" or tag == "header", tag == "form", tag in CONTENT_TAGS, False
     if attributes and "=" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -65,7 +72,7 @@ def _signs(tag: str, attributes: str) -> tuple[bool, bool, bool]:
                 content |= value in ("main", "article")
             elif key in ("class", "id"):
                 names = set(NAME.findall(value))
-                boiler |= bool(names & BOILER_NAMES)
+                looks |= bool(names & BOILER_NAMES)
                 named |= bool(names & CONTENT_NAMES)
             elif key == "style":
                 boiler |= "display:none" in value.replace(" ", "")
@@ -73,23 +80,27 @@ def _signs(tag: str, attributes: str) -> tuple[bool, bool, bool]:
                 boiler |= value == "true"
     if attributes and re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
         boiler = True
-    return boiler, content, named and not boiler
+    return boiler, looks and tag not in ("html", "body"), content, named and not boiler and not looks
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, white space made one space. Unclosed and stray tags are allowed."""
     out: list[Block] = []
-    # (tag, number, boilerplate, content, named content) of the open containers
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # (tag, number, boilerplate, content, named content, numbers of what looks like boilerplate and of articles around it)
+    stack: list[tuple[str, int, bool, bool, bool, tuple[int, ...], tuple[int, ...]]] = [("", 0, False, False, False, (), ())]
+    around: list[tuple[tuple[int, ...], tuple[int, ...]]] = []
     parts: list[str] = []
     tag, links, in_link, number, at = "", 0, False, 0, 0
+    closed = True  # whether the open link has an end; else it ends at the next block
+    unclosed: set[str] = set()  # elements that have no end from here on
 
     def close() -> None:
         nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                _, n, boiler, content, named = stack[-1]
+                _, n, boiler, content, named, looks, articles = stack[-1]
+                around.append((looks, articles))
                 out.append(Block(text, tag, n, boiler, content, named, min(1.0, links / len(text))))
             parts.clear()
         links = 0
@@ -110,19 +121,31 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in RAW:
             if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = None
+                if name not in unclosed:
+                    end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif name in TEXT_ONLY:
+                    at = len(page)
+                else:
+                    unclosed.add(name)
         elif name in BLOCKS:
             close()
+            in_link &= closed
             tag = "" if m[1] else name
             if name in CONTAINERS:
                 if not m[1]:
                     number += 1
-                    boiler, content, named = _signs(name, m[3])
-                    _, _, was_boiler, was_content, was_named = stack[-1]
+                    boiler, look, content, named = _signs(name, m[3])
+                    _, _, was_boiler, was_content, was_named, looks, articles = stack[-1]
                     if name == "header" and was_content:
                         boiler = False  # the head of an article belongs to it
-                    stack.append((name, number, was_boiler or boiler, was_content or content, was_named or named))
+                    if content:
+                        articles = (*articles, number)
+                    if look:
+                        looks = (*looks, number)
+                    stack.append((name, number, was_boiler or boiler, was_content or content, was_named or named, looks, articles))
                 else:
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] == name:
@@ -131,9 +154,21 @@ def blocks(page: str) -> list[Block]:
         elif name == "br":
             parts.append(" ")
         elif name == "a":
-            in_link = not m[1]
+            in_link = not m[1] and HREF.search(m[3]) is not None
+            if in_link:
+                then = NEXT_LINK.search(page, at)
+                closed = then is not None and then[1] == "/"
     add(page[at:])
     close()
+    size: Counter[int] = Counter()
+    for b, (looks, articles) in zip(out, around, strict=True):
+        for n in {*looks, *articles}:
+            size[n] += len(b.text)
+    most = MOST * sum(len(b.text) for b in out)
+    # the longest article of the page is none for what looks like boilerplate around it
+    longest = max((n for _, articles in around for n in articles), key=lambda n: (size[n], -n), default=0)
+    for b, (looks, articles) in zip(out, around, strict=True):
+        b.boiler |= any(size[n] < most and not (longest in articles and n < longest) for n in looks)
     return out
 
 

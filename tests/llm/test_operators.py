@@ -219,6 +219,31 @@ def test_html_main_text(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+LONG = "This is a long sentence about the subject of this page, with a good many words in it. " * 3
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<body class='no-sidebar'>{}</body>", "<body class='comments-open'><main>{}</main></body>", "<body><article class='post tag-legal'>{}</article></body>",
+        "<body><form id='aspnet'><div>{}</div></form></body>", "<div class='page-with-sidebar'><article>{}</article><div>More.</div></div>",
+        "<body><a name='top'><div>{}</div></body>", "<body><a href='/x'>Unclosed<div>{}</div></body>", "<body><svg><path d='x'><div>{}</div></body>", "<body><object data='x'><div>{}</div></body>",
+    ],
+)
+def test_html_keeps_articles_in_common_markup(around):
+    text = html.main_text(around.format(f"<p>{LONG}</p><p>{LONG}</p>"))
+    assert text.count(LONG.strip()) == 2
+    side = html.main_text(around.format(f"<p>{LONG}</p><p>{LONG}</p><div class='sidebar'><p>Buy this and that.</p></div><ul><li><a href=x>One link of some words</a></li></ul>"))
+    assert side == text
+
+
+def test_html_leaves_out_related_articles_and_block_links():
+    cards = "".join(f"<article><a href='/{k}'><h3>Another story {k}</h3><p>What it is about.</p></a></article>" for k in range(4))
+    page = f"<body class='comments-open'><div class='page-sidebar'><article><p>{LONG}</p><p>{LONG}</p></article></div><div class='related'>{cards}</div><p>{LONG}</p></body>"
+    text = html.main_text(page)
+    assert text.count(LONG.strip()) == 3 and "Another story" not in text
+
+
 def test_min_cut_equals_brute_force():
     rng = random.Random(6)
     for _ in range(60):
