@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
@@ -44,20 +45,41 @@ def word_spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix(b: np.ndarray) -> np.ndarray:
-    """Running sums from which the hash of any range of bytes follows; one longer than b."""
+    """Running sums from which a rolling hash of any range of bytes follows; one longer than b.
+
+    The rolling hash is linear in the bytes: it proposes places that may be alike and never decides that they are.
+    """
     out = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(BYTE[b] * powers(BASE, len(b)), out=out[1:])
     return out
 
 
-def ranges(p: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each range, wherever it lies."""
-    return mix((p[ends] - p[starts]) * powers(INVERSE, len(p))[starts])
+_KEY = [_U(int(x)) for x in _RNG.integers(1, 2**63, 3, dtype=np.uint64)]
+_LOW = np.array([0] + [2 ** (8 * k) - 1 for k in range(1, 9)], np.uint64)
+#: Ranges of more bytes are hashed one by one.
+LONG = 256
+
+
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each range, eight at a time, mixed after each eight so that no sum can cancel."""
+    size = ends - starts
+    h = mix(size.astype(np.uint64) ^ _KEY[0])
+    padded = np.zeros(len(b) + 8, np.uint8)
+    padded[: len(b)] = b
+    eight = np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - at
+        part = eight[starts[live] + at] & _LOW[np.minimum(left, 8)]
+        h[live] = mix((h[live] ^ mix(part + _KEY[1])) + _KEY[2])
+        live, at = live[left > 8], at + 8
+    for k in np.flatnonzero(size > LONG):
+        h[k] = xxhash.xxh3_64_intdigest(b[starts[k] : ends[k]].tobytes(), seed=77)
+    return h
 
 
 def word_hashes(b: np.ndarray) -> np.ndarray:
-    starts, ends = word_spans(b)
-    return ranges(prefix(b), starts, ends)
+    return span_hashes(b, *word_spans(b))
 
 
 _K = [_U(int(x) | 1) for x in _RNG.integers(1, 2**63, 8, dtype=np.uint64)]

@@ -84,7 +84,7 @@ def _numbers(text: str, start: int, out: list) -> int:
     if end - start < 7:
         return end
     for m in IP.finditer(text, start, end):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
             out.append((m.start(), "ip", m.end()))
     for m in CARD.finditer(text, start, end):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -144,13 +144,13 @@ def digest(found: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in found)
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         counts: dict[str, list[int]] = {k: [] for k in BASE}
-        hashes, all_spans = [], []
+        hashes, all_spans, n_spans = [], [], []
         for text in b.column(1):
             found = spans(text.as_py() or "")
             base = [x for x in found if x[1] in BASE]
@@ -158,19 +158,28 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[k].append(sum(x[1] == k for x in base))
             hashes.append(hashlib.sha256(digest(base).encode()).hexdigest())
             all_spans.append(digest(found))
+            n_spans.append(len(found))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0).cast(pa.int64()), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(hashes, pa.string()), pa.array(all_spans, pa.string())],
-            names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+            [b.column(0).cast(pa.int64()), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(hashes, pa.string()), pa.array(all_spans, pa.string()), pa.array(n_spans, pa.int64())],
+            names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"],
         )
 
 
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document with its spans. Null text counts as empty; equal rows give equal rows."""
+    """One row per document with its spans.
+
+    Null text counts as empty; equal rows give equal rows, whatever doc_id is. Texts may be of any length and digits
+    of any number. Of spans that start together the kinds come as listed. An empty table gives an empty result;
+    other columns of docs, whatever their names, are not read.
+    """
     return docs.select(doc_id, text).mapInArrow(_report, SCHEMA)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs, with personal data in text replaced by its kind. Null text stays null, other columns stay."""
+    """docs, with personal data in text replaced by its kind.
+
+    Null text stays null, empty text empty; other columns stay, whatever their names, and so do repeated rows.
+    """
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
