@@ -54,7 +54,7 @@ def discard(staged: DataFrame) -> None:
 FEW_IDS = 1_000_000
 
 
-def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+def with_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
     """Rows of df whose key is (or is not: left_anti) among ids, a stored table of distinct keys.
 
     Up to FEW_IDS are broadcast, so that wide rows stay where they are; more are joined by a shuffle.

@@ -6,14 +6,16 @@ and that is found cheaply first:
 
 1. Every passage has an anchor, the run of ANCHOR bytes in it with the least hash. Successive passages
    mostly share their anchor; such a run of passages is handled as one, named by the hash of its anchor
-   and the hash of all its bytes. Runs whose bytes are those of a run in a document with a smaller id are
-   removed. Runs that share the anchor of a differing run in another document stay in question.
+   and another, independent hash of all its bytes. Runs whose bytes are those of a run in a document with
+   a smaller id are removed. Runs that share the anchor of a differing run in another document stay in question.
 2. The suffixes at passages in question are range-partitioned by their leading bytes (splitters from a
    sample), each partition is sorted by multikey quicksort, and neighbours with equal leading bytes are
-   compared, also across the borders of partitions. Of equal passages all but those of the smallest id go.
+   compared. Splitters are whole passages, so equal passages never lie on both sides of a border. Of equal
+   passages all but those of the smallest id go.
 
 A bucket of step 1 holds the runs of an interval of anchor hashes. What many documents share is combined
-before it is sent: of equal runs in a batch only the smallest id's travels.
+before it is sent, in both steps: of equal runs or passages in a batch only the smallest id's travels. A
+document is told by its id and a hash of its text, so rows of one id with equal texts are one document.
 """
 
 from __future__ import annotations
@@ -23,20 +25,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, read, release, stage, with_ids
-from .hashing import INVERSE, mix, powers, prefix, ranges
+from .hashing import INVERSE, mix, powers, prefix
 
-LENGTH, ANCHOR = 50, 32
+LENGTH, ANCHOR = 50, 28
 #: Text of a bucket of step 1, bytes scanned at once, and passages of a partition of step 2.
 BUCKET_BYTES, PIECE, PART_ROWS = 8 << 20, 1 << 20, 400_000
+#: Passages that are sorted and sent together in step 2.
+SEND_ROWS = 1 << 20
+#: Ranges of step 2 at most, so that splitters have a bound; beyond it each range is divided by a hash. Sampled
+#: passages for each range, and documents of which one is sampled.
+MOST_RANGES, SAMPLED, ONE_OF = 1 << 16, 24, 8
 #: Text whose runs are sent together.
 SEND_BYTES = 8 << 20
 #: Low bits of a window's entry that hold the place; the others are the hash.
 PLACE = np.uint64(28)
+#: Bits of an anchor's hash that are not sent: anchors only propose what is compared.
+DROPPED = np.uint64(16)
 
 
 def runs(b: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,8 +78,9 @@ def runs(b: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor: int = AN
     first = np.flatnonzero(new & valid)
     stop = np.flatnonzero(np.append((new | ~valid)[1:], True) & valid)
     anchors = at[first].astype(np.int64)
-    whole = ranges(p, first, stop + length) + (anchors - first).astype(np.uint64)
-    return first, stop, mix(grams[anchors]), mix(whole * np.uint64(64) + (stop - first).astype(np.uint64))
+    held, digest = memoryview(np.ascontiguousarray(b)), xxhash.xxh3_64_intdigest
+    whole = np.array([digest(held[f:u]) for f, u in zip(first.tolist(), (stop + length).tolist(), strict=True)], np.uint64)
+    return first, stop, mix(grams[anchors]) >> DROPPED, whole
 
 
 ENTRY = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("doc", "<u4"), ("first", "<u4"), ("more", "u1")])
@@ -99,9 +110,11 @@ def _entries(z: bytes, n: int) -> np.ndarray:
 
 SENT = "bucket int, n int, entries binary, doc_ids binary, rids binary"
 #: Runs of a bucket that are removed (kind 0) or in question (1), for the documents of one slice.
-FOUND = "slice int, kind int, rids binary, counts binary, pairs binary"
-#: The same for one document, from all buckets, with the number of passages in question.
-GATHERED = "rid long, removed binary, question binary, asked long"
+FOUND = "slice int, kind int, rids binary, doc_ids binary, counts binary, pairs binary"
+#: The same for one document, with the number of passages.
+GATHERED = "rid long, owner long, pairs binary, n long"
+#: Passages in question of one range: a table of the distinct ones, and where they are. Rows with n = 0 hold runs that go.
+PACKED = "part int, n int, suffixes binary, counts binary, entries binary, doc_ids binary, rids binary"
 
 
 def _equal_groups(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +147,7 @@ def _by_document(doc: np.ndarray, first: np.ndarray, more: np.ndarray) -> dict[i
 
 
 def send(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs (rid, doc_id, text) to packed runs by bucket. Rows with n = 0 hold what is known to go already."""
+    """docs (rid, owner, text) to packed runs by bucket. Rows with n = 0 hold what is known to go already."""
 
     def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Bytes of about PIECE, the ends of the texts in them, whose texts these are, and where they start in these."""
@@ -185,7 +198,7 @@ def send(docs: DataFrame, buckets: int) -> DataFrame:
             again = ids[x["doc"]] > ids[x["doc"][heads]][group] if len(x) else np.zeros(0, bool)
             gone, x = x[again], x[~again]
             out: list[tuple] = [(int(d) % buckets, 0, p, ids[d : d + 1].tobytes(), rids[d : d + 1].tobytes()) for d, p in _by_document(gone["doc"], gone["first"], gone["more"]).items()]
-            bucket = ((x["gram"] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            bucket = ((x["gram"] >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             for k in range(buckets):
                 e = x[cuts[k] : cuts[k + 1]].copy()
@@ -196,18 +209,27 @@ def send(docs: DataFrame, buckets: int) -> DataFrame:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["bucket", "n", "entries", "doc_ids", "rids"])
 
-    return docs.select("rid", "doc_id", "text").mapInArrow(run, SENT)
+    return docs.select("rid", "owner", "text").mapInArrow(run, SENT)
 
 
-def _per_slice(kind: int, rid: np.ndarray, pairs: np.ndarray, slices: int) -> Iterator[tuple]:
+def _per_slice(kind: int, rid: np.ndarray, own: np.ndarray, pairs: np.ndarray, slices: int) -> Iterator[tuple]:
     """Rows of FOUND, one for each slice of documents that has any of these (first, last) passages."""
     part = (rid.view(np.uint64) % np.uint64(slices)).astype(np.int64)
-    order = np.lexsort((rid, part))
-    part, rid, pairs = part[order], rid[order], pairs[order]
+    order = np.lexsort((own, rid, part))
+    part, rid, own, pairs = part[order], rid[order], own[order], pairs[order]
     edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else [], len(part)).astype(np.int64)
     for start, stop in zip(edges[:-1], edges[1:], strict=True):
-        own, counts = np.unique(rid[start:stop], return_counts=True)
-        yield int(part[start]), kind, own.tobytes(), counts.astype("<u4").tobytes(), pairs[start:stop].astype("<u4").tobytes()
+        r, o = rid[start:stop], own[start:stop]
+        heads = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (o[1:] != o[:-1])))
+        counts = np.diff(np.append(heads, stop - start))
+        yield int(part[start]), kind, r[heads].tobytes(), o[heads].tobytes(), counts.astype("<u4").tobytes(), pairs[start:stop].astype("<u4").tobytes()
+
+
+def _found(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    names = ("slice", "kind", "rids", "doc_ids", "counts", "pairs")
+    return pa.table({name: pa.array(c, k) for name, c, k in zip(names, columns, kinds, strict=True)})
 
 
 def settle(slices: int) -> Callable[[pa.Table], pa.Table]:
@@ -215,7 +237,7 @@ def settle(slices: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(rows: pa.Table) -> pa.Table:
         parts, ids, rids, base = [], [], [], 0
-        known: list[tuple[np.ndarray, np.ndarray]] = []
+        known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for n, entries, i, r in zip(rows["n"].to_pylist(), rows["entries"], rows["doc_ids"], rows["rids"], strict=True):
             i, r = np.frombuffer(i.as_py(), np.int64), np.frombuffer(r.as_py(), np.int64)
             if n:
@@ -227,7 +249,7 @@ def settle(slices: int) -> Callable[[pa.Table], pa.Table]:
                 base += len(i)
             else:
                 pairs = np.frombuffer(entries.as_py(), "<u4").reshape(-1, 2)
-                known.append((np.repeat(r, len(pairs)), pairs))
+                known.append((np.repeat(r, len(pairs)), np.repeat(i, len(pairs)), pairs))
         out: list[tuple] = []
         if parts:
             x, ids, rids = np.concatenate(parts), np.concatenate(ids), np.concatenate(rids)
@@ -241,55 +263,120 @@ def settle(slices: int) -> Callable[[pa.Table], pa.Table]:
             mixed = (kinds > 1) & (np.maximum.reduceat(own, starts) != np.minimum.reduceat(own, starts))
             asked = ~again & mixed[gram]
             pairs = np.stack([x["first"], x["first"] + x["more"]], 1)
-            known.append((rids[x["doc"][again]], pairs[again]))
-            out += _per_slice(1, rids[x["doc"][asked]], pairs[asked], slices)
+            known.append((rids[x["doc"][again]], own[again], pairs[again]))
+            out += _per_slice(1, rids[x["doc"][asked]], own[asked], pairs[asked], slices)
         if known:
-            out += _per_slice(0, np.concatenate([r for r, _ in known]), np.concatenate([p for _, p in known]), slices)
-        columns = list(zip(*out, strict=True)) if out else [()] * 5
-        kinds_ = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({name: pa.array(c, k) for name, c, k in zip(("slice", "kind", "rids", "counts", "pairs"), columns, kinds_, strict=True)})
+            out += _per_slice(0, *(np.concatenate(z) for z in zip(*known, strict=True)), slices)
+        return _found(out)
 
     return run
 
 
 def _gather(rows: pa.Table) -> pa.Table:
     """One slice of documents: the runs of each document from all buckets."""
-    found: list[dict[int, bytes]] = [{}, {}]
-    asked: dict[int, int] = {}
-    for kind in (0, 1):
-        mine = [k for k, x in enumerate(rows["kind"].to_pylist()) if x == kind]
-        if not mine:
-            continue
-        joined = [np.frombuffer(b"".join(rows[c][k].as_py() for k in mine), t) for c, t in (("rids", np.int64), ("counts", "<u4"), ("pairs", "<u4"))]
-        rid, pairs = np.repeat(joined[0], joined[1]), joined[2].reshape(-1, 2)
-        order = np.argsort(rid, kind="stable")
-        rid, pairs = rid[order], pairs[order]
-        cuts = np.flatnonzero(rid[1:] != rid[:-1]) + 1
-        for r, p in zip(rid[np.append(0, cuts)].tolist(), np.split(pairs, cuts), strict=True):
-            found[kind][r] = p.tobytes()
-            if kind:
-                asked[r] = int((p[:, 1].astype(np.int64) - p[:, 0] + 1).sum())
-    rids = sorted(found[0].keys() | found[1].keys())
-    return pa.table({"rid": pa.array(rids, pa.int64()), **{name: pa.array([f.get(r, b"") for r in rids], pa.binary()) for name, f in zip(("removed", "question"), found, strict=True)}, "asked": pa.array([asked.get(r, 0) for r in rids], pa.int64())})
-
-
-def suffixes(docs: DataFrame, question: DataFrame) -> DataFrame:
-    """(suffix, doc_id, rid, at): the first LENGTH bytes at each passage in question. question: (rid, question)."""
+    rid, own, counts, pairs = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("rids", np.int64), ("doc_ids", np.int64), ("counts", "<u4"), ("pairs", "<u4")))
+    rid, own, pairs = np.repeat(rid, counts), np.repeat(own, counts), pairs.reshape(-1, 2)
+    order = np.lexsort((own, rid))
+    rid, own, pairs = rid[order], own[order], pairs[order]
+    heads = np.flatnonzero(np.append(True, (rid[1:] != rid[:-1]) | (own[1:] != own[:-1])))
+    n = np.add.reduceat(pairs[:, 1].astype(np.int64) - pairs[:, 0] + 1, heads)
+    return pa.table({"rid": rid[heads], "owner": own[heads], "pairs": pa.array([p.tobytes() for p in np.split(pairs, heads[1:])], pa.binary()), "n": n})
+
+
+def gather(found: DataFrame) -> DataFrame:
+    """GATHERED from rows of FOUND of one kind."""
+    return found.groupBy("slice").applyInArrow(_gather, GATHERED)
+
+
+def _positions(pairs: bytes) -> np.ndarray:
+    p = np.frombuffer(pairs, "<u4").reshape(-1, 2).astype(np.int64)
+    size = p[:, 1] - p[:, 0] + 1
+    return np.repeat(p[:, 0] - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def splitters(asked: DataFrame, rows: int, parts: int) -> np.ndarray:
+    """Sorted passages that cut those in question into about so many ranges. asked: (rid, owner, text, pairs)."""
+    ranges = min(parts, MOST_RANGES)
+    if ranges <= 1:
+        return np.zeros(0, f"S{LENGTH}")
+    stride = np.uint64(max(1, rows // ONE_OF // (ranges * SAMPLED)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            out = []
             for k in range(b.num_rows):
-                x = np.frombuffer(b.column(2)[k].as_py().encode(), np.uint8)
-                pairs = np.frombuffer(b.column(3)[k].as_py(), "<u4").reshape(-1, 2).astype(np.int64)
-                at = np.concatenate([np.arange(f, u + 1) for f, u in pairs])
-                for cut in range(0, len(at), 100_000):
-                    part = at[cut : cut + 100_000]
-                    flat = pa.py_buffer(np.lib.stride_tricks.sliding_window_view(x, LENGTH)[part].tobytes())
-                    one = lambda c, n=len(part): pa.array(np.full(n, c.as_py(), np.int64))
-                    suffix = pa.Array.from_buffers(pa.binary(LENGTH), len(part), [None, flat]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([suffix, one(b.column(1)[k]), one(b.column(0)[k]), pa.array(part)], names=["suffix", "doc_id", "rid", "at"])
+                x, at = np.frombuffer(b.column(2)[k].as_py().encode(), np.uint8), _positions(b.column(3)[k].as_py())
+                at = at[mix(at.astype(np.uint64) + np.uint64(b.column(0)[k].as_py() % 2**64)) % stride == 0]
+                out += [w.tobytes() for w in np.lib.stride_tricks.sliding_window_view(x, LENGTH)[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["suffix"])
+
+    some = asked.mapInArrow(run, "suffix binary").toArrow()["suffix"].to_pylist()
+    some = np.sort(np.array(some, f"S{LENGTH}"))
+    return np.unique(some[np.linspace(0, len(some), ranges + 1)[1:-1].astype(np.int64)]) if len(some) else some
+
+
+def pack(asked: DataFrame, cuts: np.ndarray, parts: int) -> DataFrame:
+    """Passages in question, sorted and combined in batches, to PACKED rows by range. asked: (rid, owner, text, pairs)."""
+    shared = asked.sparkSession.sparkContext.broadcast(cuts)
+    sub = np.uint64(max(1, -(-parts // (len(cuts) + 1))))
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(passages, place in its text, number of its document, ids, rids) of about SEND_ROWS passages."""
+        held: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+        size = 0
+
+        def joined() -> tuple[np.ndarray, ...]:
+            raw = np.zeros((size, -(-LENGTH // 8) * 8), np.uint8)
+            raw[:, :LENGTH] = np.concatenate([h[0] for h in held])
+            doc = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
+            return raw, np.concatenate([h[1] for h in held]), doc, np.array([h[2] for h in held], np.int64), np.array([h[3] for h in held], np.int64)
 
-    return docs.join(question, "rid").select("rid", "doc_id", "text", "question").mapInArrow(run, "suffix binary, doc_id long, rid long, at long")
+        for b in batches:
+            for rid, own, text, pairs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x, at = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text.encode(), np.uint8), LENGTH), _positions(pairs)
+                for k in range(0, len(at), SEND_ROWS):
+                    held.append((x[at[k : k + SEND_ROWS]], at[k : k + SEND_ROWS], own, rid))
+                    size += len(held[-1][1])
+                    if size >= SEND_ROWS:
+                        yield joined()
+                        held, size = [], 0
+        if held:
+            yield joined()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for raw, at, doc, ids, rids in chunks(batches):
+            words = raw.view(">u8").astype(np.uint64)
+            order = multikey_order(words, ids[doc])
+            words, raw, at, doc = words[order], raw[order], at[order], doc[order]
+            new = np.append(True, (words[1:] != words[:-1]).any(axis=1))
+            group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+            gone = ids[doc] > ids[doc[heads]][group]
+            out: list[tuple] = [(d % parts, 0, p, b"", b"", ids[d : d + 1].tobytes(), rids[d : d + 1].tobytes()) for d, p in _by_document(doc[gone], at[gone], np.zeros(int(gone.sum()), np.int64)).items()]
+            at, doc, group = at[~gone], doc[~gone], group[~gone]
+            # places side by side that hold one and the same passage, as in a run of one byte, are one entry
+            first = np.append(True, (group[1:] != group[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1))
+            starts = np.flatnonzero(first)
+            more = np.diff(np.append(starts, len(at))) - 1
+            at, doc, group = at[starts], doc[starts], group[starts]
+            part = np.searchsorted(shared.value, np.ascontiguousarray(raw[heads, :LENGTH]).view(f"S{LENGTH}").ravel(), side="right").astype(np.uint64)
+            if sub > 1:
+                part = part * sub + mix(np.bitwise_xor.reduce(mix(words[heads] + np.arange(words.shape[1], dtype=np.uint64)), axis=1)) % sub
+            counts = np.bincount(group, minlength=len(heads))
+            by = np.argsort(part, kind="stable")
+            edges = np.append(np.flatnonzero(np.append(True, np.diff(part[by]) > 0)), len(by))
+            offsets = np.append(0, np.cumsum(counts))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                mine = by[a:b]
+                size = counts[mine]
+                e = np.repeat(offsets[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                used, d = np.unique(doc[e], return_inverse=True)
+                entries = b"".join(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in (d, at[e], more[e]))
+                out.append((int(part[mine[0]]), len(mine), z.compress(raw[heads[mine], :LENGTH].tobytes()), z.compress(size.astype("<u4").tobytes()), z.compress(entries), ids[used].tobytes(), rids[used].tobytes()))
+            columns = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["part", "n", "suffixes", "counts", "entries", "doc_ids", "rids"])
+
+    return asked.mapInArrow(run, PACKED)
 
 
 def multikey_order(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -313,39 +400,37 @@ def multikey_order(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return order
 
 
-def _sort_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of suffixes: sorted, with the least id among equal ones, and whether a row's group may go on
-    in the range before (edge 1) or after (2) or both (3)."""
-    parts = list(batches)
-    if not sum(p.num_rows for p in parts):
-        return
-    t = pa.Table.from_batches(parts)
-    suffix, ids, rid, at = (t[c].to_numpy() if c != "suffix" else t[c] for c in ("suffix", "doc_id", "rid", "at"))
-    raw = np.zeros((len(ids), -(-LENGTH // 8) * 8), np.uint8)
-    raw[:, :LENGTH] = np.frombuffer(b"".join(suffix.to_pylist()), np.uint8).reshape(len(ids), LENGTH)
-    words = raw.view(">u8").astype(np.uint64)
-    order = multikey_order(words, ids)
-    words, ids, rid, at = words[order], ids[order], rid[order], at[order]
-    new = np.append(True, (words[1:] != words[:-1]).any(axis=1))
-    group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
-    least = ids[heads][group]
-    edge = (group == 0) + 2 * (group == group[-1])
-    keep = (ids > least) | (edge > 0)
-    raw = raw[order][:, :LENGTH]
-    border = [raw[k].tobytes() if edge[k] else None for k in np.flatnonzero(keep)]
-    yield pa.RecordBatch.from_arrays([pa.array(border, pa.binary()), pa.array(ids[keep]), pa.array(rid[keep]), pa.array(at[keep]), pa.array(least[keep]), pa.array(edge[keep].astype(np.int32))], names=["suffix", "doc_id", "rid", "at", "least", "edge"])
-
-
-def repeated(found: DataFrame, rows: int) -> DataFrame:
-    """(rid, at) of the passages that also start in a document with a smaller id, among so many suffixes."""
-    parts = max(1, -(-rows // PART_ROWS))
-    ranged = found.repartitionByRange(parts, "suffix", "doc_id")
-    done = stage(ranged.mapInArrow(_sort_part, "suffix binary, doc_id long, rid long, at long, least long, edge int"), "sorted")
-    # a group that ends a range may begin the next: one row per range
-    border = done.filter("edge >= 2").groupBy("suffix").agg(F.min("least").alias("before"))
-    inner = done.filter("edge % 2 = 0 and doc_id > least").select("rid", "at")
-    outer = done.filter("edge % 2 = 1").join(border, "suffix", "left").filter(F.col("doc_id") > F.least("least", F.coalesce("before", "least")))
-    return inner.unionByName(outer.select("rid", "at"))
+def sort_range(slices: int) -> Callable[[pa.Table], pa.Table]:
+    """One range of suffixes, sorted: what goes, in a row for each slice of documents."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        z, known, held, base = zstandard.ZstdDecompressor(), [], [], 0
+        for n, suffix, counts, entries, i, r in zip(*(rows[c].to_pylist() for c in ("n", "suffixes", "counts", "entries", "doc_ids", "rids")), strict=True):
+            i, r = np.frombuffer(i, np.int64), np.frombuffer(r, np.int64)
+            if not n:
+                pairs = np.frombuffer(suffix, "<u4").reshape(-1, 2)
+                known.append((np.repeat(r, len(pairs)), np.repeat(i, len(pairs)), pairs))
+                continue
+            counts = np.frombuffer(z.decompress(counts), "<u4").astype(np.int64)
+            d, at, more = (np.ascontiguousarray(c.reshape(4, -1).T).view("<u4").ravel() for c in np.split(np.frombuffer(z.decompress(entries), np.uint8), 3))
+            # all places of a passage in a batch are of one doc_id
+            held.append((np.frombuffer(z.decompress(suffix), np.uint8).reshape(n, LENGTH), i[d[np.cumsum(counts) - counts]], counts, r[d], i[d], at, more))
+        if held:
+            suffix, ids, counts, rid, own, at, more = (np.concatenate(c) for c in zip(*held, strict=True))
+            raw = np.zeros((len(suffix), -(-LENGTH // 8) * 8), np.uint8)
+            raw[:, :LENGTH] = suffix
+            words = raw.view(">u8").astype(np.uint64)
+            order = multikey_order(words, ids)
+            words = words[order]
+            new = np.append(True, (words[1:] != words[:-1]).any(axis=1))
+            least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            gone = np.zeros(len(ids), bool)
+            gone[order] = ids[order] > least
+            gone = np.repeat(gone, counts)
+            known.append((rid[gone], own[gone], np.stack([at[gone], at[gone] + more[gone]], 1)))
+        return _found(list(_per_slice(0, *(np.concatenate(c) for c in zip(*known, strict=True)), slices)) if known else [])
+
+    return run
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -353,57 +438,50 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     Null text counts as empty. Rows with one doc_id take nothing from each other; a null doc_id is smaller
     than all others. Passages are judged on the input. Texts of any length; an empty table gives an empty result.
+    Other columns of docs, whatever their names, are not read.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    d = d.withColumn("rid", F.xxhash64("doc_id", "text"))
-    long_ = d.filter(F.octet_length("text") >= LENGTH).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
+    d = d.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("owner"), F.xxhash64("text").alias("rid"), "text")
+    key = ["rid", "owner"]
+    long_ = d.filter(F.octet_length("text") >= LENGTH)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = max(1, -(-size // BUCKET_BYTES))
     # as many slices of documents as buckets: a slice takes one row of each bucket at most, and holds the runs of some BUCKET_BYTES
-    found = send(long_, buckets).groupBy("bucket").applyInArrow(settle(buckets), FOUND)
-    settled = stage(found, "settled")
+    settled = stage(send(long_, buckets).groupBy("bucket").applyInArrow(settle(buckets), FOUND), "settled")
     release(docs.sparkSession)
-    found = stage(settled.groupBy("slice").applyInArrow(_gather, GATHERED), "runs")
-    discard(settled)
+    question = stage(gather(settled.filter("kind = 1")), "question")
+    rows = question.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(1, -(-rows // PART_ROWS))
+    asked = lambda q: with_ids(long_, stage(q.select(*key), "keys"), key).join(q.drop("n"), key).select(*key, "text", "pairs")
+    cuts = splitters(asked(question.filter(F.pmod(F.xxhash64("rid", "owner"), F.lit(ONE_OF)) == 0)), rows, parts) if parts > 1 else np.zeros(0, f"S{LENGTH}")
+    again = stage(pack(asked(question), cuts, parts).groupBy("part").applyInArrow(sort_range(buckets), FOUND), "again")
     release(docs.sparkSession)
-    asked = found.agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0]
-    question = found.filter("octet_length(question) > 0").select("rid", "question")
-    rids = stage(question.select("rid"), "rids")
-    again = stage(repeated(suffixes(with_ids(long_, rids, "rid"), question), asked), "repeated")
+    gone = stage(gather(settled.filter("kind = 0").unionByName(again)).select(*key, F.col("pairs").alias("removed")), "gone")
+    keys = stage(gone.select(*key), "keys")
+    for table in (settled, question, again):
+        discard(table)
     release(docs.sparkSession)
-    single = again.groupBy("rid").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    many = found.filter("octet_length(removed) > 0").select("rid", "removed")
-    gone = many.join(single, "rid", "full")
-    rids = stage(found.filter("octet_length(removed) > 0").select("rid").unionByName(again.select("rid")).distinct(), "rids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-            for k in range(b.num_rows):
-                raw = b.column(1)[k].as_py().encode()
-                removed, at = b.column(2)[k].as_py(), b.column(3)[k].as_py()
-                edges = np.zeros(len(raw) + 1, np.int32)
+            for t, removed in zip(b.column(1), b.column(2), strict=True):
+                raw, removed = t.as_py().encode(), removed.as_py()
+                kept, n, spans = raw, 0, 0
                 if removed:
                     pairs = np.frombuffer(removed, "<u4").reshape(-1, 2).astype(np.int64)
-                    np.add.at(edges, pairs[:, 0], 1)
-                    np.add.at(edges, pairs[:, 1] + LENGTH, -1)
-                if at:
-                    places = np.array(at, np.int64)
-                    edges[places] += 1
-                    edges[places + LENGTH] -= 1
-                out = np.cumsum(edges[:-1]) > 0
-                kept = np.frombuffer(raw, np.uint8)[~out].tobytes() if removed or at else raw
-                columns["n_bytes"].append(len(raw))
-                columns["n_removed"].append(int(out.sum()))
-                columns["n_spans"].append(int(np.count_nonzero(np.diff(out.astype(np.int8), prepend=0) == 1)))
-                columns["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                columns["kept"].append(kept)
+                    edges = np.bincount(pairs[:, 0], minlength=len(raw) + 1) - np.bincount(pairs[:, 1] + LENGTH, minlength=len(raw) + 1)
+                    out = np.cumsum(edges[:-1]) > 0
+                    kept = np.frombuffer(raw, np.uint8)[~out].tobytes()
+                    n, spans = int(out.sum()), int(np.count_nonzero(np.diff(out.astype(np.int8), prepend=0) == 1))
+                for c, v in zip(columns, (len(raw), n, spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                    columns[c].append(v)
             kinds = {"kept_sha256": pa.string(), "kept": pa.binary()}
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, kinds.get(c, pa.int64())) for c, v in columns.items())], names=["doc_id", *columns])
 
     # texts that lose nothing stay where they are
-    whole = with_ids(d, rids, "rid", "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("removed"), F.lit(None).cast("array<long>").alias("at"))
-    j = with_ids(d, rids, "rid").join(gone, "rid").select("doc_id", "text", "removed", "at").unionByName(whole)
+    whole = with_ids(d, keys, key, "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("removed"))
+    j = with_ids(d, keys, key).join(gone, key).select("doc_id", "text", "removed").unionByName(whole)
     return j.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from lorewright.llm import ann, bpe, dedup, html, pii, ppm, quality, suffixes, toxicity
+from lorewright.llm import ann, bpe, dedup, hashing, html, pii, ppm, quality, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_words string, sig string, rid string, uid int"
 
@@ -35,9 +35,9 @@ def test_bpe_equals_library(spark):
     lib, own = Tokenizer.from_file(path), bpe.encoder(open(path, encoding="utf-8").read())
     texts = ["", "don't 'sun it's !'s", "ΑΣ ΣΑΣ", "a\x1cb \x00x", "<|endoftext|>hi", "İ ǅ ß ﬁ", "日本語 🎉🎉 éa", "aaaaaaaaaaaaaaa 1234567", "x" * 3000, " a　b", "he'll'll ''''", *sentences(20)]
     for t in texts:
-        ids = [int(i) for e in own.text(t) for i in e[1].split()]
+        ids = [int(i) for e in own.text(t) for i in e[0].split()]
         assert ids == lib.encode(t, add_special_tokens=False).ids
-        assert own.decode(ids) == " ".join(e[2] for e in own.text(t)) == lib.decode(ids, skip_special_tokens=False)
+        assert own.decode(ids) == " ".join(e[1] for e in own.text(t)) == lib.decode(ids, skip_special_tokens=False)
     df = odd_docs(spark, texts)
     rows = bpe.encode(df, path).collect()
     assert len(rows) == df.count()
@@ -64,6 +64,24 @@ def test_pii_base_kinds_equal_patterns(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_pii_numbers_of_any_length():
+    zeros = "0" * 5000
+    assert [x[1] for x in pii.spans(f"{zeros}1.1.1.1 and 1.2.3.{'9' * 5000} and 000.0.00.{zeros}")] == ["ip", "ip"]
+
+
+def test_word_hashes_tell_words_apart():
+    flip = str.maketrans("ab", "ba")
+    t = "a"
+    while len(t) < 4096:
+        t += t.translate(flip)
+    words = [w[:n] for n in (1, 7, 8, 9, 64, 255, 256, 257, 1024, 4096) for w in (t, t.translate(flip))]
+    h = hashing.word_hashes(np.frombuffer(" ".join(words).encode(), np.uint8))
+    assert len(set(h.tolist())) == len(words)
+    again = hashing.word_hashes(np.frombuffer(("x  " + "\n".join(words)).encode(), np.uint8))
+    assert again[1:].tolist() == h.tolist()
+    assert len(hashing.word_hashes(np.zeros(0, np.uint8))) == 0
+
+
 def brute_components(texts, percent=80, width=4):
     sets = {}
     for i, t in texts.items():
