@@ -5,7 +5,8 @@ unique: of the tokens that end there (an Aho-Corasick automaton over the vocabul
 matches), exactly one fits the last token of the prefix before it. Two tokens fit if merging their
 joint symbols would never merge across the boundary. Back-pointers then give the exact ids.
 
-The words of a text are independent, so each worker keeps the encodings of recent words.
+The words of a text are independent, so each worker keeps the encodings of recent words, and those of the
+runs of letters that rare words with signs around them are made of.
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -31,8 +31,8 @@ ENDS = 1024
 WORD_END = "</w>"
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Words kept by a worker before it starts anew.
-KEPT_WORDS = 200_000
+#: Words kept by a worker before the older ones go.
+KEPT_WORDS = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -42,6 +42,24 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
 
 
+class Recent(dict):
+    """What `make` gives for a key, kept for the last keys that were asked for: up to two times KEPT_WORDS."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        if len(self) >= KEPT_WORDS:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+
 class Encoder:
     """Encodes as the tokenizer whose JSON text is given."""
 
@@ -62,8 +80,11 @@ class Encoder:
             self.merge.setdefault((x, y), r)
             if t not in self.parts:
                 self.parts[t], self.rank[t] = (x, y), r
-        self.fits_known: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, str, str, bytes]] = {}
+        self.fits_after: dict[int, dict[int, bool]] = {}
+        self.n_kept = 0
+        self.shown = {t: str(t) for t in self.tokens}
+        self.words = Recent(self._word)
+        self.pieces = Recent(self.encode_piece)
         self.ends: dict[int, list[tuple[int, float, float]]] = {}
         self.starts: dict[int, list[tuple[int, float, float]]] = {}
         self.automaton = ahocorasick.Automaton()
@@ -108,30 +129,36 @@ class Encoder:
         return True
 
     def fits(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self.fits_known.get(key)
+        """Whether b may follow a. The answers are kept by a, up to two million of them."""
+        row = self.fits_after.setdefault(a, {})
+        known = row.get(b)
         if known is None:
-            if len(self.fits_known) > 2_000_000:
-                self.fits_known.clear()
-            known = self.fits_known[key] = self._first_across(a, b) == float("inf")
+            self.n_kept += 1
+            if self.n_kept > 2_000_000:
+                self.n_kept = 1
+                self.fits_after.clear()
+                row = self.fits_after.setdefault(a, {})
+            known = row[b] = self._first_across(a, b) == float("inf")
         return known
 
     def encode_piece(self, piece: str) -> list[int]:
         s = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
         s = s[:-1] + chr(ord(s[-1]) + ENDS)
-        last, length = [-1] * len(s), [0] * len(s)
-        known, fits = self.fits_known, self.fits
+        last, length, rows = [-1] * len(s), [0] * len(s), [None] * len(s)
+        after, fits = self.fits_after, self.fits
         for end, (token, n) in self.automaton.iter(s):
-            if last[end] < 0:
-                before = end - n
-                if before >= 0:
-                    left = last[before]
-                    ok = known.get(left << 32 | token)
-                    if ok is None:
-                        ok = fits(left, token)
-                    if not ok:
-                        continue
-                last[end], length[end] = token, n
+            if length[end]:
+                continue
+            if n <= end:
+                row = rows[end - n]
+                ok = None if row is None else row.get(token)
+                if ok is None:
+                    ok = fits(last[end - n], token)
+                    rows[end - n] = after[last[end - n]]
+                if not ok:
+                    continue
+            last[end], length[end] = token, n
+            rows[end] = after.get(token)
         ids, at = [], len(s) - 1
         while at >= 0:
             ids.append(last[at])
@@ -139,20 +166,17 @@ class Encoder:
         ids.reverse()
         return ids
 
-    def word(self, word: str) -> tuple[int, str, str, bytes]:
-        """(number of tokens, ids, tokens, ids as bytes) of a word without white space."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= KEPT_WORDS:
-                self.known.clear()
-            ids = [i for p in PIECE.findall(word) for i in self.encode_piece(p)]
-            found = self.known[word] = self._entry(ids)
-        return found
+    def _word(self, word: str) -> tuple[str, str]:
+        """Ids and tokens of a word without white space, each joined by spaces."""
+        if word.isalpha() and word.isascii():
+            return self._entry(self.encode_piece(word))
+        pieces = PIECE.findall(word)
+        return self._entry(self.encode_piece(word) if len(pieces) == 1 else [i for p in pieces for i in self.pieces[p]])
 
-    def _entry(self, ids: list[int]) -> tuple[int, str, str, bytes]:
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids)), array("i", ids).tobytes()
+    def _entry(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join(map(self.shown.__getitem__, ids)), " ".join(map(self.tokens.__getitem__, ids))
 
-    def text(self, text: str) -> list[tuple[int, str, str, bytes]]:
+    def text(self, text: str) -> list[tuple[str, str]]:
         """The entries of the words of a text; joined they are its encoding."""
         out = []
         segments = self.split_specials.split(text) if self.split_specials and "<|" in text else [text]
@@ -164,12 +188,8 @@ class Encoder:
                 # lower-casing goes character by character: no final sigma
                 s = unicodedata.normalize("NFC", s).replace("Σ", "σ")
             s = s.lower()
-            words = regex.split(r"\p{White_Space}+", s) if ODD_SPACE.search(s) else s.split()
-            known, word = self.known, self.word
-            for w in words:
-                e = known.get(w) or word(w)
-                if e[0]:
-                    out.append(e)
+            words = filter(None, regex.split(r"\p{White_Space}+", s)) if ODD_SPACE.search(s) else s.split()
+            out += map(self.words.__getitem__, words)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -196,8 +216,9 @@ def default_path() -> str:
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """keep columns, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids as array<int>.
 
-    Null text counts as empty: no tokens, the hash of nothing. Equal rows give equal rows. The
-    vocabulary file (some MB) is read once and broadcast.
+    Null text counts as empty: no tokens, the hash of nothing. Equal rows give equal rows; texts may be of any
+    length. An empty table gives an empty result. Columns of docs other than text and keep are not read; keep may not
+    name one of the new columns. The vocabulary file (some MB) is read once and broadcast.
     """
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as f:
@@ -211,18 +232,18 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
         e = encoder(spec.value)
         for whole in batches:
             for b in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
-                n, id_hash, text_hash, packed, offsets = [], [], [], [], [0]
+                n, id_hash, text_hash, packed = [], [], [], []
                 for t in b.column(len(keep)):
                     entries = e.text(t.as_py() or "")
-                    n.append(sum(x[0] for x in entries))
-                    id_hash.append(hashlib.sha256(" ".join([x[1] for x in entries]).encode()).hexdigest())
-                    text_hash.append(hashlib.sha256(" ".join([x[2] for x in entries]).encode()).hexdigest())
+                    written = " ".join([x[0] for x in entries])
+                    n.append(written.count(" ") + 1 if written else 0)
+                    id_hash.append(hashlib.sha256(written.encode()).hexdigest())
+                    text_hash.append(hashlib.sha256(" ".join([x[1] for x in entries]).encode()).hexdigest())
                     if ids:
-                        packed += [x[3] for x in entries]
-                        offsets.append(offsets[-1] + n[-1])
+                        packed.append(np.array(written.split(), np.int32))
                 columns = [*b.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
                 if ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32))))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.concatenate(packed))))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return source.mapInArrow(run, schema)
