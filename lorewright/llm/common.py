@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space and tab to carriage return.
@@ -29,6 +32,29 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+#: Tables that the step of a pipeline that runs now has written, while recording() is on.
+_written: list[str] | None = None
+
+
+@contextlib.contextmanager
+def recording() -> Iterator[list[str]]:
+    """The folders of tables that stage() writes inside the block."""
+    global _written
+    before, _written = _written, []
+    try:
+        yield _written
+    finally:
+        _written = before
+
+
+def drop_tables(spark: SparkSession, folders: list[str]) -> None:
+    """Delete tables that stage() has written."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 
@@ -37,6 +63,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _written is not None:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,6 +90,31 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "le
     return df.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, key, how)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, order: list[Column], sums: tuple[str, ...] = ()) -> DataFrame:
+    """df with `row_no`, its place in the order from 1, and before_<c>: the sum of column c over all rows before it.
+
+    Rows are dealt out by ranges of the order, so no task sees more than a range; only the ranges' totals, one row
+    for each shuffle partition, meet in one place. The order must tell all rows apart.
+    """
+    ranged = stage(df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()), "ranged")
+    total = ranged.groupBy("range_").agg(F.count("*").alias("n_"), *(F.sum(c).alias(f"sum_{c}") for c in sums))
+    before = W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    total = total.select("range_", so_far("n_", before).alias("n_"), *(so_far(f"sum_{c}", before).alias(f"sum_{c}") for c in sums))
+    by = W.partitionBy("range_").orderBy(*order)
+    inside = by.rowsBetween(W.unboundedPreceding, -1)
+    j = ranged.select("*", F.row_number().over(by).alias("row_"), *(so_far(c, inside).alias(f"in_{c}") for c in sums)).join(F.broadcast(total), "range_")
+    return j.select(*df.columns, (F.col("n_") + F.col("row_")).alias("row_no"), *((F.col(f"sum_{c}") + F.col(f"in_{c}")).alias(f"before_{c}") for c in sums))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of results that are no longer referenced, before more are written."""
     gc.collect()

@@ -22,8 +22,8 @@ HIGH = {"sym": 50, "rep": 150, "dup": 250, "length": 150}
 LOW = {"length": 100}
 #: A fence lies so many interquartile ranges beyond the quartile.
 REACH = 3
-#: A language and source with fewer documents uses the sketch merged over the language.
-LEAST_DOCS = 100
+#: The quartiles of a language and source are drawn to those of the language, as by so many documents of it.
+PRIOR = 100
 GAMMA = 1.02
 
 
@@ -85,13 +85,17 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """One row per language and source: the upper (hi_*) and lower (lo_*) fence of each rule."""
+    """One row per language and source: the upper (hi_*) and lower (lo_*) fence of each rule.
+
+    One rule for groups of all sizes: the mean of the group's quartile and that of its language, by the group's
+    documents and PRIOR.
+    """
     own = _quartiles(sketch, ["lang", "source"])
     merged = sketch.groupBy("lang", "rule", "bucket").agg(F.sum("n").alias("n"))
     wide = _quartiles(merged, ["lang"]).select(F.col("lang").alias("l2"), F.col("rule").alias("r2"), F.col("q1").alias("w1"), F.col("q3").alias("w3"))
     j = own.join(wide, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("rule") == F.col("r2")))
-    pick = lambda a, b: F.when(F.col("docs") >= LEAST_DOCS, F.col(a)).otherwise(F.col(b))
-    j = j.select("lang", "source", "rule", pick("q1", "w1").alias("q1"), pick("q3", "w3").alias("q3"))
+    drawn = lambda a, b: (F.col("docs") * F.col(a) + PRIOR * F.col(b)) / (F.col("docs") + PRIOR)
+    j = j.select("lang", "source", "rule", drawn("q1", "w1").alias("q1"), drawn("q3", "w3").alias("q3"))
     at = lambda rule, e: F.max(F.when(F.col("rule") == rule, e))
     spread = REACH * (F.col("q3") - F.col("q1"))
     return j.groupBy("lang", "source").agg(
@@ -104,7 +108,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """docs as struct `rec`, the measures, base_failed and kept.
 
     Null language or source is a group of its own. An empty table gives an empty result. Equal rows
-    get equal verdicts. The measured rows are written once and read twice (sketch and join).
+    get equal verdicts; a measure that lies on a fence is kept. Texts may be of any length. Columns of docs may
+    have any names, as they stay inside `rec`. The measured rows are written once and read twice (sketch and join).
     """
     m = measure(docs, text)
     if not keep_text:
@@ -162,7 +167,7 @@ ske AS (SELECT lang, source, rule, CASE WHEN x > 0 THEN 1 + floor(ln(x::DOUBLE)
 skl AS (SELECT lang, rule, bucket, sum(n) AS n FROM ske GROUP BY ALL),
 own AS ({_sql_quartiles("ske", "lang, source")}),
 wid AS ({_sql_quartiles("skl", "lang")}),
-pic AS (SELECT o.lang, o.source, o.rule, CASE WHEN o.docs >= {LEAST_DOCS} THEN o.q1 ELSE w.q1 END AS q1, CASE WHEN o.docs >= {LEAST_DOCS} THEN o.q3 ELSE w.q3 END AS q3
+pic AS (SELECT o.lang, o.source, o.rule, (o.docs * o.q1 + {PRIOR} * w.q1) / (o.docs + {PRIOR}) AS q1, (o.docs * o.q3 + {PRIOR} * w.q3) / (o.docs + {PRIOR}) AS q3
     FROM own o JOIN wid w ON o.lang IS NOT DISTINCT FROM w.lang AND o.rule = w.rule),
 fen AS (SELECT lang, source, {_AT} FROM pic GROUP BY lang, source),
 judged AS (SELECT b.*, NOT base_failed AND coalesce({_HI} AND {_LO}, TRUE) AS kept FROM bas b LEFT JOIN fen f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source)"""
