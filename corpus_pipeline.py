@@ -6,6 +6,9 @@ as the docs of the next one.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,41 +18,86 @@ from lorewright.llm import bpe, common, dedup, mixing, pii, quality
 PERCENT, WIDTH = 80, 5
 
 
+_earlier: list[str] = []
+
+
+def own_tables(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that, when it begins, deletes the tables that the stage before wrote for itself.
+
+    A stage's result is written before the next stage begins, so nothing reads them any more; tables that docs still
+    reads are left where they are.
+    """
+
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = {f.rsplit("/", 2)[-2] for f in docs.inputFiles()}
+        common.drop_tables(spark, [t for t in _earlier if t.rsplit("/", 1)[-1] not in read])
+        common.release(spark)
+        with common.recording() as written:
+            result = step(spark, docs, sf_dir)
+        _earlier[:] = written
+        return result
+
+    return run
+
+
+def recounted(docs: DataFrame) -> DataFrame:
+    """docs, with n_chars (if there is such a column) the characters of text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+@own_tables
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Rows without text go; repeated rows share their verdict.
+
+    Like all stages: texts of any length, columns of any names beside doc_id, text, lang and source; an empty table
+    gives an empty table.
+    """
     return quality.judge(docs).filter("kept").select("rec.*")
 
 
+@own_tables
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least doc_id."""
+    """One document of each group of near-duplicates: that with the least doc_id, of repeated rows one.
+
+    A row without words is no duplicate and stays. Shingles are of five words here, the width for near-duplicates
+    where nothing else is asked; op7 takes four by its contract.
+    """
     return dedup.near_duplicates(docs, percent=PERCENT, width=WIDTH).filter("first").select("rec.*")
 
 
+@own_tables
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every personal span replaced by its kind; n_chars follows."""
-    out = pii.redact(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    """Documents with every personal span replaced by its kind; n_chars follows. Null text stays null."""
+    return recounted(pii.redact(docs))
 
 
+@own_tables
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each time that a document is taken, with the words that are taken of it.
+    """The mix in the order of its slots: a row for each time that a document is taken, with the words taken of it.
 
     A document that is taken whole keeps its text as it is; of one that is taken in part the words are
-    joined by one space.
+    joined by one space. One without words is not taken, rows that are alike are documents of their own. Texts are
+    moved once, to their places in the order; sizes, slots and shares are worked out without them.
     """
-    laid, pieces = mixing.mix(docs)
-    taken = pieces.groupBy("uid", "pass").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
-    j = taken.join(laid, "uid")
+    row = common.fresh(docs, "row")
+    held = common.stage(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    laid, pieces = mixing.mix(held.select("doc_id", "source", "text", row), keep_text=False)
+    taken = pieces.groupBy("uid", "pass").agg(F.min("slot").alias("slot"), F.min("first").alias("first"), F.sum("words").alias("words"))
+    taken = common.stage(taken.join(laid.select("uid", F.col(f"rec.{row}").alias("of"), "size"), "uid").select("of", "slot", "first", "words", "size", "pass"), "taken")
+    j = held.select(F.struct("*").alias("rec")).join(F.broadcast(taken) if taken.count() <= common.FEW_IDS else taken, F.col(f"rec.{row}") == F.col("of"))
+    j = j.repartitionByRange("slot", "of", "pass").sortWithinPartitions("slot", "of", "pass")
     text = F.col("rec.text")
     part = F.array_join(F.slice(common.words(text), (F.col("first") + 1).cast("int"), F.col("words").cast("int")), " ")
     text = F.when(F.col("words") == F.col("size"), text).otherwise(part)
-    kept = [F.col(f"rec.{c}") for c in docs.columns if c not in ("text", "n_chars")]
-    out = j.select(*kept, text.alias("text"))
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return recounted(j.select(*(text.alias(c) if c == "text" else F.col(f"rec.`{c}`") for c in docs.columns)))
 
 
+@own_tables
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row of the mix."""
+    """Token ids of every row of the mix, also of rows without text (none) and repeated ones."""
     return bpe.encode(docs, bpe.default_path(), keep=("doc_id", "lang", "source"))
 
 
@@ -67,6 +115,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
-        docs = common.stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, step) in enumerate(STAGES[:-1]):
+        before, docs = docs, common.stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
