@@ -19,8 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: A comment, a declaration, or the begin of a tag up to its attributes.
+OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: Attributes of a tag in which no quoted value holds a bracket.
+PLAIN = re.compile(r"""((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>""")
+QUOTE_OR_END = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 # Elements and names by their part in a page.
 RAW = frozenset("script style noscript template textarea svg math iframe object select title".split())
@@ -50,6 +54,47 @@ IN_CONTENT, IN_BOILER, NAMED_CONTENT = 4.0, 8.0, 1.5
 ADJACENT, SIBLING = 0.6, 0.9
 
 
+class Tags:
+    """The tags of a page in order. Time in proportion to the page, whatever its quotes are."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.dead: set[int] = set()  # places outside of quotes from which no tag's end is met
+
+    def _end(self, at: int) -> int:
+        """The place of the bracket that ends the attributes that begin at `at`, -1 if quotes hide all."""
+        met = []
+        while at not in self.dead and (m := QUOTE_OR_END.search(self.page, at)):
+            if m[0] == ">":
+                return m.start()
+            met.append(at)
+            close = self.page.find(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(met, (at,))
+        return -1
+
+    def find(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, "/" for an end tag, name, attributes) of the next tag; a name is empty for what is no element."""
+        while at <= self.last or self.page.find("<!--", at) >= 0:
+            m = OPEN.search(self.page, at)
+            if not m:
+                return None
+            if not m[2]:
+                return m.start(), m.end(), "", "", ""
+            if m.end() > self.last:
+                at = m.end()
+                continue
+            if plain := PLAIN.match(self.page, m.end()):
+                return m.start(), plain.end(), m[1], m[2], plain[1]
+            end = self._end(m.end())
+            if end < 0:  # a quote without an end: the tag goes on to the first bracket and counts for nothing
+                return m.start(), self.page.find(">", m.end()) + 1, "", "", ""
+            return m.start(), end + 1, m[1], m[2], self.page[m.end() : end]
+        return None
+
+
 @dataclass
 class Block:
     text: str
@@ -92,6 +137,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     tag, links, in_link, number, at = "", 0, False, 0, 0
     closed = True  # whether the open link has an end; else it ends at the next block
+    is_open: Counter[str] = Counter()
     unclosed: set[str] = set()  # elements that have no end from here on
 
     def close() -> None:
@@ -113,14 +159,15 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 links += len(raw.strip())
 
-    while m := TAG.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+    tags = Tags(page)
+    while found := tags.find(at):
+        start, end_, ends, name, attributes = found
+        add(page[at:start])
+        at, name = end_, name.lower()
         if not name:
             continue
         if name in RAW:
-            if not m[1] and not m[3].endswith("/"):
+            if not ends and not attributes.endswith("/"):
                 end = None
                 if name not in unclosed:
                     end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(page, at)
@@ -133,11 +180,11 @@ def blocks(page: str) -> list[Block]:
         elif name in BLOCKS:
             close()
             in_link &= closed
-            tag = "" if m[1] else name
+            tag = "" if ends else name
             if name in CONTAINERS:
-                if not m[1]:
+                if not ends:
                     number += 1
-                    boiler, look, content, named = _signs(name, m[3])
+                    boiler, look, content, named = _signs(name, attributes)
                     _, _, was_boiler, was_content, was_named, looks, articles = stack[-1]
                     if name == "header" and was_content:
                         boiler = False  # the head of an article belongs to it
@@ -146,15 +193,17 @@ def blocks(page: str) -> list[Block]:
                     if look:
                         looks = (*looks, number)
                     stack.append((name, number, was_boiler or boiler, was_content or content, was_named or named, looks, articles))
-                else:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == name:
-                            del stack[k:]
+                    is_open[name] += 1
+                elif is_open[name]:
+                    while True:
+                        gone = stack.pop()[0]
+                        is_open[gone] -= 1
+                        if gone == name:
                             break
         elif name == "br":
             parts.append(" ")
         elif name == "a":
-            in_link = not m[1] and HREF.search(m[3]) is not None
+            in_link = not ends and HREF.search(attributes) is not None
             if in_link:
                 then = NEXT_LINK.search(page, at)
                 closed = then is not None and then[1] == "/"
@@ -261,7 +310,11 @@ def main_text(page: str) -> str:
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars). Null html counts as empty. Pages are independent of each other."""
+    """(page_id, url, text, n_chars).
+
+    Null html counts as empty. Pages are independent of each other: repeated rows give equal rows, pages may be of any
+    length, an empty table gives an empty result. Other columns of pages, whatever their names, are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
