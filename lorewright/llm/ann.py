@@ -145,28 +145,42 @@ def whole(x: np.ndarray, first: np.ndarray, q: np.ndarray, width: int) -> np.nda
     return np.lexsort((first, -np.einsum("kd,d->k", x, q)))[:width]
 
 
+#: vectors holds the distinct ones as they were given, in double precision.
 INDEX = "shard long, dim int, ids binary, starts binary, vectors binary, levels array<struct<members binary, links binary>>"
 
 
+def widened(x: np.ndarray) -> np.ndarray:
+    """x in single precision with one more coordinate, by which all rows have one norm."""
+    norm = (x * x).sum(axis=1)
+    return np.column_stack([x, np.sqrt(np.maximum(norm.max() - norm, 0))]).astype(np.float32)
+
+
+def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    """A column of lists of one length as an array."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
 def _build_shard(key: tuple, rows: pa.Table) -> pa.Table:
     ids = rows["vec_id"].to_numpy()
-    x = np.array(rows["embedding"].to_pylist(), np.float64)
-    norm = (x * x).sum(axis=1)
-    wide = np.column_stack([x, np.sqrt(np.maximum(norm.max() - norm, 0))]).astype(np.float32)
-    wide, place = np.unique(wide, axis=0, return_inverse=True)
+    x, place = np.unique(matrix(rows["embedding"], len(ids)), axis=0, return_inverse=True)
     order = np.lexsort((ids, place.ravel()))
     ids, starts = ids[order], np.append(0, np.cumsum(np.bincount(place.ravel())))
-    levels = [{"members": m.tobytes(), "links": k.tobytes()} for m, k in build(wide)]
+    levels = [{"members": m.tobytes(), "links": k.tobytes()} for m, k in build(widened(x))]
     kind = pa.list_(pa.struct([("members", pa.binary()), ("links", pa.binary())]))
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()), "ids": [ids.tobytes()], "starts": [starts.astype(np.int64).tobytes()], "vectors": [wide.tobytes()], "levels": pa.array([levels], kind)})
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()), "ids": [ids.tobytes()], "starts": [starts.astype(np.int64).tobytes()], "vectors": [x.tobytes()], "levels": pa.array([levels], kind)})
 
 
 def valid(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, embedding as array<double>, dim) without vectors that are null, zero, or hold null or non-finite components."""
+    """(vec_id, embedding as array<double>, dim) without vectors that are null, zero, or hold null or non-finite components.
+
+    One row for each vec_id: of rows that repeat an id the least vector stands, by its components in order. Rows
+    without an id take no part.
+    """
     e = F.col(embedding).cast("array<double>")
     fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), e.alias("embedding"))
     v = v.filter(F.col("vec_id").isNotNull() & F.forall("embedding", fine) & F.exists("embedding", lambda c: c != 0))
+    v = v.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     return v.withColumn("dim", F.size("embedding"))
 
 
@@ -181,7 +195,8 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOC
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, other than itself.
 
     Scores are inner products in double precision; ties go to the smaller vec_id. Vectors of another
-    dimension than the query are no candidates. Without vectors or queries the result is empty.
+    dimension than the query are no candidates. Without vectors or queries the result is empty. Other columns
+    of the table, whatever their names, are not read.
     """
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -190,14 +205,15 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOC
             return pa.table(empty)
         ids = np.frombuffer(left["ids"][0].as_py(), np.int64)
         starts = np.frombuffer(left["starts"][0].as_py(), np.int64)
-        x = np.frombuffer(left["vectors"][0].as_py(), np.float32).reshape(len(starts) - 1, -1)
+        plain = np.frombuffer(left["vectors"][0].as_py(), np.float64).reshape(len(starts) - 1, -1)
+        x = widened(plain)
         levels = []
         for level in left["levels"][0].as_py():
             members = np.frombuffer(level["members"], np.int32)
             levels.append((members, np.frombuffer(level["links"], np.int32).reshape(len(members), -1)))
-        own, q = right["vec_id"].to_numpy(), np.array(right["embedding"].to_pylist(), np.float64)
+        own, q = right["vec_id"].to_numpy(), matrix(right["embedding"], right.num_rows)
         found = search(x, levels, np.column_stack([q, np.zeros(len(q))]).astype(np.float32))
-        plain, first = x[:, :-1].astype(np.float64), ids[starts[:-1]]
+        first = ids[starts[:-1]]
         # k + 1 vectors of k + 1 ids each suffice, as one id may be the query's own
         few = min(k + 1, found.shape[1])
         exact = np.where(found < 0, -np.inf, np.einsum("nkd,nd->nk", plain[found], q))
