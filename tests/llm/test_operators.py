@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +139,20 @@ def test_large_buckets_go_through_prefix_join(spark, monkeypatch):
     assert {r.rec.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(df).collect()} == want
 
 
+def test_templates_under_the_threshold_give_no_pairs(spark, monkeypatch):
+    shared = [f"t{k}" for k in range(8)]
+    texts = [" ".join([*shared, f"own{i}"]) for i in range(300)]  # five shared shingles of six: 5 / 7
+    texts += [" ".join(["u", *shared, *(f"w{k}" for k in range(20)), f"x{i % 3}"]) for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(dedup, "SMALL", 2)
+    found = []
+    screen = dedup.screen
+    monkeypatch.setattr(dedup, "screen", lambda pairs, *a: (found.append(pairs.count()), screen(pairs, *a))[1])
+    out = {r.rec.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(df).collect()}
+    assert out == brute_components(dict(enumerate(texts)))
+    assert found[-1] < 100 and max(found) < 12 * len(texts)  # the prefix join; the rounds before it
+
+
 @pytest.mark.parametrize("part_rows", [400_000, 50])
 def test_repeated_passages_equal_brute_force(spark, monkeypatch, part_rows):
     monkeypatch.setattr(suffixes, "PART_ROWS", part_rows)
@@ -262,6 +277,15 @@ def test_html_leaves_out_related_articles_and_block_links():
     assert text.count(LONG.strip()) == 3 and "Another story" not in text
 
 
+def test_html_time_is_in_proportion_to_the_page():
+    n = 60_000
+    for page in ('<a "x ' * n, '<a "' + '>" <a "' * n, "<div>" * n + "</nav>" * n, "<a " + "b" * 8 * n + ">", "<!x " * n, '<a "x ' * n + ">", "<!--" * n):
+        began = time.process_time()
+        html.blocks(page)
+        assert time.process_time() - began < 5
+    assert html.main_text(f'<p title="a > b" data-x=\'"\'>{LONG}</p>') == LONG.strip()
+
+
 def test_min_cut_equals_brute_force():
     rng = random.Random(6)
     for _ in range(60):
@@ -300,6 +324,22 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert ann.nearest(ann.build_index(v.limit(0)), v.limit(0)).count() == 0
 
 
+def test_nearest_scores_are_exact_and_ids_stand_once(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 8))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, rows[0], rows[20], (40, [float(c) + 100 for c in x[40]])], "vec_id long, embedding array<double>")
+    v = ann.valid(df)
+    got = {}
+    for r in ann.nearest(ann.build_index(v, 60), v.filter("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(range(0, 200, 20))
+    for q, near in got.items():
+        near.sort()
+        assert [r for r, _, _ in near] == list(range(1, 21)) and len({i for _, i, _ in near}) == 20
+        assert all(s == pytest.approx(float(x[q] @ x[i]), rel=1e-13, abs=1e-13) for _, i, s in near)
+
+
 def test_nearest_by_id_among_copies_and_in_a_dense_cluster(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 16))
@@ -330,7 +370,7 @@ def test_toxicity_on_held_out_rows(spark):
     bad = {i for i in range(900) if rng.random() < 0.25}
     texts = [t + (" " + " ".join(rng.sample(["vile", "rotten", "scummy", "nasty"], 2)) if i in bad else "") for i, t in enumerate(texts)]
     df = odd_docs(spark, texts)
-    labels = spark.createDataFrame([(i, int(i in bad)) for i in range(900)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in range(900)] + [(None, 1), (3, None)] + [(i, 0) for i in range(0, 900, 7)], "doc_id long, toxic int")
     net = toxicity.train(df.select("doc_id", "text"), labels)
     out = [r for r in toxicity.classify(df, net).collect()]
     assert len(out) == df.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
