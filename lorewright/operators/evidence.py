@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..registry import query, read
-from .retrieval import _COS, _E, INTENTS, corpus, cosine_topk, few_queries
+from .intents import INTENTS, tags
+from .retrieval import _COS, _E, corpus, cosine_topk
 
-# What a text must hold as evidence for an intent, and verdict patterns, negative ones first.
-EVIDENCE = {"location": "located|found in|near", "stats": "[0-9]+", "requirements": "requires?|must|need", "timeline": "20[0-9][0-9]|released"}
+# Verdict patterns, negative ones first.
 VERDICTS = [("No", "cannot|can't|not allowed|never"), ("Yes", "can |allowed|always")]
 #: Terms that an intent adds to a question.
 NEUTRAL = {"location": "where to find", "stats": "statistics", "requirements": "prerequisites", "timeline": "release date"}
@@ -65,19 +65,19 @@ def boosted_rank(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "recursive_expand",
     f"""WITH {_E}, p AS (SELECT a.vec_id AS src, b.vec_id AS dst, {_COS} AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id),
-    r1 AS (SELECT src AS seed, dst FROM p WHERE src < 5 QUALIFY row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) <= 3),
+    r1 AS (SELECT src AS seed, dst FROM p WHERE src % 100 = 0 QUALIFY row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) <= 3),
     k AS (SELECT src, dst FROM p WHERE src IN (SELECT dst FROM r1) QUALIFY row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) <= 3),
     r2 AS (SELECT DISTINCT r1.seed, k.dst FROM r1 JOIN k ON k.src = r1.dst WHERE k.dst <> r1.seed AND (r1.seed, k.dst) NOT IN (SELECT (seed, dst) FROM r1))
     SELECT seed, dst AS vec_id, 1 AS round FROM r1 UNION ALL SELECT seed, dst, 2 FROM r2""",
 )
 def recursive_expand(spark: SparkSession, d: str, rounds: int = 2, per_seed: int = 3) -> DataFrame:
-    """From each seed its nearest vectors, then those of the new ones, round by round. Seeds are a bounded table,
-    so a frontier has at most seeds * per_seed ** rounds rows."""
+    """From each seed (ids divisible by 100) its nearest vectors, then those of the new ones, round by round. A frontier
+    has at most seeds * per_seed ** rounds rows."""
     rows = corpus(spark, d)
-    seen = rows.filter("vec_id < 5").select(F.col("vec_id").alias("seed"), "vec_id", F.lit(0).alias("round"))
+    seen = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("seed"), "vec_id", F.lit(0).alias("round"))
     front = seen
     for n in range(1, rounds + 1):
-        q = rows.join(F.broadcast(front.select("vec_id").distinct()), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+        q = rows.join(front.select("vec_id").distinct(), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
         near = cosine_topk(q, rows, per_seed, exclude_self=True).select(F.col("query_id").alias("from"), F.col("vec_id").alias("to"))
         reached = front.join(near, F.col("vec_id") == F.col("from")).select("seed", F.col("to").alias("vec_id")).distinct()
         front = reached.join(seen.select("seed", "vec_id"), ["seed", "vec_id"], "left_anti").withColumn("round", F.lit(n))
@@ -132,33 +132,13 @@ def verdict_quote(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", verdict.alias("verdict"), F.substring(F.coalesce(*found), 1, 240).alias("quote")).filter("verdict is not null")
 
 
-def tags(q: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(F.lower(q).rlike(v), F.lit(k)) for k, v in INTENTS.items())))
-
-
-_TAGGED = " UNION ALL ".join(f"SELECT conv_id, turn, text, '{k}' AS intent FROM conversations WHERE regexp_matches(lower(text), '{v}')" for k, v in INTENTS.items())
-_HOLDS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS intent FROM documents WHERE regexp_matches(lower(text), '{v}')" for k, v in EVIDENCE.items())
-
-
-@query("intent_evidence", f"SELECT intent, count(*) AS documents FROM ({_HOLDS}) GROUP BY intent")
-def intent_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """How many documents hold evidence for each intent."""
-    held = F.array_compact(F.array(*(F.when(F.lower("text").rlike(v), F.lit(k)) for k, v in EVIDENCE.items())))
-    return read(spark, d, "documents").select(F.explode(held).alias("intent")).groupBy("intent").agg(F.count("*").alias("documents"))
-
-
-@query("evidence_guard", "SELECT conv_id, turn, intent, NOT CASE intent " + " ".join(f"WHEN '{k}' THEN regexp_matches(lower(text), '{v}')" for k, v in EVIDENCE.items()) + f" END AS refused FROM ({_TAGGED})")
-def evidence_guard(spark: SparkSession, d: str) -> DataFrame:
-    """A question is refused for an intent whose evidence its context (here its own turn) lacks."""
-    t = read(spark, d, "conversations").select("conv_id", "turn", "text", F.explode(tags(F.col("text"))).alias("intent"))
-    held = F.coalesce(*(F.when(F.col("intent") == k, F.lower("text").rlike(v)) for k, v in EVIDENCE.items()))
-    return t.select("conv_id", "turn", "intent", (~held).alias("refused"))
+_TAGGED = " UNION ALL ".join(f"SELECT conv_id, turn, text, '{k}' AS intent FROM conversations WHERE regexp_matches(lower(text), '{INTENTS[k]}')" for k in NEUTRAL)
 
 
 @query("intent_expand", "SELECT conv_id, turn, CASE intent " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NEUTRAL.items()) + f" END AS term FROM ({_TAGGED})")
 def intent_expand(spark: SparkSession, d: str) -> DataFrame:
     terms = F.create_map(*(F.lit(x) for kv in NEUTRAL.items() for x in kv))
-    return read(spark, d, "conversations").select("conv_id", "turn", F.explode(tags(F.col("text"))).alias("intent")).select("conv_id", "turn", F.element_at(terms, F.col("intent")).alias("term"))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.explode(tags(F.col("text"))).alias("intent")).select("conv_id", "turn", F.try_element_at(terms, F.col("intent")).alias("term")).filter("term is not null")
 
 
 @query("search_terms", "SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 4))) AS term FROM benchmark")

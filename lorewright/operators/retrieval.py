@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,32 +24,62 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / F.when(n == 0, 1.0).otherwise(n))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
     return e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
 
 
+#: Vectors of a block of rows, and of a block of queries.
+ROW_BLOCK, QUERY_BLOCK = 4096, 1024
+
+
+def packed(vectors: DataFrame, key: str, vector: str, size: int, name: str) -> tuple[DataFrame, int]:
+    """Vectors in blocks of about so many: (name, keys and vectors as one array), and the number of blocks."""
+    v = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    blocks = max(1, -(-v.count() // size))
+    return v.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias(name)).agg(F.collect_list(F.struct("key", "v")).alias(f"{name}_of")), blocks
+
+
+def _units(block: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of a block; each vector by its length, a zero vector stays zero."""
+    key = block.field("key").to_numpy(zero_copy_only=False)
+    x = block.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(key), -1)
+    n = np.sqrt((x * x).sum(axis=1))
+    return key, x / np.where(n == 0, 1.0, n)[:, None]
+
+
 def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """(query_id, vec_id, score, rank). queries: (query_id, q), a bounded table that every executor holds.
+    """(query_id, vec_id, score, rank): of all rows the k nearest to each query. queries: (query_id, q); rows: (vec_id, v).
 
-    Each row is scored against all queries in place; per query the k best are kept.
+    Blocks of queries meet blocks of rows, each pair once, as matrix products; of a pair only the k best of each
+    query are kept, and these are merged. All vectors have one dimension.
     """
-    packed = queries.agg(F.collect_list(F.struct("query_id", unit(F.col("q")).alias("q"))).alias("queries"))
-    u = rows.select("vec_id", unit(F.col("v")).alias("u"))
-    j = u.join(F.broadcast(packed)).select("vec_id", F.explode(F.transform("queries", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(dot(F.col("u"), x["q"]), 9).alias("score")))).alias("s"))
-    j = j.select("s.query_id", "vec_id", "s.score")
-    if exclude_self:
-        j = j.filter("query_id <> vec_id")
+    q, blocks = packed(queries, "query_id", "q", QUERY_BLOCK, "block")
+    r, _ = packed(rows, "vec_id", "v", ROW_BLOCK, "part")
+    pairs = r.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "block").select("block_of", "part_of")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for one, other in zip(b.column(0), b.column(1), strict=True):
+                (qid, x), (vid, y) = _units(one.values), _units(other.values)
+                s = np.round(x @ y.T, 9) + 0.0
+                if exclude_self:
+                    s[qid[:, None] == vid[None, :]] = -np.inf
+                order = np.argsort(vid, kind="stable")
+                vid, s = vid[order], s[:, order]
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                value = np.take_along_axis(s, top, 1)
+                ok = value > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, ok.sum(axis=1))), pa.array(vid[top][ok]), pa.array(value[ok])], names=["query_id", "vec_id", "score"])
+
+    best = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return j.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def few_queries(rows: DataFrame) -> DataFrame:
-    return rows.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    """The queries of searches: rows whose id is divisible by 100."""
+    return rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
 
 
 _E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
@@ -53,7 +87,7 @@ _COS = "round(coalesce(list_inner_product(a.v, b.v) / nullif(sqrt(list_inner_pro
 
 
 def _topk_sql(k: int, where: str = "TRUE") -> str:
-    return f"SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM e a JOIN e b ON {where} WHERE a.vec_id < 20 QUALIFY rank <= {k}"
+    return f"SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM e a JOIN e b ON {where} WHERE a.vec_id % 100 = 0 QUALIFY rank <= {k}"
 
 
 @query("cosine_topk", f"WITH {_E} {_topk_sql(10)}")
@@ -74,7 +108,7 @@ def semantic_search(spark: SparkSession, d: str) -> DataFrame:
     return cosine_topk(few_queries(rows), rows, 6).filter("score > 0.3")
 
 
-@query("hybrid_merge", f"WITH {_E}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round({_COS} * CASE WHEN b.label < 5 THEN 1.1 ELSE 1.0 END, 6) AS score FROM e a, e b WHERE a.vec_id < 20) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10")
+@query("hybrid_merge", f"WITH {_E}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round({_COS} * CASE WHEN b.label < 5 THEN 1.1 ELSE 1.0 END, 6) AS score FROM e a, e b WHERE a.vec_id % 100 = 0) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10")
 def hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
     """Pages (labels 0 to 4) weigh 1.1 times as much as entities; the best ten of both. Ten of each side suffice."""
     rows = corpus(spark, d)
@@ -97,8 +131,9 @@ def vector_blend(spark: SparkSession, d: str) -> DataFrame:
 
 @query("embedding_scan_valid", "SELECT vec_id, len(embedding) AS dimension FROM embeddings WHERE embedding IS NOT NULL")
 def embedding_scan_valid(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings").filter("embedding is not null").select("vec_id", F.size("embedding").alias("dimension"))
-    return e.dropDuplicates(["vec_id"])
+    e = read(spark, d, "embeddings").filter("embedding is not null")
+    # of rows that repeat an id the least vector stands
+    return e.groupBy("vec_id").agg(F.size(F.min("embedding")).alias("dimension"))
 
 
 @query("hash_embed", "WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS token FROM documents) SELECT doc_id, substring(md5(token), 1, 1) AS slot, sum(CASE WHEN substring(md5(token), 2, 1) < '8' THEN 1 ELSE -1 END)::BIGINT AS value FROM t GROUP BY ALL")
@@ -138,7 +173,7 @@ def spell_suggest(spark: SparkSession, d: str) -> DataFrame:
     """Unknown words against the lexicon: same first letter, lengths at most two apart, distance two (one for
     short words). Blocked by (first letter, length), so it is an equality join."""
     lex = read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("freq"))
-    q = lex.filter(F.char_length("w") > 4).select(F.concat(F.substring("w", 1, 2), F.substring("w", 4, 1000)).alias("q")).distinct()
+    q = lex.filter(F.char_length("w") > 4).select(F.concat(F.substring("w", 1, 2), F.expr("substring(w, 4)")).alias("q")).distinct()
     q = q.join(lex.select(F.col("w").alias("q")), "q", "left_anti").withColumn("n", F.char_length("q"))
     blocks = q.select("q", "n", F.substring("q", 1, 1).alias("first"), F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)).alias("length"))
     j = blocks.join(lex.select("w", "freq", F.substring("w", 1, 1).alias("first"), F.char_length("w").alias("length")), ["first", "length"])
@@ -165,39 +200,6 @@ def excerpt_select(spark: SparkSession, d: str) -> DataFrame:
     return best.select("doc_id", "b.start", (-F.col("b.minus")).alias("score"))
 
 
-@query(
-    "attribution",
-    """WITH q AS (SELECT item_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS s FROM benchmark),
-    r AS (SELECT doc_id, source, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM documents)
-    SELECT item_id, source, max(doc_id) AS newest, min(doc_id) AS oldest FROM q JOIN r ON contains(t, s) GROUP BY ALL""",
-)
-def attribution(spark: SparkSession, d: str) -> DataFrame:
-    """For each snippet and title the newest and the oldest revision that hold it. The snippets are a bounded table."""
-    flat = lambda c: F.trim(F.regexp_replace(c, r"[ \t\r\n]+", " "))
-    q = read(spark, d, "benchmark").select("item_id", flat("text").alias("s")).agg(F.collect_list(F.struct("item_id", "s")).alias("all"))
-    r = read(spark, d, "documents").select("doc_id", "source", flat("text").alias("t")).join(F.broadcast(q))
-    hit = r.select("doc_id", "source", F.explode(F.transform(F.filter("all", lambda x: F.contains(F.col("t"), x["s"])), lambda x: x["item_id"])).alias("item_id"))
-    return hit.groupBy("item_id", "source").agg(F.max("doc_id").alias("newest"), F.min("doc_id").alias("oldest"))
-
-
-@query("source_list", f"WITH {_E} SELECT query_id, vec_id, rank, least(0.999, greatest(0.0, score)) AS similarity, 'https://wiki.example.org/w/' || vec_id AS url FROM ({_topk_sql(5)})")
-def source_list(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus(spark, d)
-    t = cosine_topk(few_queries(rows), rows, 5)
-    return t.select("query_id", "vec_id", "rank", F.least(F.lit(0.999), F.greatest(F.lit(0.0), F.col("score"))).alias("similarity"), F.concat(F.lit("https://wiki.example.org/w/"), F.col("vec_id").cast("string")).alias("url"))
-
-
-# Intents and the words that speak for them.
-INTENTS = {"location": "where|location|place", "stats": "how many|level|number", "requirements": "need|require|must", "timeline": "when|release|history"}
-
-
-@query("intent_tags", "SELECT item_id, list_sort(list(intent)) AS intents FROM (" + " UNION ALL ".join(f"SELECT item_id, '{k}' AS intent FROM benchmark WHERE regexp_matches(lower(text), '{v}')" for k, v in INTENTS.items()) + ") GROUP BY item_id")
-def intent_tags(spark: SparkSession, d: str) -> DataFrame:
-    t = F.lower("text")
-    tags = F.array_compact(F.array(*(F.when(t.rlike(v), F.lit(k)) for k, v in INTENTS.items())))
-    return read(spark, d, "benchmark").select("item_id", F.array_sort(tags).alias("intents")).filter(F.size("intents") > 0)
-
-
 @query("resolve_references", "WITH u AS (SELECT conv_id, turn, text, lag(regexp_extract(text, '([A-Z][a-z]+)', 1)) OVER (PARTITION BY conv_id ORDER BY turn) AS entity FROM conversations) SELECT conv_id, turn, CASE WHEN entity <> '' THEN regexp_replace(text, '\\b(it|he|she|they|this|that)\\b', entity) ELSE text END AS resolved FROM u")
 def resolve_references(spark: SparkSession, d: str) -> DataFrame:
     """The first pronoun of a turn becomes the first name of the turn before."""

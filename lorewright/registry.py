@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,3 +26,13 @@ def query(name: str, sql: str | None = None):
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def workspace(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a local one only in local mode, as in tests."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        place = tempfile.mkdtemp(prefix="spark-")
+    return f"{place.rstrip('/')}/work-{uuid.uuid4().hex}"

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..registry import query, workspace
+
 
 def feed(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 64) -> DataFrame:
     """A growing folder of Parquet files as a stream."""
@@ -28,12 +30,19 @@ def upsert(changes: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
         both = batch.select("title", "revid", "kind")
         if number > 0:
             both = both.unionByName(spark.read.parquet(f"{target}/version={number - 1}"))
-        last = both.groupBy("title").agg(F.max_by(F.struct("revid", "kind"), "revid").alias("r")).select("title", "r.*")
+        last = both.groupBy("title").agg(F.max(F.struct("revid", "kind")).alias("r")).select("title", "r.*")
         last.write.mode("overwrite").parquet(f"{target}/version={number}")
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def newest_version(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    """The table as the last batch of upsert() left it."""
+    every = spark.read.schema(f"{schema}, version int").parquet(target)
+    last = every.agg(F.max("version")).first()[0]
+    return every.filter(F.col("version") == last).drop("version")
+
+
 def embed(pages: DataFrame, index: str, checkpoint: str, model: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Embed pages that the index does not hold and append them. model adds the column embedding.
 
@@ -49,3 +58,54 @@ def embed(pages: DataFrame, index: str, checkpoint: str, model: Callable[[DataFr
         model(fresh).write.mode("overwrite").parquet(f"{index}/part={number}")
 
     return pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_log(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Append what each micro-batch finds to a log; the sink writes a batch once, also after a failure."""
+    return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def table(d: str, name: str) -> str:
+    """A table that is one file or a folder of files; as a pattern, since a stream reads a single path as a folder."""
+    return f"{d}/{name}.parque[t]"
+
+
+EVENT = "event_id long, ts timestamp, user_id long, event_type string"
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return feed(spark, table(d, "events"), EVENT).select(F.col("user_id").alias("title"), F.col("event_id").alias("revid"), "ts", F.col("event_type").alias("kind"))
+
+
+@query("stream_latest", "SELECT user_id AS title, max(event_id) AS revid, arg_max(event_type, event_id) AS kind FROM events GROUP BY user_id")
+def stream_latest(spark: SparkSession, d: str) -> DataFrame:
+    at = workspace(spark)
+    upsert(_events(spark, d), f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    return newest_version(spark, f"{at}/table", "title long, revid long, kind string")
+
+
+@query("stream_dedupe", "SELECT DISTINCT user_id AS title, event_id AS revid FROM events")
+def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """The feed with every change twice, each change once."""
+    at, changes = workspace(spark), _events(spark, d)
+    append_log(new_revisions(changes.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)))), "40 days").select("title", "revid"), f"{at}/log", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema("title long, revid long").parquet(f"{at}/log")
+
+
+@query("stream_embed", "SELECT source || '|h:' || md5(text) AS key, min(length(text))::INT AS size FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY 1")
+def stream_embed(spark: SparkSession, d: str) -> DataFrame:
+    """Each page text embedded once (here: by its length), as the index that later batches see."""
+    at = workspace(spark)
+    pages = feed(spark, table(d, "documents"), "doc_id long, text string, lang string, source string").filter("text is not null and source is not null")
+    embed(pages.select("source", "text"), f"{at}/index", f"{at}/checkpoint", lambda df: df.select("key", F.char_length("text").alias("size"))).awaitTermination()
+    return spark.read.schema("key string, size int").parquet(f"{at}/index").select("key", "size")
+
+
+@query("stream_issues", "SELECT conv_id, turn, 'has_link' AS issue FROM conversations WHERE contains(text, 'http') UNION ALL SELECT conv_id, turn, 'very_short' FROM conversations WHERE length(text) < 40")
+def stream_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Issues of each turn, appended to a log batch by batch."""
+    at = workspace(spark)
+    t = feed(spark, table(d, "conversations"), "conv_id long, turn long, role string, text string")
+    found = F.array_compact(F.array(F.when(F.contains("text", F.lit("http")), F.lit("has_link")), F.when(F.char_length("text") < 40, F.lit("very_short"))))
+    append_log(t.select("conv_id", "turn", F.explode(found).alias("issue")), f"{at}/log", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema("conv_id long, turn long, issue string").parquet(f"{at}/log")
