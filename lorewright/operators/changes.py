@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import base_title, page_title, url_path
+from ..functions.text import base_title, page_title, strip_tags, url_path
 from ..registry import query, read
 
 _EV = "SELECT user_id AS title, event_id AS revid, ts, event_type AS kind FROM events"
@@ -84,9 +84,10 @@ def revision_log_append(spark: SparkSession, d: str) -> DataFrame:
     return ev.filter(F.col("ts") >= cut).select("title", "revid").distinct().join(ev.filter(F.col("ts") < cut), ["title", "revid"], "left_anti")
 
 
-@query("recent_changes_since", f"SELECT title, revid, kind FROM ({_EV}) WHERE ts > {_CUT} AND kind IN ('click', 'view')")
+@query("recent_changes_since", f"SELECT title, revid, kind FROM ({_EV}) WHERE ts > {_CUT} AND kind IN ('click', 'view') AND title % 4 IN (0, 1)")
 def recent_changes_since(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).filter((F.col("ts") > F.lit("2024-01-15 00:00:00").cast("timestamp")) & F.col("kind").isin("click", "view")).select("title", "revid", "kind")
+    """Changes after a cursor, of some kinds and namespaces (here the title's remainder by four)."""
+    return events(spark, d).filter((F.col("ts") > F.lit("2024-01-15 00:00:00").cast("timestamp")) & F.col("kind").isin("click", "view") & (F.col("title") % 4).isin(0, 1)).select("title", "revid", "kind")
 
 
 @query("embed_select_incremental", "SELECT doc_id, source || '|h:' || md5(text) AS key FROM documents WHERE source || '|h:' || md5(text) NOT IN (SELECT source || '|h:' || md5(text) FROM documents JOIN labels USING (doc_id))")
@@ -105,10 +106,29 @@ def reconcile_presence(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "doc_id", "full").groupBy(presence.alias("presence")).agg(F.count("*").alias("n"))
 
 
-@query("collection_diff", "SELECT c_custkey AS key, 'missing from collection' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'missing from listing' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("reconcile_missing", "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) ORDER BY doc_id LIMIT 1000")
+def reconcile_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Titles without content, the first thousand in order."""
+    content = read(spark, d, "documents").filter("doc_id % 3 <> 0").select("doc_id")
+    return read(spark, d, "labels").select("doc_id").join(content, "doc_id", "left_anti").orderBy("doc_id").limit(1000)
+
+
+@query(
+    "collection_diff",
+    """WITH col AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 <> 0), lis AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 5 <> 0),
+    lab AS (SELECT doc_id, CASE WHEN max(toxic) = 1 THEN 'null list' WHEN min(quality) = 0 THEN 'filtered list' ELSE 'content list' END AS place FROM labels GROUP BY doc_id)
+    SELECT doc_id, 'missing from collection' AS side, coalesce(place, 'nowhere') AS place FROM lis LEFT JOIN lab USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM col)
+    UNION ALL SELECT doc_id, 'missing from listing', coalesce(place, 'nowhere') FROM col LEFT JOIN lab USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM lis)""",
+)
 def collection_diff(spark: SparkSession, d: str) -> DataFrame:
-    c, o = read(spark, d, "customer").select(F.col("c_custkey").alias("key")), read(spark, d, "orders").select(F.col("o_custkey").alias("key")).distinct()
-    return c.join(o, "key", "left_anti").withColumn("side", F.lit("missing from collection")).unionByName(o.join(c, "key", "left_anti").withColumn("side", F.lit("missing from listing")))
+    """What the collection lacks of the listing and the listing of the collection, and which list holds it."""
+    docs = read(spark, d, "documents").select("doc_id").distinct()
+    has, listed = docs.filter("doc_id % 3 <> 0"), docs.filter("doc_id % 5 <> 0")
+    both = listed.join(has, "doc_id", "left_anti").withColumn("side", F.lit("missing from collection"))
+    both = both.unionByName(has.join(listed, "doc_id", "left_anti").withColumn("side", F.lit("missing from listing")))
+    place = F.when(F.max("toxic") == 1, "null list").when(F.min("quality") == 0, "filtered list").otherwise("content list")
+    lists = read(spark, d, "labels").groupBy("doc_id").agg(place.alias("place"))
+    return both.join(lists, "doc_id", "left").withColumn("place", F.coalesce("place", F.lit("nowhere")))
 
 
 @query("titles_sync", "SELECT DISTINCT regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
@@ -143,22 +163,44 @@ def page_status(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.when(t.isNull() | (t == ""), "null").when(F.char_length(F.trim(t)) < 50, "filtered").otherwise("kept").alias("status"))
 
 
-@query("page_include", "SELECT page_id FROM pages WHERE NOT regexp_matches(lower(url), 'disambiguation|redirect|stub|/(user|talk):') AND NOT regexp_matches(url, '/(fr|es)/')")
+_TITLE = "CASE page_id % 8 WHEN 0 THEN 'User:a' WHEN 1 THEN 'Talk:b' WHEN 2 THEN 'X (disambiguation)' WHEN 3 THEN 'A stub' WHEN 4 THEN 'Redirected' WHEN 5 THEN 'Page/sub' WHEN 6 THEN 'Sandbox' ELSE 'Page ' || page_id END"
+# What titles of pages that are not collected hold, and of changes that are not looked at.
+NO_PAGE = "disambiguation|redirect|stub|^user:|^talk:"
+NO_CHANGE = "^(user|talk|file|category|template|help|special|mediawiki):|redirect|disambiguation|^sandbox|^test|^archive:|/"
+# Redirects, pages that only tell names apart, and content of passing kinds.
+REDIRECT = r"(?i)class=\"mw-redirect\"|#REDIRECT|^.{1,100}\s+redirects here\."
+SENSES = r"(?i)This is a disambiguation page|This page is used to distinguish between articles|If an internal link led you to this disambiguation page"
+PASSING_TITLE = "shattered relics|trailblazer|twisted league|league|leagues|deadman|tournament|dmm|deadman mode|beta|testing|seasonal|limited time"
+PASSING_TEXT = "league|deadman|tournament|seasonal event"
+PASSING_ASKED = "league|leagues|shattered relics|trailblazer|twisted league|deadman|dmm|tournament|seasonal|beta"
+
+
+@query("page_include", f"SELECT page_id FROM pages WHERE NOT regexp_matches(lower({_TITLE}), '{NO_PAGE}')")
 def page_include(spark: SparkSession, d: str) -> DataFrame:
-    u = F.lower("url")
-    return read(spark, d, "pages").filter(~u.rlike("disambiguation|redirect|stub|/(user|talk):") & ~F.col("url").rlike("/(fr|es)/")).select("page_id")
+    return read(spark, d, "pages").filter(~F.lower(F.expr(_TITLE)).rlike(NO_PAGE)).select("page_id")
 
 
-@query("title_skip", "SELECT page_id, regexp_matches(lower(url), '(sandbox|archive|/talk|/user|#top|ref=)') AS skip FROM pages")
+@query("title_skip", f"SELECT page_id, regexp_matches(lower({_TITLE}), '{NO_CHANGE}') OR page_id % 9 = 0 AS skip FROM pages")
 def title_skip(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", F.lower("url").rlike("(sandbox|archive|/talk|/user|#top|ref=)").alias("skip"))
+    """Changes to skip: by title, or new without a revision (here every ninth)."""
+    p = read(spark, d, "pages").select("page_id", F.expr(_TITLE).alias("title"), F.when(F.col("page_id") % 3 == 0, "new").otherwise("edit").alias("kind"), F.when(F.col("page_id") % 9 != 0, F.col("page_id")).alias("revid"))
+    return p.select("page_id", (F.lower("title").rlike(NO_CHANGE) | ((F.col("kind") == "new") & F.col("revid").isNull())).alias("skip"))
 
 
-@query("disambiguation_filter", "SELECT page_id FROM pages WHERE NOT (length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))) < 500)")
-def disambiguation_filter(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.text import strip_tags
+def only_names(title: Column, html: Column) -> Column:
+    """Redirects, and pages that tell names apart and say little else."""
+    short = F.char_length(strip_tags(html)) < 500
+    return html.rlike(REDIRECT) | (short & (html.rlike(SENSES) | (F.contains(title, F.lit("(disambiguation)")) & F.contains(html, F.lit("may refer to:")))))
+
 
-    return read(spark, d, "pages").filter(F.char_length(strip_tags(F.col("html"))) >= 500).select("page_id")
+_MARKED = "CASE page_id % 5 WHEN 0 THEN html || '<a class=\"mw-redirect\">x</a>' WHEN 1 THEN '<p>This is a  disambiguation page</p><p>This page is used to distinguish between articles</p>' WHEN 2 THEN '<b>It</b> may refer to: this' ELSE html || 'This is a disambiguation page' END"
+_PLAIN = f"length(trim(regexp_replace(regexp_replace({_MARKED}, '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))) < 500"
+
+
+@query("disambiguation_filter", f"SELECT page_id FROM pages WHERE NOT (contains(html, 'mw-redirect') OR contains(upper(html), '#REDIRECT') OR page_id % 5 = 0 OR page_id % 5 = 1 OR (page_id % 5 = 2 AND page_id % 8 = 2) OR (page_id % 5 > 2 AND {_PLAIN}))")
+def disambiguation_filter(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "pages").select("page_id", F.expr(_TITLE).alias("title"), F.expr(_MARKED).alias("html"))
+    return p.filter(~only_names(F.col("title"), F.col("html"))).select("page_id")
 
 
 @query("allowlist_semi", "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS allowed FROM documents")
@@ -167,9 +209,21 @@ def allowlist_semi(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id").join(allowed, "doc_id", "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 
-@query("temporary_content", "SELECT doc_id FROM documents WHERE regexp_matches(lower(substring(text, 1, 500)), 'license|rights reserved|copyright')")
+def passing(title: Column, text: Column) -> Column:
+    """Content that stays for a time only: by its title, or by its first 500 characters."""
+    return F.lower(title).rlike(PASSING_TITLE) | F.lower(F.substring(text, 1, 500)).rlike(PASSING_TEXT)
+
+
+_OF = "source || CASE doc_id % 7 WHEN 0 THEN ' Beta' ELSE '' END"
+_SAYS = "CASE doc_id % 10 WHEN 0 THEN 'A Seasonal event. ' || text WHEN 1 THEN repeat('x ', 300) || 'league' ELSE text END"
+_QUESTION = "CASE doc_id % 3 WHEN 0 THEN 'What is new in the Beta?' ELSE 'What is new?' END"
+
+
+@query("temporary_content", f"SELECT doc_id, regexp_matches(lower({_OF}), '{PASSING_TITLE}') OR regexp_matches(lower(substring({_SAYS}, 1, 500)), '{PASSING_TEXT}') AS passing, regexp_matches(lower({_QUESTION}), '{PASSING_ASKED}') AS asked FROM documents WHERE text IS NOT NULL")
 def temporary_content(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").filter(F.lower(F.substring("text", 1, 500)).rlike("license|rights reserved|copyright")).select("doc_id")
+    """Whether a page is of a passing kind, and whether a question asks for such; one that does is shown them."""
+    t = read(spark, d, "documents").filter("text is not null")
+    return t.select("doc_id", passing(F.expr(_OF), F.expr(_SAYS)).alias("passing"), F.lower(F.expr(_QUESTION)).rlike(PASSING_ASKED).alias("asked"))
 
 
 # aggregates
@@ -193,13 +247,15 @@ def first_char_histogram(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(W.partitionBy()), 6)).orderBy(F.col("n").desc(), "ch").limit(20)
 
 
-_PATTERNS = {"colon": ":.*:", "parenthesis": "\\(", "apostrophe": "'", "hyphen": "-", "query": "\\?", "fragment": "#"}
+_PATTERNS = {"colon": ":", "parenthesis": "\\(", "apostrophe": "'", "hyphen": "-", "number_start": "^[0-9]", "special_start": "^[^A-Za-z0-9]"}
+_PATHS = "CASE page_id % 5 WHEN 0 THEN '(x) ' || page_id WHEN 1 THEN page_id || ': it''s' ELSE url END"
 
 
-@query("special_pattern_counts", " UNION ALL ".join(f"SELECT '{k}' AS pattern, count(*) FILTER (regexp_matches(url, '{v.replace(chr(39), chr(39) * 2)}')) AS n FROM pages" for k, v in _PATTERNS.items()))
+@query("special_pattern_counts", " UNION ALL ".join(f"SELECT '{k}' AS pattern, count(*) FILTER (regexp_matches(t, '{v.replace(chr(39), chr(39) * 2)}')) AS n, round(100.0 * count(*) FILTER (regexp_matches(t, '{v.replace(chr(39), chr(39) * 2)}')) / count(*), 1)::DOUBLE AS percent FROM (SELECT {_PATHS} AS t FROM pages)" for k, v in _PATTERNS.items()))
 def special_pattern_counts(spark: SparkSession, d: str) -> DataFrame:
-    wide = read(spark, d, "pages").agg(*(F.count_if(F.col("url").rlike(v)).alias(k) for k, v in _PATTERNS.items()))
-    return wide.unpivot([], list(_PATTERNS), "pattern", "n")
+    titles = read(spark, d, "pages").select(F.expr(_PATHS).alias("t"))
+    wide = titles.agg(F.count("*").alias("all"), *(F.count_if(F.col("t").rlike(v)).alias(k) for k, v in _PATTERNS.items()))
+    return wide.unpivot(["all"], list(_PATTERNS), "pattern", "n").select("pattern", "n", F.round(100.0 * F.col("n") / F.col("all"), 1).alias("percent"))
 
 
 @query("namespace_census", "SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, count(*) AS n, list_sort(list(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1)))[1:10] AS first_titles FROM pages GROUP BY 1")

@@ -12,7 +12,12 @@ from .intents import INTENTS, tags
 from .retrieval import _COS, _E, corpus, cosine_topk
 
 # Verdict patterns, negative ones first.
-VERDICTS = [("No", "cannot|can't|not allowed|never"), ("Yes", "can |allowed|always")]
+VERDICTS = [
+    ("No", "immune to melee|cannot be damaged by melee|melee (?:cannot|can.t|won.t) (?:hit|damage|affect)|only (?:damaged|affected|harmed|hit|attacked) by (?:magic|ranged)|can only be (?:damaged|affected|harmed|hit|attacked) by (?:magic|ranged)|must use (?:magic|ranged)"),
+    ("Yes", "can be damaged by melee|melee (?:can|does) (?:hit|damage|affect)|vulnerable to melee|weak to melee"),
+]
+# Lines that state a requirement.
+REQUIRED = r"(^|[^a-z])requires? (.{0,99}[^a-z])?(level|lvl|quest|skill|completion)([^a-z]|$)|(^|[^a-z])to (wear|equip) (.{0,79}[^a-z])?(level|lvl)([^a-z]|$)|(^|[^a-z])requirements? *: *"
 #: Terms that an intent adds to a question.
 NEUTRAL = {"location": "where to find", "stats": "statistics", "requirements": "prerequisites", "timeline": "release date"}
 
@@ -85,13 +90,20 @@ def recursive_expand(spark: SparkSession, d: str, rounds: int = 2, per_seed: int
     return seen.filter("round > 0")
 
 
-@query("expansion_seeds", "SELECT DISTINCT seed FROM (SELECT trim(split_part(source || ' (x)', '(', 1)) AS seed FROM documents UNION ALL SELECT 'patch ' || lang FROM documents) WHERE length(seed) BETWEEN 3 AND 120")
+_NEWS = "'Update: patch ' || lang || ' of ' || doc_id % 9 || '.\n' || text || '\nrelease:  part ' || doc_id % 5"
+
+
+@query(
+    "expansion_seeds",
+    "WITH t AS (SELECT source, " + _NEWS.replace("\\n", "' || chr(10) || '") + r""" AS x FROM documents WHERE text IS NOT NULL)
+    SELECT DISTINCT source, trim(seed) AS seed FROM (SELECT source, split_part(source || ' (x)', '(', 1) AS seed FROM t UNION ALL SELECT source, unnest(regexp_extract_all(x, '(?i)(?:update|release): *([^.\n]+)', 1)) FROM t) WHERE length(trim(seed)) BETWEEN 3 AND 120""",
+)
 def expansion_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """The title up to its parenthesis, and what update lines name."""
-    title, text = F.concat("source", F.lit(" (x)")), F.concat(F.lit("update: patch "), "lang", F.lit(".\nother"))
-    named = F.regexp_extract_all(text, F.lit(r"(?i)(?:update|release): *([^.\n]+)"), F.lit(1))
-    seeds = F.transform(F.concat(F.array(F.substring_index(title, "(", 1)), named), lambda s: F.trim(s))
-    return read(spark, d, "documents").select(F.explode(seeds).alias("seed")).filter(F.char_length("seed").between(3, 120)).distinct()
+    """The title up to its parenthesis, and what the update and release lines of its texts name."""
+    named = F.regexp_extract_all(F.expr(_NEWS), F.lit(r"(?i)(?:update|release): *([^.\n]+)"), F.lit(1))
+    seeds = F.concat(F.array(F.substring_index(F.concat("source", F.lit(" (x)")), "(", 1)), named)
+    t = read(spark, d, "documents").filter("text is not null").select("source", F.explode(F.transform(seeds, lambda s: F.trim(s))).alias("seed"))
+    return t.filter(F.char_length("seed").between(3, 120)).distinct()
 
 
 def section(text: Column, words: str) -> Column:
@@ -107,22 +119,35 @@ def section(text: Column, words: str) -> Column:
     return F.when(found == "", F.substring(text, 1, 3000)).otherwise(found)
 
 
-_PAGE = "'== Drops ==\n' || p_name || '\n== History ==\n' || p_type || '\nIt requires level ' || p_size || '.\nPlayers cannot trade it.'"
+#: Three shapes of a page, by the part's key.
+_PAGE = "CASE p_partkey % 3 WHEN 0 THEN '== Drops ==\n' || p_name || '\n== History ==\n' || p_type || '\nIt requires 2 quests and level ' || p_size || '.\nIt is immune to melee.' WHEN 1 THEN 'About ' || p_name || '\n== Loot table ==\n' || p_brand || '\nRequirements: ' || p_size || '\nIt is weak to melee, and melee cannot hit it from afar' ELSE p_type || '\nMelee can damage it.\nOne has to equip ' || p_brand || ' at lvl ' || p_size END"
+_LINES = "SELECT p_partkey, p_name, string_split(" + _PAGE.replace("\\n", "' || chr(10) || '") + ", chr(10)) AS ls FROM part"
 
 
-@query("section_extract", "SELECT p_partkey, '== Drops ==' || chr(10) || p_name AS text FROM part")
+@query(
+    "section_extract",
+    f"""WITH li AS ({_LINES}), l AS (SELECT p_partkey, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM li),
+    h AS (SELECT *, sum(CASE WHEN starts_with(line, '=') THEN 1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY pos) AS part FROM l),
+    s AS (SELECT *, bool_or(starts_with(line, '=') AND regexp_matches(lower(line), 'drops|loot')) OVER (PARTITION BY p_partkey, part) AS hit FROM h)
+    SELECT p_partkey, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (hit), substring(string_agg(line, chr(10) ORDER BY pos), 1, 3000)) AS text FROM s GROUP BY p_partkey""",
+)
 def section_extract(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", section(F.expr(_PAGE), "drops|loot").alias("text"))
 
 
-@query("requirement_lines", "SELECT p_partkey, 0 AS pos, 'It requires level ' || p_size || '.' AS line FROM part")
+@query("requirement_lines", f"WITH li AS ({_LINES}) SELECT p_partkey, unnest(range(len(f)))::INT AS pos, unnest(f) AS line FROM (SELECT p_partkey, list_transform(list_filter(ls, lambda x: regexp_matches(lower(x), '{{R}}'))[1:8], lambda x: substring(x, 1, 220)) AS f FROM li) WHERE len(f) > 0 UNION ALL SELECT p_partkey, -1, 'Not explicitly stated in the provided sources. Sources: ' || p_name FROM li WHERE len(list_filter(ls, lambda x: regexp_matches(lower(x), '{{R}}'))) = 0".replace("{R}", REQUIRED))
 def requirement_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The first eight lines that state a requirement."""
-    lines = F.filter(F.split(F.expr(_PAGE), "\n"), lambda x: x.rlike("(?i)requires?|level [0-9]+ or|must have"))
-    return read(spark, d, "part").select("p_partkey", F.posexplode(F.slice(lines, 1, 8)).alias("pos", "line"))
+    """The first eight lines that state a requirement, cut at 220 characters; without any, what was looked at (-1)."""
+    lines = F.transform(F.slice(F.filter(F.split(F.expr(_PAGE), "\n"), lambda x: F.lower(x).rlike(REQUIRED)), 1, 8), lambda x: F.substring(x, 1, 220))
+    p = read(spark, d, "part").select("p_partkey", "p_name", lines.alias("f"))
+    none = p.filter(F.size("f") == 0).select("p_partkey", F.lit(-1).alias("pos"), F.concat(F.lit("Not explicitly stated in the provided sources. Sources: "), "p_name").alias("line"))
+    return p.select("p_partkey", F.posexplode("f").alias("pos", "line")).unionByName(none)
 
 
-@query("verdict_quote", "SELECT p_partkey, 'No' AS verdict, 'Players cannot trade it.' AS quote FROM part")
+@query(
+    "verdict_quote",
+    f"WITH li AS ({_LINES}), f AS (SELECT p_partkey, " + ", ".join(f"list_filter(ls, lambda x: regexp_matches(lower(x), '{p}'))[1] AS {v}" for v, p in VERDICTS) + " FROM li) SELECT p_partkey, CASE WHEN No IS NOT NULL THEN 'No' ELSE 'Yes' END AS verdict, substring(coalesce(No, Yes), 1, 240) AS quote FROM f WHERE coalesce(No, Yes) IS NOT NULL",
+)
 def verdict_quote(spark: SparkSession, d: str) -> DataFrame:
     """The first line that denies, else the first that affirms, cut at 240 characters."""
     lines = F.split(F.expr(_PAGE), "\n")
@@ -167,7 +192,13 @@ def turn_entities(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").select("conv_id", "turn", F.explode(names).alias("entity"))
 
 
-@query("entity_context", f"SELECT conv_id, entity, max(turn) AS last_turn FROM ({_NAMES}) GROUP BY ALL")
+@query("entity_context", f"SELECT t.conv_id, t.turn, n.entity, max(n.turn) AS last_turn FROM (SELECT DISTINCT conv_id, turn FROM conversations) t JOIN ({_NAMES}) n ON n.conv_id = t.conv_id AND n.turn <= t.turn GROUP BY ALL")
 def entity_context(spark: SparkSession, d: str) -> DataFrame:
-    """What a conversation knows at its end: each entity with the last turn that named it."""
-    return turn_entities(spark, d).groupBy("conv_id", "entity").agg(F.max("turn").alias("last_turn"))
+    """What a conversation knows at each turn: every entity with the last turn up to it that named it.
+
+    An entity holds from each turn that names it to the next that does; turns in between take it from there.
+    """
+    n = turn_entities(spark, d).withColumn("until", F.lead("turn").over(W.partitionBy("conv_id", "entity").orderBy("turn")))
+    t = read(spark, d, "conversations").select("conv_id", F.col("turn").alias("at")).distinct()
+    j = t.join(n, "conv_id").filter((F.col("turn") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    return j.select("conv_id", F.col("at").alias("turn"), "entity", F.col("turn").alias("last_turn"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import decode_entities, page_title
-from ..registry import query, read
+from ..functions.text import page_title
+from ..registry import query, read, workspace
+from ..sources.files import read_json_lines, read_triples, write_json_lines, write_triples
+from .retrieval import QUERY_BLOCK, ROW_BLOCK, packed
 
 KG_SQL = """kg AS (
   SELECT 'Supplier#' || s_suppkey AS head, 'links_to' AS relation, n_name AS tail, 'Supplier#' || s_suppkey AS source_title, s_suppkey::BIGINT AS revid FROM supplier JOIN nation ON s_nationkey = n_nationkey
@@ -79,7 +85,9 @@ def entity_ids(triples: DataFrame) -> DataFrame:
     order = F.struct("revid", "head", "relation", "tail")
     both = triples.select(order.alias("o"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("head").alias("label")), F.struct(F.lit(1).alias("side"), F.col("tail").alias("label")))).alias("e"))
     first = both.groupBy("e.label").agg(F.min(F.struct("o", "e.side")).alias("first"))
-    ranged = first.withColumn("piece", F.col("first.o.revid"))
+    step = max(1, (triples.agg(F.max("revid")).first()[0] or 0) // 4096)
+    # a bounded number of pieces, whatever the revids are
+    ranged = first.withColumn("piece", F.floor(F.col("first.o.revid") / step))
     size = ranged.groupBy("piece").agg(F.count("*").alias("n"))
     size = size.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(W.partitionBy("piece").orderBy("first")) - 1
@@ -143,11 +151,12 @@ def kg_adjacency_sets(spark: SparkSession, d: str) -> DataFrame:
     return kg(spark, d).groupBy(F.col("head").alias("title")).agg(of("links_to").alias("links"), of("is_a").alias("categories"))
 
 
-@query("kg_statistics", f"WITH {KG_SQL} SELECT (SELECT count(*) FROM (SELECT head FROM kg UNION SELECT tail FROM kg)) AS entities, count(DISTINCT relation) AS relations, count(*) AS triples, list_sort(list(DISTINCT relation))[1:20] AS relation_names FROM kg")
+@query("kg_statistics", f"WITH {KG_SQL} SELECT (SELECT count(*) FROM (SELECT head FROM kg UNION SELECT tail FROM kg)) AS entities, (SELECT max(len(embedding)) FROM embeddings) AS dimension, count(DISTINCT relation) AS relations, count(*) AS triples, list_sort(list(DISTINCT relation))[1:20] AS relation_names FROM kg")
 def kg_statistics(spark: SparkSession, d: str) -> DataFrame:
     t = kg(spark, d)
     entities = t.select(F.explode(F.array("head", "tail")).alias("e")).distinct().agg(F.count("*").alias("entities"))
-    # both sides are one row
+    # all sides are one row
+    entities = entities.join(F.broadcast(read(spark, d, "embeddings").agg(F.max(F.size("embedding")).alias("dimension"))))
     return entities.join(F.broadcast(t.agg(F.countDistinct("relation").alias("relations"), F.count("*").alias("triples"), F.slice(F.array_sort(F.collect_set("relation")), 1, 20).alias("relation_names"))))
 
 
@@ -257,47 +266,132 @@ def kg_propagate(spark: SparkSession, d: str) -> DataFrame:
     return propagate(adjacency(kg(spark, d))).withColumn("value", F.round("value", 9))
 
 
-_RANK_SQL = f"""{KG_SQL}, nodes AS (SELECT DISTINCT n FROM (SELECT head AS n FROM kg WHERE relation = 'is_a' AND head NOT LIKE 'Part%' UNION SELECT tail FROM kg WHERE relation = 'is_a' AND head NOT LIKE 'Part%')),
-  known AS (SELECT DISTINCT head, tail FROM kg WHERE relation = 'is_a' AND head NOT LIKE 'Part%'),
-  scored AS (SELECT h.n AS head, t.n AS tail, levenshtein(md5(h.n), md5(t.n))::BIGINT AS score FROM nodes h, nodes t),
-  ranks AS (SELECT k.head, k.tail, 1 + count(*) FILTER (c.score > s.score) AS optimistic, 1 + count(*) FILTER (c.score >= s.score) AS pessimistic
-    FROM known k JOIN scored s ON s.head = k.head AND s.tail = k.tail LEFT JOIN (SELECT * FROM scored ANTI JOIN known USING (head, tail)) c ON c.head = k.head GROUP BY ALL)"""
+_VECTORS_SQL = f"""{KG_SQL}, {_ADJ_SQL}, v0 AS (SELECT node, i - 1 AS component, CASE WHEN substring(md5(node), i, 1) < '8' THEN 1.0 ELSE -1.0 END::DOUBLE AS value
+    FROM (SELECT DISTINCT src AS node FROM adj), (SELECT unnest(range(1, 9))::INT AS i)), v1 AS ({_STEP.format(v='v0')}), v2 AS ({_STEP.format(v='v1')}),
+  vec AS (SELECT node, list(value ORDER BY component) AS v FROM v2 GROUP BY node)"""
+#: Scores are whole numbers of this grid, so that equal ones are equal whatever the order of sums was.
+GRID, SHIFT = 1000003, 0.3137
+
+_RANK_SQL = f"""{_VECTORS_SQL}, tri AS (SELECT DISTINCT head, relation, tail FROM kg),
+  tes AS (SELECT * FROM tri WHERE substring(md5(head || '|' || relation || '|' || tail), 1, 2) >= 'f3'),
+  que AS (SELECT head, relation, tail, 'tail' AS side, head AS fixed, tail AS answer FROM tes UNION ALL SELECT head, relation, tail, 'head', tail, head FROM tes),
+  kno AS (SELECT 'tail' AS side, head AS fixed, relation, tail AS other FROM tri UNION ALL SELECT 'head', tail, relation, head FROM tri),
+  sco AS (SELECT q.*, c.node AS other, floor(list_inner_product(f.v, c.v) * {GRID} + {SHIFT})::BIGINT AS score, floor(list_inner_product(f.v, a.v) * {GRID} + {SHIFT})::BIGINT AS s
+    FROM que q JOIN vec f ON f.node = q.fixed JOIN vec a ON a.node = q.answer, vec c),
+  ranks AS (SELECT head, relation, tail, side, 1 + count(*) FILTER (score > s) AS optimistic, 1 + count(*) FILTER (score >= s) AS pessimistic, 1 + count(*) AS candidates
+    FROM sco ANTI JOIN kno USING (side, fixed, relation, other) WHERE other <> answer GROUP BY ALL)"""
+
+
+def entity_vectors(adj: DataFrame) -> DataFrame:
+    """(node, v): the propagated vectors as arrays."""
+    g = propagate(adj).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("component", "value"))).alias("all"))
+    return g.select("node", F.transform("all", lambda x: x["value"]).alias("v"))
+
+
+def score(a: Column, b: Column) -> Column:
+    return F.floor(F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) * GRID + SHIFT)
 
 
-def filtered_ranks(spark: SparkSession, d: str) -> DataFrame:
-    """For each known triple the rank of its tail among all entities that are not known tails of its head.
+def filtered_ranks(triples: DataFrame, test: DataFrame, vectors: DataFrame) -> DataFrame:
+    """For both sides of each test triple the rank of the right entity among all entities but other right answers.
 
-    The score here stands for a model's: the distance of the labels' hashes. The entity table is that of
-    one relation over nations and regions, a fixed few, so every executor holds it.
+    Blocks of questions meet blocks of entities as matrix products, and only counts of higher and of equal scores leave a
+    pair of blocks. The other right answers, a join with the triples, are taken off afterwards.
     """
-    t = kg(spark, d).filter("relation = 'is_a' and head not like 'Part%'")
-    known = t.select("head", "tail").distinct()
-    nodes = t.select(F.explode(F.array("head", "tail")).alias("n")).distinct().agg(F.collect_list("n").alias("nodes"))
-    tails = known.groupBy("head").agg(F.collect_set("tail").alias("tails"))
-    j = known.join(tails, "head").join(F.broadcast(nodes))
-    score = lambda a, b: F.levenshtein(F.md5(a), F.md5(b))
-    others = F.transform(F.array_except("nodes", "tails"), lambda n: score(F.col("head"), n))
-    j = j.select("head", "tail", score(F.col("head"), F.col("tail")).alias("s"), others.alias("others"))
-    count = lambda f: (F.size(F.filter("others", f)) + 1).cast("long")
-    return j.select("head", "tail", count(lambda x: x > F.col("s")).alias("optimistic"), count(lambda x: x >= F.col("s")).alias("pessimistic"))
-
-
-@query("kg_filtered_ranks", f"WITH {_RANK_SQL} SELECT head, tail, optimistic, pessimistic, (optimistic + pessimistic) / 2.0 AS realistic FROM ranks")
+    side = lambda name, fixed, answer: F.struct(F.lit(name).alias("side"), F.col(fixed).alias("fixed"), F.col(answer).alias("answer"))
+    both = F.explode(F.array(side("tail", "head", "tail"), side("head", "tail", "head"))).alias("q")
+    q = test.select("head", "relation", "tail", both).select("head", "relation", "tail", "q.*")
+    v = lambda name, key: vectors.select(F.col("node").alias(key), F.col("v").alias(name))
+    q = q.join(v("f", "fixed"), "fixed").join(v("a", "answer"), "answer").withColumn("s", score(F.col("f"), F.col("a")))
+    q = q.withColumn("qid", F.sha2(F.to_json(F.struct("head", "relation", "tail", "side")), 256))
+    n = max(1, -(-test.count() * 2 // QUERY_BLOCK))
+    asks = q.groupBy(F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("qid", "f", "s")).alias("asks"))
+    nodes, _ = packed(vectors, "node", "v", ROW_BLOCK, "part")
+    pairs = nodes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(asks, "block").select("asks", "part_of")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for one, other in zip(b.column(0), b.column(1), strict=True):
+                ask, node = one.values, other.values
+                x, y = (z.flatten().to_numpy(zero_copy_only=False).reshape(len(z), -1) for z in (ask.field("f"), node.field("v")))
+                got, own = np.floor(x @ y.T * GRID + SHIFT), ask.field("s").to_numpy(zero_copy_only=False)[:, None]
+                yield pa.RecordBatch.from_arrays([ask.field("qid"), pa.array((got > own).sum(axis=1)), pa.array((got >= own).sum(axis=1)), pa.array(np.full(len(x), len(y)))], names=["qid", "higher", "least", "n"])
+
+    counts = pairs.mapInArrow(run, "qid string, higher long, least long, n long").groupBy("qid").agg(*(F.sum(c).alias(c) for c in ("higher", "least", "n")))
+    known = triples.select("head", "relation", "tail").distinct().select("relation", both).select("relation", "q.side", "q.fixed", F.col("q.answer").alias("other"))
+    right = q.select("qid", "relation", "side", "fixed", "answer", "f", "s").join(known, ["relation", "side", "fixed"]).filter("other <> answer").join(v("o", "other"), "other")
+    right = right.withColumn("got", score(F.col("f"), F.col("o"))).groupBy("qid").agg(F.count_if(F.col("got") > F.col("s")).alias("known_higher"), F.count_if(F.col("got") >= F.col("s")).alias("known_least"), F.count("*").alias("known_n"))
+    j = q.select("qid", "head", "relation", "tail", "side").join(counts, "qid").join(right, "qid", "left")
+    less = lambda a, b: F.col(a) - F.coalesce(F.col(b), F.lit(0))
+    return j.select("head", "relation", "tail", "side", (less("higher", "known_higher") + 1).alias("optimistic"), less("least", "known_least").alias("pessimistic"), less("n", "known_n").alias("candidates"))
+
+
+@query("kg_filtered_ranks", f"WITH {_RANK_SQL} SELECT head, relation, tail, side, candidates, optimistic, pessimistic, (optimistic + pessimistic) / 2.0 AS realistic FROM ranks")
 def kg_filtered_ranks(spark: SparkSession, d: str) -> DataFrame:
-    return filtered_ranks(spark, d).withColumn("realistic", (F.col("optimistic") + F.col("pessimistic")) / 2.0)
+    triples = kg(spark, d)
+    test = kg_split(spark, d).filter("part = 'test'").select("head", "relation", "tail").distinct()
+    return filtered_ranks(triples, test, entity_vectors(adjacency(triples))).withColumn("realistic", (F.col("optimistic") + F.col("pessimistic")) / 2.0)
 
 
-_METRICS = {"hits_at_1": "avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END)", "hits_at_10": "avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END)", "arithmetic_mean": "avg(r)", "geometric_mean": "exp(avg(ln(r)))", "harmonic_mean": "1 / avg(1 / r)", "inverse_harmonic_mean": "avg(1 / r)", "variance": "var_pop(r)"}
+#: Sums over ranks r among n candidates, m their median; e: the mean of a random rank.
+_METRICS = {
+    "count": "count(r)", **{f"hits_at_{k}": f"avg(CASE WHEN r <= {k} THEN 1e0 ELSE 0e0 END)" for k in (1, 3, 5, 10)},
+    "arithmetic_mean_rank": "avg(r)", "geometric_mean_rank": "exp(avg(ln(r)))", "harmonic_mean_rank": "1 / avg(1 / r)", "median_rank": "max(m)",
+    "inverse_arithmetic_mean_rank": "1 / avg(r)", "inverse_geometric_mean_rank": "1 / exp(avg(ln(r)))", "inverse_harmonic_mean_rank": "avg(1 / r)", "inverse_median_rank": "1 / max(m)",
+    "variance": "var_pop(r)", "standard_deviation": "stddev_pop(r)", "median_absolute_deviation": "max(mad) / 0.6744897501960817",
+    "adjusted_arithmetic_mean_rank": "avg(r) / avg((n + 1) / 2.0)", "adjusted_arithmetic_mean_rank_index": "1 - (avg(r) - 1) / (avg((n + 1) / 2.0) - 1)",
+    "z_arithmetic_mean_rank": "(avg((n + 1) / 2.0) - avg(r)) / sqrt(sum((n * n - 1) / 12.0) / (count(r) * count(r)))",
+    "adjusted_hits_at_k": "(avg(CASE WHEN r <= 10 THEN 1e0 ELSE 0e0 END) - avg(least(10, n) / n)) / (1 - avg(least(10, n) / n))",
+    "z_hits_at_k": "(avg(CASE WHEN r <= 10 THEN 1e0 ELSE 0e0 END) - avg(least(10, n) / n)) / sqrt(sum(least(10, n) / n * (1 - least(10, n) / n)) / (count(r) * count(r)))",
+}
 
 
 @query(
     "rank_metrics",
-    f"""WITH {_RANK_SQL}, l AS (SELECT 'optimistic' AS mode, optimistic::DOUBLE AS r FROM ranks UNION ALL SELECT 'pessimistic', pessimistic FROM ranks UNION ALL SELECT 'realistic', (optimistic + pessimistic) / 2.0 FROM ranks),
-    w AS (SELECT mode, {", ".join(f"{e} AS {k}" for k, e in _METRICS.items())} FROM l GROUP BY mode)
-    SELECT mode, metric, round(value::DOUBLE, 9) AS value FROM ({" UNION ALL ".join(f"SELECT mode, '{k}' AS metric, {k} AS value FROM w" for k in _METRICS)})""",
+    f"""WITH {_RANK_SQL}, m AS (SELECT side, candidates::DOUBLE AS n, 'optimistic' AS mode, optimistic::DOUBLE AS r FROM ranks UNION ALL SELECT side, candidates, 'pessimistic', pessimistic FROM ranks UNION ALL SELECT side, candidates, 'realistic', (optimistic + pessimistic) / 2.0 FROM ranks),
+    l AS (SELECT * FROM m UNION ALL SELECT 'both', n, mode, r FROM m), c AS (SELECT side, mode, median(r) AS m FROM l GROUP BY ALL), k AS (SELECT l.*, c.m, median(abs(r - c.m)) OVER (PARTITION BY side, mode) AS mad FROM l JOIN c USING (side, mode)),
+    w AS (SELECT side, mode, {", ".join(f"{e} AS {k}" for k, e in _METRICS.items())} FROM k GROUP BY side, mode)
+    SELECT side, mode, metric, round(value::DOUBLE, 6) AS value FROM ({" UNION ALL ".join(f"SELECT side, mode, '{k}' AS metric, {k} AS value FROM w" for k in _METRICS)})""",
 )
 def rank_metrics(spark: SparkSession, d: str) -> DataFrame:
-    r = kg_filtered_ranks(spark, d)
+    """By side and both, and by mode. Medians are exact: a histogram of ranks for each side and mode."""
     modes = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.col(m).cast("double").alias("r")) for m in ("optimistic", "pessimistic", "realistic")))).alias("m")
-    wide = r.select(modes).select("m.mode", "m.r").groupBy("mode").agg(*(F.expr(e).cast("double").alias(k) for k, e in _METRICS.items()))
-    return wide.unpivot("mode", list(_METRICS), "metric", "value").withColumn("value", F.round("value", 9))
+    r = kg_filtered_ranks(spark, d).select(F.explode(F.array("side", F.lit("both"))).alias("side"), F.col("candidates").cast("double").alias("n"), modes).select("side", "n", "m.*")
+    r = r.join(F.broadcast(r.groupBy("side", "mode").agg(F.percentile("r", 0.5).alias("m"))), ["side", "mode"])
+    r = r.join(F.broadcast(r.groupBy("side", "mode").agg(F.percentile(F.abs(F.col("r") - F.col("m")), 0.5).alias("mad"))), ["side", "mode"])
+    wide = r.groupBy("side", "mode").agg(*(F.expr(e).cast("double").alias(k) for k, e in _METRICS.items()))
+    return wide.unpivot(["side", "mode"], list(_METRICS), "metric", "value").withColumn("value", F.round("value", 6))
+
+
+@query(
+    "kg_neighborhood_stats",
+    f"""WITH RECURSIVE {KG_SQL}, e AS (SELECT head AS a, tail AS b FROM kg UNION SELECT tail, head FROM kg),
+    r AS (SELECT 'Supplier#' || s_suppkey AS seed, 'Supplier#' || s_suppkey AS entity, 0 AS hop FROM supplier WHERE s_suppkey % 100 = 0 UNION SELECT seed, b, hop + 1 FROM r JOIN e ON entity = a WHERE hop < 2),
+    m AS (SELECT seed, entity, min(hop) AS hop FROM r GROUP BY ALL), n AS (SELECT seed, hop, count(*) AS entities FROM m GROUP BY ALL),
+    t AS (SELECT x.seed, greatest(x.hop, y.hop) AS hop, relation FROM kg JOIN m x ON x.entity = head JOIN m y ON y.entity = tail AND y.seed = x.seed)
+    SELECT n.seed, n.hop, entities, count(relation) AS relationships, sum(entities) OVER (PARTITION BY n.seed)::BIGINT AS total FROM n LEFT JOIN t ON t.seed = n.seed AND t.hop = n.hop GROUP BY n.seed, n.hop, entities""",
+)
+def kg_neighborhood_stats(spark: SparkSession, d: str) -> DataFrame:
+    """By seed and hop: entities first reached there, triples whose later end is reached there, and entities in all."""
+    triples, m = kg(spark, d), kg_neighborhood(spark, d)
+    end = lambda key, hop: m.select("seed", F.col("entity").alias(key), F.col("hop").alias(hop))
+    t = triples.select("head", "tail").join(end("head", "x"), "head").join(end("tail", "y"), ["tail", "seed"])
+    t = t.groupBy("seed", F.greatest("x", "y").alias("hop")).agg(F.count("*").alias("relationships"))
+    n = m.groupBy("seed", "hop").agg(F.count("*").alias("entities")).join(t, ["seed", "hop"], "left")
+    return n.select("seed", "hop", "entities", F.coalesce("relationships", F.lit(0)).alias("relationships"), F.sum("entities").over(W.partitionBy("seed")).alias("total"))
+
+
+@query("triples_sink_roundtrip", f"WITH {KG_SQL} SELECT head, relation, tail FROM kg")
+def triples_sink_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The triples as CSV, written and read again."""
+    path = f"{workspace(spark)}/triples"
+    write_triples(kg(spark, d), path)
+    return read_triples(spark, path)
+
+
+@query("nodes_sink_roundtrip", f"WITH p AS (SELECT {_PAGE} FROM pages) SELECT title, lang AS category, page_id AS revid FROM p")
+def nodes_sink_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes as JSON lines, written and read again."""
+    path = f"{workspace(spark)}/nodes"
+    write_json_lines(kg_nodes(spark, d).select("title", F.get("categories", F.lit(0)).alias("category"), "revid"), path)
+    return read_json_lines(spark, path, "title string, category string, revid long")

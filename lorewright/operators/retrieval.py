@@ -144,14 +144,17 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.substring(h, 1, 1).alias("slot"), F.when(F.substring(h, 2, 1) < "8", 1).otherwise(-1).alias("x")).groupBy("doc_id", "slot").agg(F.sum("x").alias("value"))
 
 
-@query("title_fallback", "WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 3)) AS q FROM benchmark), w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT item_id, w AS title, 0.5::DOUBLE AS score FROM t JOIN w ON len(list_filter(q, lambda x: contains(w, x))) > 0")
+@query("title_fallback", "WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 3)) AS q FROM (SELECT item_id, b.text || ' ' || p_name AS text FROM benchmark b JOIN part ON p_partkey = item_id + 1)), w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT item_id, w AS title, 0.5::DOUBLE AS score FROM t JOIN w ON len(list_filter(q, lambda x: contains(w, x))) > 0")
 def title_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """Titles that contain a token of the question. The questions are a bounded table, looked up in place."""
-    q = read(spark, d, "benchmark").select("item_id", F.array_distinct(F.filter(tokens(F.col("text")), lambda x: F.char_length(x) > 3)).alias("q"))
-    w = read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("title")).distinct()
-    j = w.join(F.broadcast(q.agg(F.collect_list(F.struct("item_id", "q")).alias("all"))))
-    hit = F.filter("all", lambda x: F.exists(x["q"], lambda t: F.contains(F.col("title"), t)))
-    return j.select(F.explode(F.transform(hit, lambda x: x["item_id"])).alias("item_id"), "title", F.lit(0.5).alias("score"))
+    """Titles that hold a token of the question, here a benchmark text and a part's name. Tokens are paired with titles
+    by the pieces of four characters that both hold, and then compared."""
+    part = read(spark, d, "part")
+    q = read(spark, d, "benchmark").join(part, F.col("p_partkey") == F.col("item_id") + 1).select("item_id", F.concat_ws(" ", "text", "p_name").alias("t"))
+    q = q.select("item_id", F.explode(F.array_distinct(F.filter(tokens(F.col("t")), lambda x: F.char_length(x) > 3))).alias("token")).withColumn("piece", F.substring("token", 1, 4))
+    w = part.select(F.explode(F.split("p_name", " ")).alias("title")).distinct().filter(F.char_length("title") > 3)
+    at = F.sequence(F.lit(1), F.char_length("title") - 3)
+    w = w.select("title", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("title"), i, F.lit(4))))).alias("piece"))
+    return q.join(w, "piece").filter(F.contains("title", F.col("token"))).select("item_id", "title", F.lit(0.5).alias("score")).distinct()
 
 
 @query("subquery_expand", "SELECT item_id, n, q FROM (SELECT item_id, unnest(range(1, 4)) AS n, unnest([text, text || ' strategy', text || ' location']) AS q FROM benchmark)")

@@ -107,7 +107,7 @@ def params(ps: Column) -> Column:
         value = F.when(named, _clip(F.regexp_replace(p, "^[^=]*=", ""))).otherwise(_clip(p))
         return F.struct(n.alias("n"), F.concat(acc["out"], F.array(F.struct(key.alias("key"), value.alias("value")))).alias("out"))
 
-    return F.aggregate(F.slice(ps, 2, 100000), zero, step, lambda acc: acc["out"])
+    return F.aggregate(F.slice(ps, 2, F.greatest(F.size(ps), F.lit(1))), zero, step, lambda acc: acc["out"])
 
 
 def dispatch(name: Column) -> Column:
@@ -264,10 +264,37 @@ def infobox_links(spark: SparkSession, d: str) -> DataFrame:
     return wiki(spark, d).select("p_partkey", F.posexplode(links).alias("pos", "target"))
 
 
-@query("infobox_values", "SELECT p_partkey, unnest(['name', 'value', 'brand']) AS key, unnest([p_name, p_size::VARCHAR, '[[' || p_brand || '|the brand]]']) AS value FROM part")
+def infobox(raw: Column) -> Column:
+    """Keys and values of the first infobox, a line each, in order: keys lowered and with underscores, values without
+    the braces of links and templates."""
+    body = F.regexp_extract(raw, r"(?s)\{\{Infobox[^\n]*\n(.*?)\n\}\}", 1)
+    key = lambda x: F.regexp_replace(F.lower(F.regexp_extract(x, r"^\| *([^=]*?) *=", 1)), " +", "_")
+    bare = lambda x: _clip(F.regexp_replace(F.regexp_replace(x, r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1"), r"\{\{|\}\}", ""))
+    pairs = F.transform(F.split(body, "\n"), lambda x: F.struct(key(x).alias("key"), bare(F.regexp_extract(x, r"^[^=]*= *(.*?) *$", 1)).alias("value")))
+    return F.filter(pairs, lambda x: x["key"] != "")
+
+
+_BOXED = "regexp_replace(raw, 'name = ', 'Item Name = {{')"
+
+
+@query("infobox_values", "SELECT p_partkey, unnest(['item_name', 'value', 'brand']) AS key, unnest([p_name, p_size::VARCHAR, 'the brand']) AS value FROM part")
 def infobox_values(spark: SparkSession, d: str) -> DataFrame:
-    """Keys and values of the first infobox, a line each; the last of a repeated key wins."""
-    body = F.regexp_extract("raw", r"(?s)\{\{Infobox[^\n]*\n(.*?)\n\}\}", 1)
-    pair = F.transform(F.split(body, "\n"), lambda x: F.struct(F.regexp_extract(x, r"^\| *([^=]*?) *=", 1).alias("key"), F.regexp_extract(x, r"^[^=]*= *(.*?) *$", 1).alias("value")))
-    w = wiki(spark, d).select("p_partkey", F.posexplode(pair).alias("pos", "x")).filter("x.key <> ''")
+    """The last of a repeated key wins."""
+    w = wiki(spark, d).select("p_partkey", F.posexplode(infobox(F.expr(_BOXED))).alias("pos", "x"))
     return w.groupBy("p_partkey", F.col("x.key").alias("key")).agg(F.max_by("x.value", "pos").alias("value"))
+
+
+@query("infobox_triples", "SELECT 'Part ' || p_partkey AS head, unnest(['has_name', 'has_value', 'has_brand']) AS relation, unnest([p_name, p_size::VARCHAR, 'the brand']) AS tail, 'Part ' || p_partkey AS source_title, p_partkey::BIGINT AS revid FROM part")
+def infobox_triples(spark: SparkSession, d: str) -> DataFrame:
+    """A triple has_<key> for each value of a page's infobox."""
+    w = wiki(spark, d).select("p_partkey", F.posexplode(infobox(F.col("raw"))).alias("pos", "x"))
+    last = w.groupBy("p_partkey", F.col("x.key").alias("key")).agg(F.max_by("x.value", "pos").alias("tail"))
+    title = F.concat(F.lit("Part "), F.col("p_partkey").cast("string"))
+    return last.select(title.alias("head"), F.concat(F.lit("has_"), "key").alias("relation"), "tail", title.alias("source_title"), F.col("p_partkey").cast("long").alias("revid"))
+
+
+@query("repair_missing", f"WITH {_REPRO} SELECT DISTINCT 'Part ' || p_partkey AS title FROM r WHERE missing")
+def repair_missing(spark: SparkSession, d: str) -> DataFrame:
+    """The titles that lack raw text, each once, in order."""
+    t = reprocessed(spark, d).filter("raw is null")
+    return t.select(F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("title")).distinct().orderBy("title")

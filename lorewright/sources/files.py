@@ -18,9 +18,16 @@ def parse_json_lines(lines: DataFrame, schema: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, max_lines: int | None = None) -> DataFrame:
-    """max_lines counts the lines of the files, before any is skipped."""
+    """max_lines counts the first lines of the files, by path and then by place, before any is skipped."""
     lines = spark.read.text(path)
-    return parse_json_lines(lines if max_lines is None else lines.limit(max_lines), schema)
+    if max_lines is not None:
+        place = ("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+        lines = lines.select("value", *place).orderBy("file_path", "file_block_start", "n").limit(max_lines).select("value")
+    return parse_json_lines(lines, schema)
+
+
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    rows.write.json(path)
 
 
 def clean_triples(rows: DataFrame) -> DataFrame:
@@ -72,15 +79,19 @@ def title_set_scan(spark: SparkSession, d: str) -> DataFrame:
     return title_set(read(spark, d, "pages").select(F.explode(F.array(F.concat(F.lit(" "), "url"), F.lit(""))).alias("value")))
 
 
-@query("api_pages_flatten", "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'null' ELSE 'kept' END AS status, CASE WHEN page_id % 7 <> 0 THEN length(html) END AS n_chars FROM pages")
+@query("api_pages_flatten", "SELECT page_id, CASE WHEN page_id % 7 IN (0, 1) THEN 'null' ELSE 'kept' END AS status, CASE WHEN page_id % 7 > 1 THEN length(html) END AS n_chars, CASE WHEN page_id % 2 = 0 THEN ['Kind ' || page_id % 3] ELSE [] END AS categories FROM pages")
 def api_pages_flatten(spark: SparkSession, d: str) -> DataFrame:
-    """API answers, each with one page: the content of its first revision; without one the page is null."""
+    """API answers, each with one page: the content of its first revision and its categories' names; a page that is
+    missing or has no revision is null."""
     revs = F.when(F.col("page_id") % 7 == 0, F.expr("cast(array() as array<struct<content:string>>)")).otherwise(F.array(F.struct(F.col("html").alias("content"))))
-    packed = read(spark, d, "pages").select(F.to_json(F.struct(F.array(F.struct("page_id", revs.alias("revisions"))).alias("pages"))).alias("value"))
-    schema = "pages array<struct<page_id:bigint,revisions:array<struct<content:string>>>>"
+    kinds = F.when(F.col("page_id") % 2 == 0, F.array(F.struct(F.concat(F.lit("Category:Kind "), (F.col("page_id") % 3).cast("string")).alias("title"))))
+    page = F.struct("page_id", F.when(F.col("page_id") % 7 == 1, True).alias("missing"), revs.alias("revisions"), kinds.alias("categories"))
+    packed = read(spark, d, "pages").select(F.to_json(F.struct(F.array(page).alias("pages"))).alias("value"))
+    schema = "pages array<struct<page_id:bigint,missing:boolean,revisions:array<struct<content:string>>,categories:array<struct<title:string>>>>"
     p = packed.select(F.explode(F.from_json("value", schema)["pages"]).alias("p"))
-    content = F.get(F.col("p.revisions"), F.lit(0))["content"]
-    return p.select("p.page_id", F.when(content.isNull(), "null").otherwise("kept").alias("status"), F.char_length(content).cast("long").alias("n_chars"))
+    content = F.when(F.coalesce("p.missing", F.lit(False)), None).otherwise(F.get(F.col("p.revisions"), F.lit(0))["content"])
+    names = F.coalesce(F.transform("p.categories", lambda c: F.regexp_replace(c["title"], "^Category:", "")), F.array().cast("array<string>"))
+    return p.select("p.page_id", F.when(content.isNull(), "null").otherwise("kept").alias("status"), F.char_length(content).cast("long").alias("n_chars"), names.alias("categories"))
 
 
 @query("log_progress_extract", "SELECT event_id, event_id % 101 AS percent, event_type AS epoch FROM events WHERE event_id % 2 = 0")

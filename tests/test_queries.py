@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 from lorewright import catalog
+from lorewright.operators import retrieval
+from lorewright.sources import files
 from lorewright.streaming import feeds
 
 
@@ -47,3 +49,41 @@ def test_stream_keeps_latest_revision(spark, tmp_path):
     feeds.upsert(feeds.feed(spark, src, schema, 1), target, str(tmp_path / "cp")).awaitTermination()
     last = max(os.listdir(target))
     assert sorted((r.title, r.revid) for r in spark.read.parquet(f"{target}/{last}").collect()) == [("a", 3), ("b", 1)]
+
+
+def test_lines_are_read_in_their_order_and_bad_ones_skipped(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join(['{"conv_id": 1, "turn": 1}', "", "not json", '{"conv_id": 2, "turn"', '{"conv_id": 3, "turn": 2}']))
+    read = lambda n=None: sorted(r.conv_id for r in files.read_json_lines(spark, str(tmp_path / "a.jsonl"), "conv_id long, turn long", n).collect())
+    assert read() == [1, 3] and read(4) == [1] and read(5) == [1, 3]
+
+
+def test_triples_and_titles_come_back_from_files(spark, tmp_path):
+    t = spark.createDataFrame([('a "b"', "r,s", "c\nd", "x", "1"), (" e ", "r", "f", "x", "2"), ("g", " ", "h", "x", "3")], files.TRIPLE)
+    files.write_triples(t, str(tmp_path / "t"))
+    assert sorted(map(tuple, files.read_triples(spark, str(tmp_path / "t")).collect())) == [('a "b"', "r,s", "c\nd"), ("e", "r", "f")]
+    files.write_titles(spark.createDataFrame([("b",), ("a",), ("a",)], "title string"), str(tmp_path / "n"))
+    assert sorted(r.title for r in files.read_titles(spark, str(tmp_path / "n")).collect()) == ["a", "b"]
+
+
+def test_search_takes_all_blocks_and_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    rows = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(60)] + [(60, [0.0, 0.0, 0.0]), (61, None)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    q = df.filter("vec_id % 5 = 0").selectExpr("vec_id as query_id", "v as q")
+    got = {}
+    for r in retrieval.cosine_topk(q, df, 4, exclude_self=True).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    norm = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
+    for i, v in rows[:61:5]:
+        want = sorted((-round(sum(a * b for a, b in zip(v, w)) / norm(v) / norm(w), 9), j) for j, w in rows[:61] if j != i)[:4]
+        assert [(j, pytest.approx(-s)) for s, j in want] == [(j, s) for _, j, s in sorted(got[i])]
+
+
+def test_streams_see_repeats_and_what_they_hold_already(spark, tmp_path):
+    src, schema = str(tmp_path / "in"), "source string, text string"
+    for part in ([("s", "one"), ("s", "two"), ("s", "one")], [("s", "two"), ("s", "three")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    model = lambda df: df.selectExpr("key", "length(text) as size")
+    feeds.embed(feeds.feed(spark, src, schema, 1), str(tmp_path / "index"), str(tmp_path / "cp"), model).awaitTermination()
+    assert sorted(r["size"] for r in spark.read.parquet(str(tmp_path / "index")).collect()) == [3, 3, 5]
