@@ -170,8 +170,7 @@ _OLD_SQL = "p_name || CASE WHEN p_size % 2 = 0 THEN ' [DiarySkillStats: ' || p_b
 def _sql_rules(t: str, rules: list[tuple[str, str]]) -> str:
     for pattern, new in rules:
         p, n = pattern.replace("'", "''"), new.replace("$", "\\")
-        p, n = (f"e'{x}'" if "\n" in x else f"'{x}'" for x in (p, n))
-        t = f"regexp_replace({t}, {p}, {n}, 'g')"
+        t = f"regexp_replace({t}, '{p}', '{n}', 'g')"
     return f"trim({t})"
 
 
