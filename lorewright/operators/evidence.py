@@ -40,9 +40,20 @@ def _titles(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("title")).distinct()
 
 
-def _packed(q: DataFrame) -> DataFrame:
-    """A bounded table of questions as one row that every executor holds."""
-    return F.broadcast(q.agg(F.collect_list(F.struct("*")).alias("all")))
+def _pieces(text: Column, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> Column:
+    """The distinct substrings of these sizes."""
+    n = F.char_length(text)
+    part = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array())
+    return F.array_distinct(F.flatten(F.array(*(part(k) for k in sizes))))
+
+
+def _within(whole: DataFrame, inner: DataFrame) -> DataFrame:
+    """(x, y): texts y of inner that may be a substring of texts x of whole, all that are among them.
+
+    A text's first four characters (all, if it is shorter) are among the pieces of every text that holds it: an equality
+    to join on, in place of all pairs.
+    """
+    return whole.select("x", F.explode(_pieces(F.col("x"))).alias("piece")).join(inner.select("y", F.substring("y", 1, 4).alias("piece")), "piece").select("x", "y")
 
 
 _BOOST = """t AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS title FROM part), q AS (SELECT item_id, lower(text) AS q FROM benchmark),
@@ -51,10 +62,17 @@ s AS (SELECT item_id, title, CASE WHEN title = q THEN 0.4 WHEN contains(q, title
 
 @query("lexical_boost", f"WITH {_BOOST} SELECT * FROM s WHERE boost > 0")
 def lexical_boosts(spark: SparkSession, d: str) -> DataFrame:
-    q = read(spark, d, "benchmark").select("item_id", F.lower("text").alias("q"))
-    j = _titles(spark, d).join(_packed(q))
-    scored = F.transform("all", lambda x: F.struct(x["item_id"].alias("item_id"), lexical_boost(F.col("title"), x["q"]).alias("boost")))
-    return j.select("title", F.explode(F.filter(scored, lambda s: s["boost"] > 0)).alias("s")).select("s.item_id", "title", "s.boost")
+    """Titles with a boost for a question. Who may hold whom is found by joins on pieces of texts, never all pairs;
+    an empty text is held by none."""
+    asked = read(spark, d, "benchmark").select("item_id", F.lower("text").alias("q"))
+    titles, q = _titles(spark, d), asked.select("q").distinct()
+    word = q.select("q", F.explode(F.array_distinct(tokens(F.col("q")))).alias("w")).filter(F.char_length("w") > 3)
+    named = _within(titles.select(F.col("title").alias("x")), word.select(F.col("w").alias("y")).distinct())
+    found = named.join(word, F.col("y") == F.col("w")).select("q", F.col("x").alias("title"))
+    found = found.unionByName(_within(q.select(F.col("q").alias("x")), titles.select(F.col("title").alias("y"))).select(F.col("x").alias("q"), F.col("y").alias("title")))
+    found = found.unionByName(_within(titles.select(F.col("title").alias("x")), q.select(F.col("q").alias("y"))).select(F.col("y").alias("q"), F.col("x").alias("title")))
+    scored = found.distinct().withColumn("boost", lexical_boost(F.col("title"), F.col("q"))).filter("boost > 0")
+    return asked.join(scored, "q").select("item_id", "title", "boost")
 
 
 _PRIOR = "round(CASE WHEN length(text) < 400 THEN -0.08 WHEN length(text) > 3000 THEN 0.02 ELSE 0 END + CASE WHEN len(regexp_extract_all(text, '(?m)^=+')) >= 3 THEN 0.03 ELSE 0 END + CASE WHEN contains(source, '(') THEN -0.06 ELSE 0 END + CASE WHEN regexp_matches(source, '^[a-z]+:') THEN -0.12 ELSE 0 END, 9)::DOUBLE"

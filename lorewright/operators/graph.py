@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -326,6 +327,40 @@ def filtered_ranks(triples: DataFrame, test: DataFrame, vectors: DataFrame) -> D
     return j.select("head", "relation", "tail", "side", (less("higher", "known_higher") + 1).alias("optimistic"), less("least", "known_least").alias("pessimistic"), less("n", "known_n").alias("candidates"))
 
 
+@query(
+    "kg_relation_translation",
+    f"""WITH {_VECTORS_SQL} SELECT relation, h.component, round(avg(t.value - h.value), 9) + 0.0 AS value, count(*) AS triples
+    FROM (SELECT DISTINCT head, relation, tail FROM kg) JOIN v2 h ON h.node = head JOIN v2 t ON t.node = tail AND t.component = h.component GROUP BY relation, h.component""",
+)
+def kg_relation_translation(spark: SparkSession, d: str) -> DataFrame:
+    """A vector for each relation: the mean, over its triples, of the tail's vector less the head's."""
+    triples = kg(spark, d)
+    v = entity_vectors(adjacency(triples))
+    end = lambda key, name: v.select(F.col("node").alias(key), F.col("v").alias(name))
+    j = triples.select("head", "relation", "tail").distinct().join(end("head", "h"), "head").join(end("tail", "t"), "tail")
+    moved = j.select("relation", F.posexplode(F.zip_with("t", "h", lambda x, y: x - y)).alias("component", "value"))
+    return moved.groupBy("relation", "component").agg((F.round(F.avg("value"), 9) + 0.0).alias("value"), F.count("*").alias("triples"))
+
+
+def factors(adj: DataFrame, ids: DataFrame, rank: int = 8, rounds: int = 5, seed: int = 7) -> DataFrame:
+    """(node, v): vectors from a factorisation of the weighted adjacency, by alternating least squares for implicit
+    feedback. ids: (label, id) of all nodes; ids must fit 32 bits, as the factorisation asks."""
+    key = lambda end: ids.select(F.col("label").alias(end), F.col("id").cast("int").alias(f"{end}_id"))
+    edges = adj.join(key("src"), "src").join(key("dst"), "dst").select("src_id", "dst_id", F.col("weight").cast("float").alias("weight"))
+    # numbers from zero: the greatest tells whether all of them fit
+    if (ids.agg(F.max("id")).first()[0] or 0) >= 1 << 31:
+        raise ValueError("more nodes than 32-bit ids")
+    als = ALS(rank=rank, maxIter=rounds, implicitPrefs=True, userCol="src_id", itemCol="dst_id", ratingCol="weight", seed=seed, checkpointInterval=-1)
+    return als.fit(edges).userFactors.join(ids, "id").select(F.col("label").alias("node"), F.transform("features", lambda x: x.cast("double")).alias("v"))
+
+
+@query("kg_factors")
+def kg_factors(spark: SparkSession, d: str) -> DataFrame:
+    """Node vectors by factorisation; its numbers depend on the order of sums, so there is no SQL for them."""
+    triples = kg(spark, d)
+    return factors(adjacency(triples), entity_ids(triples))
+
+
 @query("kg_filtered_ranks", f"WITH {_RANK_SQL} SELECT head, relation, tail, side, candidates, optimistic, pessimistic, (optimistic + pessimistic) / 2.0 AS realistic FROM ranks")
 def kg_filtered_ranks(spark: SparkSession, d: str) -> DataFrame:
     triples = kg(spark, d)

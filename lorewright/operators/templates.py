@@ -256,6 +256,24 @@ def issue_report(spark: SparkSession, d: str) -> DataFrame:
     return template_issues(spark, d).groupBy("issue").agg(F.count("*").alias("pages"), F.min("p_partkey").alias("first_page"))
 
 
+def with_past(found: DataFrame, past: DataFrame, key: str) -> DataFrame:
+    """Issues found now together with those of a past log; one that both name stands once, as found now."""
+    every = found.select(key, "issue", F.lit(0).alias("age")).unionByName(past.select(key, "issue", F.lit(1).alias("age")))
+    return every.groupBy(key, "issue").agg(F.when(F.min("age") == 0, "found").otherwise("past").alias("known"))
+
+
+_PAST = "SELECT p_partkey, 'legacy_bracket_tokens' AS issue FROM part WHERE p_size % 3 = 0"
+
+
+@query("issue_report_with_past", f"""WITH e AS (SELECT *, 0 AS age FROM ({_ISSUES}) UNION ALL SELECT *, 1 FROM ({_PAST})), k AS (SELECT p_partkey, issue, min(age) AS age FROM e GROUP BY ALL)
+    SELECT issue, CASE WHEN age = 0 THEN 'found' ELSE 'past' END AS known, count(*) AS pages, min(p_partkey) AS first_page FROM k GROUP BY issue, age""")
+def issue_report_with_past(spark: SparkSession, d: str) -> DataFrame:
+    """Pages to fetch again by issue, of this run and of the log of earlier ones (here, by the part's size)."""
+    past = read(spark, d, "part").filter("p_size % 3 = 0").select("p_partkey", F.lit("legacy_bracket_tokens").alias("issue"))
+    g = with_past(template_issues(spark, d), past, "p_partkey").groupBy("issue", "known")
+    return g.agg(F.count("*").alias("pages"), F.min("p_partkey").alias("first_page"))
+
+
 @query("infobox_links", "SELECT p_partkey, unnest([split_part(p_brand, '#', 1), split_part(p_brand, '#', 1), p_type]) AS target, unnest([0, 1, 2])::INTEGER AS pos FROM part")
 def infobox_links(spark: SparkSession, d: str) -> DataFrame:
     """Targets of internal links, up to the section or bar; a target with a colon does not count."""

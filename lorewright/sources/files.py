@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..registry import query, read
@@ -101,3 +102,20 @@ def log_progress_extract(spark: SparkSession, d: str) -> DataFrame:
     line = F.when(e % 2 == 0, F.concat(F.lit("Training "), (e % 101).cast("string"), F.lit("%| stage="), "event_type")).otherwise("started")
     x = read(spark, d, "events").select("event_id", line.alias("line")).filter(F.col("line").rlike(r"[0-9]+%\|"))
     return x.select("event_id", F.regexp_extract("line", r"([0-9]+)%\|", 1).cast("long").alias("percent"), F.regexp_extract("line", r"stage=(\w+)", 1).alias("epoch"))
+
+
+#: Lines of a service log that tell of a chat request.
+CHAT = "contains(line, '/chat') AND (contains(line, 'POST') OR contains(line, 'Processing'))"
+_SERVED = "CASE event_id % 3 WHEN 0 THEN ' POST /chat ' || event_id || ' ' WHEN 1 THEN 'Processing /chat for ' || user_id ELSE 'GET /chat/' || event_id END"
+
+
+def recent_chats(log: DataFrame, most: int = 12) -> DataFrame:
+    """(log, n, line) -> the last chat lines of each log, without blanks around. A line's place is n."""
+    chats = log.filter(F.expr(CHAT)).withColumn("rank", F.row_number().over(W.partitionBy("log").orderBy(F.col("n").desc())))
+    return chats.filter(F.col("rank") <= most).select("log", "n", F.trim("line").alias("line"))
+
+
+@query("log_recent_chats", f"WITH l AS (SELECT event_type AS log, event_id AS n, {_SERVED} AS line FROM events) SELECT log, n, trim(line) AS line FROM l WHERE {CHAT} QUALIFY row_number() OVER (PARTITION BY log ORDER BY n DESC) <= 12")
+def log_recent_chats(spark: SparkSession, d: str) -> DataFrame:
+    """The last twelve requests that the log of each kind of event tells of."""
+    return recent_chats(read(spark, d, "events").select(F.col("event_type").alias("log"), F.col("event_id").alias("n"), F.expr(_SERVED).alias("line")))

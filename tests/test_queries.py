@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from lorewright import catalog
-from lorewright.operators import retrieval
+from lorewright.operators import graph, retrieval
 from lorewright.sources import files
 from lorewright.streaming import feeds
 
@@ -87,3 +87,29 @@ def test_streams_see_repeats_and_what_they_hold_already(spark, tmp_path):
     model = lambda df: df.selectExpr("key", "length(text) as size")
     feeds.embed(feeds.feed(spark, src, schema, 1), str(tmp_path / "index"), str(tmp_path / "cp"), model).awaitTermination()
     assert sorted(r["size"] for r in spark.read.parquet(str(tmp_path / "index")).collect()) == [3, 3, 5]
+
+
+def test_factors_tell_groups_apart(spark):
+    edges = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "ab" for i in range(8) for j in range(8) if i != j and (i + j) % 5]
+    adj = spark.createDataFrame(edges, "src string, dst string, weight double")
+    ids = spark.createDataFrame([(f"{g}{i}", n * 8 + i) for n, g in enumerate("ab") for i in range(8)], "label string, id long")
+    v = {r.node: r.v for r in graph.factors(adj, ids, rank=4).collect()}
+    dot = lambda x, y: sum(a * b for a, b in zip(v[x], v[y]))
+    same = [dot(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(8) for j in range(i)]
+    other = [dot(f"a{i}", f"b{j}") for i in range(8) for j in range(8)]
+    assert len(v) == 16 and sum(same) / len(same) > 2 * abs(sum(other) / len(other))
+
+
+def test_registered_factors_cover_the_graph(spark, data):
+    v = catalog.QUERIES["kg_factors"](spark, data)
+    nodes = catalog.QUERIES["kg_adjacency"](spark, data).select("src").distinct()
+    assert v.count() == nodes.count() and v.join(nodes, v["node"] == nodes["src"], "left_anti").count() == 0
+
+
+def test_past_issues_stand_once(spark):
+    from lorewright.operators import templates
+
+    now = spark.createDataFrame([(1, "x"), (2, "x"), (2, "x")], "page long, issue string")
+    past = spark.createDataFrame([(2, "x"), (3, "x"), (3, "x")], "page long, issue string")
+    assert sorted(map(tuple, templates.with_past(now, past, "page").collect())) == [(1, "x", "found"), (2, "x", "found"), (3, "x", "past")]
+    assert templates.with_past(now.limit(0), past.limit(0), "page").count() == 0
