@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions import text  # noqa: F401
-from .operators import changes, chain, evidence, families, graph, intents, pages, retrieval, templates  # noqa: F401
+from .operators import changes, chain, evidence, families, graph, intents, pages, retrieval, sessions, templates  # noqa: F401
 from .sources import files  # noqa: F401
 from .streaming import feeds  # noqa: F401
 from .registry import ORACLE, QUERIES

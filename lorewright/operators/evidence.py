@@ -75,6 +75,40 @@ def lexical_boosts(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(scored, "q").select("item_id", "title", "boost")
 
 
+# Words of questions about quick ways, what intents add to a question, and what is asked of titles.
+QUICK = "bulk|burst|barrage|chinning|efficient|fast"
+FOLLOW = {"strategy": ["strategy", "best method", "efficient setup"], "location": ["locations", "where to find", "catacombs dungeon cave"]}
+OF_TITLE = ["strategy", "location", "drops"]
+
+
+def follow_ups(q: Column, titles: Column, most: int = 8) -> Column:
+    """The question, what its intents add to it, and what is asked of the first three titles; each once, at most so many."""
+    kinds = {"strategy": F.lower(q).rlike(f"{INTENTS['strategy']}|{QUICK}"), "location": F.lower(q).rlike(INTENTS["location"])}
+    more = [F.when(on, F.array(*(F.concat_ws(" ", q, F.lit(x)) for x in FOLLOW[k]))).otherwise(F.array().cast("array<string>")) for k, on in kinds.items()]
+    named = F.flatten(F.transform(F.slice(titles, 1, 3), lambda t: F.array(*(F.concat_ws(" ", t, F.lit(x)) for x in OF_TITLE))))
+    return F.slice(F.array_distinct(F.filter(F.concat(F.array(q), *more, named), lambda x: x != "")), 1, most)
+
+
+_FOLLOW_SQL = ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN [{', '.join(f"text || ' {x}'" for x in FOLLOW[k])}] ELSE [] END" for k, p in (("strategy", f"{INTENTS['strategy']}|{QUICK}"), ("location", INTENTS["location"])))
+
+
+@query(
+    "subquery_titles",
+    f"""WITH {_BOOST}, r AS (SELECT item_id, title, row_number() OVER (PARTITION BY item_id ORDER BY boost DESC, title) AS n FROM s WHERE boost > 0),
+    w AS (SELECT item_id, list(title ORDER BY n) AS titles FROM r WHERE n <= 3 GROUP BY item_id),
+    e AS (SELECT item_id, flatten([[text], {_FOLLOW_SQL}, coalesce(flatten(list_transform(titles, lambda t: [{', '.join(f"t || ' {x}'" for x in OF_TITLE)}])), [])]) AS qs FROM benchmark LEFT JOIN w USING (item_id)),
+    u AS (SELECT item_id, unnest(qs) AS q, unnest(range(len(qs))) AS pos FROM e), f AS (SELECT item_id, q, min(pos) AS pos FROM u WHERE q <> '' GROUP BY ALL)
+    SELECT item_id, q, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS n FROM f QUALIFY n <= 8""",
+)
+def subquery_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Follow-up questions, seeded with the titles that fit a question best."""
+    rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.col("boost").desc(), "title"))
+    best = lexical_boosts(spark, d).withColumn("n", rank).filter("n <= 3").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("n", "title"))).alias("all"))
+    q = read(spark, d, "benchmark").select("item_id", "text").join(best, "item_id", "left")
+    titles = F.coalesce(F.transform("all", lambda x: x["title"]), F.array().cast("array<string>"))
+    return q.select("item_id", F.posexplode(follow_ups(F.col("text"), titles)).alias("n", "q")).select("item_id", "q", (F.col("n") + 1).cast("long").alias("n"))
+
+
 _PRIOR = "round(CASE WHEN length(text) < 400 THEN -0.08 WHEN length(text) > 3000 THEN 0.02 ELSE 0 END + CASE WHEN len(regexp_extract_all(text, '(?m)^=+')) >= 3 THEN 0.03 ELSE 0 END + CASE WHEN contains(source, '(') THEN -0.06 ELSE 0 END + CASE WHEN regexp_matches(source, '^[a-z]+:') THEN -0.12 ELSE 0 END, 9)::DOUBLE"
 
 
