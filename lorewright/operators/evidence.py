@@ -22,6 +22,7 @@ REQUIRED = r"(^|[^a-z])requires? (.{0,99}[^a-z])?(level|lvl|quest|skill|completi
 NEUTRAL = {"location": "where to find", "stats": "statistics", "requirements": "prerequisites", "timeline": "release date"}
 
 
+# The boosts and priors of the next two functions, and the lengths and headings that they ask for.
 def lexical_boost(title: Column, q: Column) -> Column:
     """Title equal to the question, within it, or holding it; else any of its words longer than three characters."""
     word = F.exists(tokens(q), lambda w: (F.char_length(w) > 3) & F.contains(title, w))
@@ -218,6 +219,31 @@ def intent_expand(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").select("conv_id", "turn", F.explode(tags(F.col("text"))).alias("intent")).select("conv_id", "turn", F.try_element_at(terms, F.col("intent")).alias("term")).filter("term is not null")
 
 
+# Terms that widen a question, by intent and in this order.
+WIDER = {
+    "requirements": ["requirements", "quest requirements", "skill requirements", "unlock", "completion"],
+    "drops": ["drop table", "unique drops", "loot"],
+    "location": ["located at", "located in", "near", "north of", "south of"],
+    "stats": ["max hit", "hitpoints", "combat level"],
+    "strategy": ["mechanics", "strategy", "safe spot"],
+    "economy": ["price", "grand exchange", "market"],
+}
+
+
+def widened(q: Column) -> Column:
+    """A question with the terms of its intents behind it; as it is without any."""
+    terms = F.concat_ws(", ", *(F.when(F.lower(q).rlike(INTENTS[k]), F.lit(", ".join(v))) for k, v in WIDER.items()))
+    return F.when(terms == "", q).otherwise(F.concat(q, F.lit(" | "), terms))
+
+
+_WIDER_SQL = "concat_ws(', ', " + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{INTENTS[k]}') THEN '{', '.join(v)}' END" for k, v in WIDER.items()) + ")"
+
+
+@query("intent_widened", f"SELECT conv_id, turn, CASE WHEN t = '' THEN text ELSE text || ' | ' || t END AS wider FROM (SELECT *, {_WIDER_SQL} AS t FROM conversations WHERE role = 'user')")
+def intent_widened(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", widened(F.col("text")).alias("wider"))
+
+
 @query("search_terms", "SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 4))) AS term FROM benchmark")
 def search_terms(spark: SparkSession, d: str) -> DataFrame:
     """Distinct words of a question that are longer than four characters."""

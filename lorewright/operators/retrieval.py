@@ -108,6 +108,18 @@ def semantic_search(spark: SparkSession, d: str) -> DataFrame:
     return cosine_topk(few_queries(rows), rows, 6).filter("score > 0.3")
 
 
+@query(
+    "semantic_search_terms",
+    f"""WITH {_E}, f AS (SELECT query_id // 500 AS asker, vec_id, min((query_id, rank)) AS seen FROM ({_topk_sql(6)}) WHERE score > 0.3 GROUP BY ALL)
+    SELECT asker, vec_id, row_number() OVER (PARTITION BY asker ORDER BY seen) AS n FROM f QUALIFY n <= 8""",
+)
+def semantic_search_terms(spark: SparkSession, d: str) -> DataFrame:
+    """An asker has up to five terms (here the queries of one run of 500 ids): the best of each, those found by an earlier
+    term once, eight in all."""
+    found = semantic_search(spark, d).groupBy(F.floor(F.col("query_id") / 500).alias("asker"), "vec_id").agg(F.min(F.struct("query_id", "rank")).alias("seen"))
+    return found.withColumn("n", F.row_number().over(W.partitionBy("asker").orderBy("seen"))).filter("n <= 8").select("asker", "vec_id", "n")
+
+
 @query("hybrid_merge", f"WITH {_E}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round({_COS} * CASE WHEN b.label < 5 THEN 1.1 ELSE 1.0 END, 6) AS score FROM e a, e b WHERE a.vec_id % 100 = 0) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10")
 def hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
     """Pages (labels 0 to 4) weigh 1.1 times as much as entities; the best ten of both. Ten of each side suffice."""
