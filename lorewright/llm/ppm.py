@@ -271,7 +271,8 @@ def score(docs: DataFrame, counts: DataFrame, text: str = "text", doc_id: str =
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null text counts as empty: one token, the end. Equal rows get equal scores. Without training texts
-    every byte has probability 1/256.
+    every byte has probability 1/256. Texts may be of any length. An empty table gives an empty result; other
+    columns of docs, whatever their names, are not read.
     """
     words = counts.filter("kind = 0")
     n, v, texts = counts.agg(F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)), F.count(F.when(F.col("kind") == 0, 1)), F.coalesce(F.sum(F.when(F.col("kind") == 2, F.col("n"))), F.lit(0))).first()

@@ -42,3 +42,27 @@ def test_stages_on_smallest_tables(spark, data):
     lib = Tokenizer.from_file(bpe.default_path())
     want = sorted((r.doc_id, lib.encode(r.text, add_special_tokens=False).ids) for r in out["source mix"])
     assert sorted((r.doc_id, r.ids) for r in out["encoding"]) == want
+
+
+def test_stages_take_odd_rows(spark, data):
+    """Nulls, empty and long texts, repeated rows, columns whose names the stages use themselves, and no n_chars."""
+    schema = "doc_id long, text string, lang string, source string, rec string, size string, slot string, uid string, first string, row string"
+    tail = ("x",) * 6
+    good = [" ".join(f"w{i}x{k}" for k in range(120)) + f"\nmail me{i}@host.org" for i in range(12)]
+    rows = [(i, t, "en", "s", *tail) for i, t in enumerate(good)]
+    rows += [(20, good[0], "en", "s", *tail)] * 2 + [(21, "long text of many words " * 20_000, "en", None, *tail)]
+    rows += [(22, "", "en", "s", *tail), (23, None, "en", "s", *tail), (None, good[1] + " end", None, None, *tail), (None,) * 10]
+    docs = spark.createDataFrame(rows, schema)
+    columns, out = docs.columns, {}
+    for name, step in corpus_pipeline.STAGES:
+        empty = step(spark, docs.limit(0), data)
+        assert empty.count() == 0
+        out[name] = common.stage(step(spark, docs, data), "test").collect()
+        assert name == "encoding" or empty.columns == columns
+    assert all(r.text for r in out["quality rules"])
+    ids = [r.doc_id for r in out["near-duplicates"]]
+    assert sorted(i for i in ids if i is not None) == [0, *range(1, 12), 21, 22, 23]
+    hidden = [r for r in out["personal data"]]
+    assert len(hidden) == len(rows) and not any("@" in (r.text or "") for r in hidden)
+    assert all(r.text for r in out["source mix"]) and {r.rec for r in out["source mix"]} == {"x"}
+    assert sorted(r.doc_id or -1 for r in out["encoding"]) == sorted(r[0] or -1 for r in rows)
