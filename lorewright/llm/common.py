@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -32,19 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
-#: Tables that the step of a pipeline that runs now has written, while recording() is on.
-_written: list[str] | None = None
+#: Folders of tables that stage() has written inside the innermost scratch(), in this thread.
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
 
 
 @contextlib.contextmanager
-def recording() -> Iterator[list[str]]:
-    """The folders of tables that stage() writes inside the block."""
-    global _written
-    before, _written = _written, []
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Inside the block stage() notes its tables; at its end all are deleted but those that the results handed to the
+    given function read. Those belong to whoever called: to an outer scratch(), if there is one."""
+    outer, own = _written.get(), []
+    token, kept = _written.set(own), set()
+
+    def keep(result: DataFrame) -> DataFrame:
+        kept.update(f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in result.inputFiles())
+        return result
+
     try:
-        yield _written
+        yield keep
     finally:
-        _written = before
+        _written.reset(token)
+        stay = [folder for folder in own if folder.rsplit("/", 1)[-1] in kept]
+        drop_tables(spark, [folder for folder in own if folder not in stay])
+        if outer is not None:
+            outer.extend(stay)
 
 
 def drop_tables(spark: SparkSession, folders: list[str]) -> None:
@@ -63,8 +74,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _written is not None:
-        _written.append(path)
+    written = _written.get()
+    if written is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
