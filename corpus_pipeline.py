@@ -1,14 +1,13 @@
 """From documents to an encoded training mix: quality rules, near-duplicates, personal data, source mix, BPE.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again
-as the docs of the next one.
+as the docs of the next one. A stage deletes the tables that it wrote and its result does not read; those that the
+result reads belong to the caller, so stages may be called in any number before one is written. run() deletes
+what it no longer reads.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,29 +17,6 @@ from lorewright.llm import bpe, common, dedup, mixing, pii, quality
 PERCENT, WIDTH = 80, 5
 
 
-_earlier: list[str] = []
-
-
-def own_tables(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A stage that, when it begins, deletes the tables that the stage before wrote for itself.
-
-    A stage's result is written before the next stage begins, so nothing reads them any more; tables that docs still
-    reads are left where they are.
-    """
-
-    @functools.wraps(step)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = {f.rsplit("/", 2)[-2] for f in docs.inputFiles()}
-        common.drop_tables(spark, [t for t in _earlier if t.rsplit("/", 1)[-1] not in read])
-        common.release(spark)
-        with common.recording() as written:
-            result = step(spark, docs, sf_dir)
-        _earlier[:] = written
-        return result
-
-    return run
-
-
 def recounted(docs: DataFrame) -> DataFrame:
     """docs, with n_chars (if there is such a column) the characters of text."""
     if "n_chars" not in docs.columns:
@@ -48,17 +24,23 @@ def recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
-@own_tables
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Rows without text go; repeated rows share their verdict.
 
+    Verdicts are worked out without carrying texts and come back by a 128-bit digest of the row, so that the rows
+    themselves are neither written on the way nor (up to common.FEW_IDS verdicts) moved.
     Like all stages: texts of any length, columns of any names beside doc_id, text, lang and source; an empty table
     gives an empty table.
     """
-    return quality.judge(docs).filter("kept").select("rec.*")
+    one, two = common.fresh(docs, "digest_1"), common.fresh(docs, "digest_2")
+    told = [F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text")]
+    marked = docs.withColumns({one: F.xxhash64(F.lit(1), *told), two: F.xxhash64(F.lit(2), *reversed(told))})
+    with common.scratch(spark) as keep:
+        judged = quality.judge(marked.select(*told, one, two), keep_text=False)
+        good = keep(common.stage(judged.filter("kept").select(F.col(f"rec.{one}"), F.col(f"rec.{two}")).distinct(), "good"))
+    return common.with_ids(marked, good, [one, two]).select(*docs.columns)
 
 
-@own_tables
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the least doc_id, of repeated rows one.
 
@@ -68,13 +50,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(docs, percent=PERCENT, width=WIDTH).filter("first").select("rec.*")
 
 
-@own_tables
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every personal span replaced by its kind; n_chars follows. Null text stays null."""
     return recounted(pii.redact(docs))
 
 
-@own_tables
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in the order of its slots: a row for each time that a document is taken, with the words taken of it.
 
@@ -84,9 +64,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     row = common.fresh(docs, "row")
     held = common.stage(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
-    laid, pieces = mixing.mix(held.select("doc_id", "source", "text", row), keep_text=False)
-    taken = pieces.groupBy("uid", "pass").agg(F.min("slot").alias("slot"), F.min("first").alias("first"), F.sum("words").alias("words"))
-    taken = common.stage(taken.join(laid.select("uid", F.col(f"rec.{row}").alias("of"), "size"), "uid").select("of", "slot", "first", "words", "size", "pass"), "taken")
+    with common.scratch(spark) as keep:
+        laid, pieces = mixing.mix(held.select("doc_id", "source", "text", row), keep_text=False)
+        taken = pieces.groupBy("uid", "pass").agg(F.min("slot").alias("slot"), F.min("first").alias("first"), F.sum("words").alias("words"))
+        taken = taken.join(laid.select("uid", F.col(f"rec.{row}").alias("of"), "size"), "uid")
+        taken = keep(common.stage(taken.select("of", "slot", "first", "words", "size", "pass"), "taken"))
     j = held.select(F.struct("*").alias("rec")).join(F.broadcast(taken) if taken.count() <= common.FEW_IDS else taken, F.col(f"rec.{row}") == F.col("of"))
     j = j.repartitionByRange("slot", "of", "pass").sortWithinPartitions("slot", "of", "pass")
     text = F.col("rec.text")
@@ -95,7 +77,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return recounted(j.select(*(text.alias(c) if c == "text" else F.col(f"rec.`{c}`") for c in docs.columns)))
 
 
-@own_tables
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row of the mix, also of rows without text (none) and repeated ones."""
     return bpe.encode(docs, bpe.default_path(), keep=("doc_id", "lang", "source"))
@@ -116,7 +97,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     for k, (name, step) in enumerate(STAGES[:-1]):
-        before, docs = docs, common.stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with common.scratch(spark) as keep:
+            docs = keep(common.stage(step(spark, docs, sf_dir), name.replace(" ", "-")))
+        common.release(spark)
         if k:
             common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
