@@ -113,7 +113,8 @@ def shared_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     with scratch(docs.sparkSession) as keep:
         drops = keep(stage(dropped_lines(docs, text, doc_id, least, documents), "drops"))
     rec = docs.select(F.struct("*").alias("rec"), F.col(text).alias("text"), F.col(doc_id).alias("of"), F.xxhash64(text).alias("as"))
-    j = rec.join(drops, F.col("of").eqNullSafe(F.col("doc")) & (F.col("as") == F.col("version")), "left")
+    # texts move once, at every size: positions are as many as the lines that go, so a broadcast of them has no bound
+    j = rec.join(drops.hint("merge"), F.col("of").eqNullSafe(F.col("doc")) & (F.col("as") == F.col("version")), "left")
     return without_lines(j.select("rec", "text", "drops"))
 
 
