@@ -12,9 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import page_title
+from ..joins import grid, lookup, numbered, running
 from ..registry import query, read, workspace
 from ..sources.files import read_json_lines, read_triples, write_json_lines, write_triples
-from .retrieval import QUERY_BLOCK, ROW_BLOCK, packed
+from ..staging import scratch, stage
+from .retrieval import QUERY_BLOCK, ROW_BLOCK, n_blocks, packed, unit
 
 KG_SQL = """kg AS (
   SELECT 'Supplier#' || s_suppkey AS head, 'links_to' AS relation, n_name AS tail, 'Supplier#' || s_suppkey AS source_title, s_suppkey::BIGINT AS revid FROM supplier JOIN nation ON s_nationkey = n_nationkey
@@ -80,19 +82,13 @@ def kg_nodes(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select(page_title(F.col("html")).alias("title"), F.array(F.regexp_extract("html", '<html lang="([a-z]+)"', 1)).alias("categories"), F.col("page_id").alias("revid"))
 
 
-def entity_ids(triples: DataFrame) -> DataFrame:
-    """(label, id): ids from 0 in the order of first appearance. Rows are ordered by (revid, head, relation,
-    tail), a head before its tail. The running number is taken in two steps, over ranges and then inside."""
+def entity_ids(triples: DataFrame, start: int = 0) -> DataFrame:
+    """(label, id): ids from `start` in the order of first appearance. Rows are ordered by (revid, head, relation,
+    tail), a head before its tail. Labels are numbered by ranges of that order, whatever the revids are."""
     order = F.struct("revid", "head", "relation", "tail")
     both = triples.select(order.alias("o"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("head").alias("label")), F.struct(F.lit(1).alias("side"), F.col("tail").alias("label")))).alias("e"))
     first = both.groupBy("e.label").agg(F.min(F.struct("o", "e.side")).alias("first"))
-    step = max(1, (triples.agg(F.max("revid")).first()[0] or 0) // 4096)
-    # a bounded number of pieces, whatever the revids are
-    ranged = first.withColumn("piece", F.floor(F.col("first.o.revid") / step))
-    size = ranged.groupBy("piece").agg(F.count("*").alias("n"))
-    size = size.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(W.partitionBy("piece").orderBy("first")) - 1
-    return ranged.withColumn("inside", inside).join(size, "piece").select("label", (F.col("before") + F.col("inside")).cast("long").alias("id"))
+    return numbered(first, [F.col("first")], "id").select("label", (F.col("id") + start).alias("id"))
 
 
 _IDS_SQL = """fa AS (SELECT label, min((revid, head, relation, tail, side)) AS f FROM (
@@ -115,11 +111,10 @@ def kg_entity_ids(spark: SparkSession, d: str) -> DataFrame:
 def kg_entity_ids_resume(spark: SparkSession, d: str) -> DataFrame:
     """Known labels keep their ids; new ones go on after the last."""
     t = kg(spark, d)
-    old, new = entity_ids(t.filter("revid <= 50")), entity_ids(t.filter("revid > 50"))
-    fresh = new.join(old, "label", "left_anti")
-    start = old.agg((F.max("id") + 1).alias("start"))
-    numbered = fresh.withColumn("id", F.row_number().over(W.orderBy("id")) - 1)
-    return old.unionByName(numbered.join(F.broadcast(start)).select("label", (F.col("id") + F.col("start")).cast("long").alias("id")))
+    old = stage(entity_ids(t.filter("revid <= 50")), "ids")
+    new = entity_ids(t.filter("revid > 50")).join(old, "label", "left_anti")
+    start = old.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
+    return old.unionByName(numbered(new.withColumnRenamed("id", "at"), [F.col("at")], "id").select("label", (F.col("id") + start).alias("id")))
 
 
 @query("kg_relation_ids", f"WITH {KG_SQL} SELECT relation, row_number() OVER (ORDER BY relation) - 1 AS id FROM (SELECT DISTINCT relation FROM kg)")
@@ -163,9 +158,13 @@ def kg_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 @query("kg_split", f"WITH {KG_SQL} SELECT head, relation, tail, CASE WHEN substring(md5(head || '|' || relation || '|' || tail), 1, 2) < 'e6' THEN 'train' WHEN substring(md5(head || '|' || relation || '|' || tail), 1, 2) < 'f3' THEN 'valid' ELSE 'test' END AS part FROM kg")
 def kg_split(spark: SparkSession, d: str) -> DataFrame:
+    return kg(spark, d).select("head", "relation", "tail", split_part().alias("part"))
+
+
+def split_part() -> Column:
     """About 90, 5 and 5 per cent, by the hash of the triple: the same on every run and every cluster."""
     h = F.substring(F.md5(F.concat_ws("|", "head", "relation", "tail")), 1, 2)
-    return kg(spark, d).select("head", "relation", "tail", F.when(h < "e6", "train").when(h < "f3", "valid").otherwise("test").alias("part"))
+    return F.when(h < "e6", "train").when(h < "f3", "valid").otherwise("test")
 
 
 @query(
@@ -244,14 +243,20 @@ def hash_vector(label: Column, dim: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.when(F.substring(F.md5(label), i, 1) < "8", 1.0).otherwise(-1.0))
 
 
-def propagate(adj: DataFrame, dim: int = 8, rounds: int = 2) -> DataFrame:
-    """(node, component, value): hash-seeded vectors, replaced in each round by the weighted mean of the neighbours'."""
-    nodes = adj.select(F.col("src").alias("node")).distinct()
-    v = nodes.select("node", F.posexplode(hash_vector(F.col("node"), dim)).alias("component", "value"))
+def propagate(adj: DataFrame, dim: int = 8, rounds: int = 2) -> list[DataFrame]:
+    """For each round (node, v): hash-seeded vectors, replaced in each round by the weighted mean of the neighbours'.
+
+    adj is a stored table, joined once a round; vectors stay whole and are summed by component in one aggregate, combined
+    map-side. Vectors of hubs go to their edges by broadcast (lookup), the others by a shuffle. Each round is stored.
+    """
+    v = adj.select(F.col("src").alias("dst")).distinct()
+    v = stage(v.select("dst", hash_vector(F.col("dst"), dim).alias("v")), "seeds")
+    found = []
     for _ in range(rounds):
-        j = adj.join(v, adj["dst"] == v["node"])
-        v = j.groupBy(F.col("src").alias("node"), "component").agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("value"))
-    return v
+        sums = lookup(adj, v, ["dst"], 8 * dim + 60).groupBy("src").agg(F.sum("weight").alias("w"), *(F.sum(F.col("weight") * F.col("v")[i]).alias(f"c{i}") for i in range(dim)))
+        v = stage(sums.select(F.col("src").alias("dst"), F.array(*(F.col(f"c{i}") / F.col("w") for i in range(dim))).alias("v")), "vectors")
+        found.append(v.withColumnRenamed("dst", "node"))
+    return found
 
 
 _STEP = "SELECT src AS node, component, sum(weight * value) / sum(weight) AS value FROM adj JOIN {v} ON dst = node GROUP BY src, component"
@@ -264,7 +269,8 @@ _STEP = "SELECT src AS node, component, sum(weight * value) / sum(weight) AS val
     SELECT node, component, round(value, 9) AS value FROM v2""",
 )
 def kg_propagate(spark: SparkSession, d: str) -> DataFrame:
-    return propagate(adjacency(kg(spark, d))).withColumn("value", F.round("value", 9))
+    v = entity_vectors(kg(spark, d))
+    return v.select("node", F.posexplode("v").alias("component", "value")).withColumn("value", F.round("value", 9))
 
 
 _VECTORS_SQL = f"""{KG_SQL}, {_ADJ_SQL}, v0 AS (SELECT node, i - 1 AS component, CASE WHEN substring(md5(node), i, 1) < '8' THEN 1.0 ELSE -1.0 END::DOUBLE AS value
@@ -283,48 +289,102 @@ _RANK_SQL = f"""{_VECTORS_SQL}, tri AS (SELECT DISTINCT head, relation, tail FRO
     FROM sco ANTI JOIN kno USING (side, fixed, relation, other) WHERE other <> answer GROUP BY ALL)"""
 
 
-def entity_vectors(adj: DataFrame) -> DataFrame:
-    """(node, v): the propagated vectors as arrays."""
-    g = propagate(adj).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("component", "value"))).alias("all"))
-    return g.select("node", F.transform("all", lambda x: x["value"]).alias("v"))
+def entity_vectors(triples: DataFrame) -> DataFrame:
+    """(node, v): the vectors of the last round of propagation, a stored table."""
+    with scratch(triples.sparkSession) as keep:
+        return keep(propagate(stage(adjacency(triples), "adjacency"))[-1])
+
+
+_UNIT = "list_transform({v}, lambda x: x / CASE WHEN list_inner_product({v}, {v}) = 0 THEN 1 ELSE sqrt(list_inner_product({v}, {v})) END)"
+
+
+@query(
+    "kg_node_vectors",
+    f"""WITH {_VECTORS_SQL}, one AS (SELECT node, list(value ORDER BY component) AS a FROM v1 GROUP BY node),
+    cat AS (SELECT node, list_concat({_UNIT.format(v="a")}, {_UNIT.format(v="v")}) AS c FROM one JOIN vec USING (node))
+    SELECT node, list_transform({_UNIT.format(v="c")}, lambda x: round(x, 6) + 0.0) AS v FROM cat""",
+)
+def kg_node_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors for retrieval: those of all rounds, each by its length, one after the other, by the length of the whole."""
+    with scratch(spark) as keep:
+        one, *more = propagate(stage(adjacency(kg(spark, d)), "adjacency"))
+        joined = one.select("node", unit(F.col("v")).alias("c"))
+        for v in more:
+            joined = joined.join(v, "node").select("node", F.concat("c", unit(F.col("v"))).alias("c"))
+        return keep(joined.select("node", F.transform(unit(F.col("c")), lambda x: F.round(x, 6) + 0.0).alias("v")))
 
 
 def score(a: Column, b: Column) -> Column:
     return F.floor(F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) * GRID + SHIFT)
 
 
+#: Answers of one anchor that are looked up in one sorted row of scores.
+ANSWERS = 4096
+
+
+def both_sides(answer: str = "answer") -> Column:
+    """For a triple the two questions it answers: which tail follows this head, and which head goes before this tail."""
+    side = lambda name, fixed, other: F.struct(F.lit(name).alias("side"), F.col(fixed).alias("fixed"), F.col(other).alias(answer))
+    return F.explode(F.array(side("tail", "head", "tail"), side("head", "tail", "head"))).alias("q")
+
+
+def anchor_counts(q: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(fixed, s, higher, least): for each anchor (fixed) and each score s that one of its answers has, how many of all
+    entities score higher, and how many at least as much. An anchor is scored against all entities once for ANSWERS answers:
+    its scores are sorted, and all its answers are found in them."""
+    pairs = stage(q.select("fixed", "s").distinct(), "anchor-scores")
+    many = pairs.groupBy("fixed").agg(F.count("*").alias("n")).filter(F.col("n") > ANSWERS)
+    # at most one anchor for each ANSWERS pairs
+    pairs = pairs.join(F.broadcast(many), "fixed", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("s"), F.ceil(F.col("n") / ANSWERS)), F.lit(0)))
+    anchors = pairs.groupBy("fixed", "piece").agg(F.collect_list("s").alias("s"))
+    anchors = stage(lookup(anchors, vectors.withColumnRenamed("node", "fixed"), ["fixed"]), "anchors")
+    blocks, parts = n_blocks(anchors.count(), QUERY_BLOCK), n_blocks(vectors.count(), ROW_BLOCK)
+
+    def run(asked: pa.Array, held: pa.Array, part: int) -> Iterator[pa.RecordBatch]:
+        x, y = (z.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(z), -1) for z in (asked, held))
+        got = np.floor(x @ y.T * GRID + SHIFT)
+        s = asked.field("s")
+        size, s = np.diff(s.offsets.to_numpy()), s.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        higher, least = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
+        single = np.flatnonzero(size == 1)
+        own = s[ends[single] - 1][:, None]
+        higher[ends[single] - 1], least[ends[single] - 1] = (got[single] > own).sum(axis=1), (got[single] >= own).sum(axis=1)
+        for i in np.flatnonzero(size > 1):
+            row, at = np.sort(got[i]), slice(ends[i] - size[i], ends[i])
+            higher[at], least[at] = len(row) - np.searchsorted(row, s[at], "right"), len(row) - np.searchsorted(row, s[at], "left")
+        yield pa.RecordBatch.from_arrays([asked.field("fixed").take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(s), pa.array(higher), pa.array(least)], names=["fixed", "s", "higher", "least"])
+
+    left = packed(anchors, ["fixed", "v", "s"], blocks, "block", "left_of")
+    right = packed(vectors, ["node", "v"], parts, "part", "right_of")
+    return grid(left, right, blocks, parts, run, "fixed string, s long, higher long, least long").groupBy("fixed", "s").agg(F.sum("higher").alias("higher"), F.sum("least").alias("least"))
+
+
 def filtered_ranks(triples: DataFrame, test: DataFrame, vectors: DataFrame) -> DataFrame:
     """For both sides of each test triple the rank of the right entity among all entities but other right answers.
 
-    Blocks of questions meet blocks of entities as matrix products, and only counts of higher and of equal scores leave a
-    pair of blocks. The other right answers, a join with the triples, are taken off afterwards.
+    triples and test are stored tables of distinct (head, relation, tail); vectors is a stored table (node, v). Each anchor
+    meets all entities once, whatever its number of questions. The right answers of a question's anchor and relation are
+    scored once too and counted by score; their running count, from the greatest score down, tells each answer how many
+    of them are before it. The work is that of triples plus distinct anchors times entities.
     """
-    side = lambda name, fixed, answer: F.struct(F.lit(name).alias("side"), F.col(fixed).alias("fixed"), F.col(answer).alias("answer"))
-    both = F.explode(F.array(side("tail", "head", "tail"), side("head", "tail", "head"))).alias("q")
-    q = test.select("head", "relation", "tail", both).select("head", "relation", "tail", "q.*")
-    v = lambda name, key: vectors.select(F.col("node").alias(key), F.col("v").alias(name))
-    q = q.join(v("f", "fixed"), "fixed").join(v("a", "answer"), "answer").withColumn("s", score(F.col("f"), F.col("a")))
-    q = q.withColumn("qid", F.sha2(F.to_json(F.struct("head", "relation", "tail", "side")), 256))
-    n = max(1, -(-test.count() * 2 // QUERY_BLOCK))
-    asks = q.groupBy(F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("qid", "f", "s")).alias("asks"))
-    nodes, _ = packed(vectors, "node", "v", ROW_BLOCK, "part")
-    pairs = nodes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(asks, "block").select("asks", "part_of")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for one, other in zip(b.column(0), b.column(1), strict=True):
-                ask, node = one.values, other.values
-                x, y = (z.flatten().to_numpy(zero_copy_only=False).reshape(len(z), -1) for z in (ask.field("f"), node.field("v")))
-                got, own = np.floor(x @ y.T * GRID + SHIFT), ask.field("s").to_numpy(zero_copy_only=False)[:, None]
-                yield pa.RecordBatch.from_arrays([ask.field("qid"), pa.array((got > own).sum(axis=1)), pa.array((got >= own).sum(axis=1)), pa.array(np.full(len(x), len(y)))], names=["qid", "higher", "least", "n"])
-
-    counts = pairs.mapInArrow(run, "qid string, higher long, least long, n long").groupBy("qid").agg(*(F.sum(c).alias(c) for c in ("higher", "least", "n")))
-    known = triples.select("head", "relation", "tail").distinct().select("relation", both).select("relation", "q.side", "q.fixed", F.col("q.answer").alias("other"))
-    right = q.select("qid", "relation", "side", "fixed", "answer", "f", "s").join(known, ["relation", "side", "fixed"]).filter("other <> answer").join(v("o", "other"), "other")
-    right = right.withColumn("got", score(F.col("f"), F.col("o"))).groupBy("qid").agg(F.count_if(F.col("got") > F.col("s")).alias("known_higher"), F.count_if(F.col("got") >= F.col("s")).alias("known_least"), F.count("*").alias("known_n"))
-    j = q.select("qid", "head", "relation", "tail", "side").join(counts, "qid").join(right, "qid", "left")
-    less = lambda a, b: F.col(a) - F.coalesce(F.col(b), F.lit(0))
-    return j.select("head", "relation", "tail", "side", (less("higher", "known_higher") + 1).alias("optimistic"), less("least", "known_least").alias("pessimistic"), less("n", "known_n").alias("candidates"))
+    n = vectors.count()
+    end = lambda name, key: vectors.select(F.col("node").alias(key), F.col("v").alias(name))
+    scored = lambda df, other: lookup(lookup(df, end("f", "fixed"), ["fixed"]), end("o", other), [other]).withColumn("s", score(F.col("f"), F.col("o"))).drop("f", "o")
+    q = stage(test.select("head", "relation", "tail", both_sides()).select("head", "relation", "tail", "q.*"), "questions")
+    q = stage(scored(q, "answer"), "questions")
+    counts = stage(anchor_counts(q, vectors), "counts")
+    groups = stage(q.select("relation", "side", "fixed").distinct(), "groups")
+    known = triples.select("relation", both_sides("other")).select("relation", "q.*")
+    known = stage(lookup(known, groups, ["relation", "side", "fixed"]), "known")
+    known = scored(known, "other").groupBy("relation", "side", "fixed", "s").agg(F.count("*").alias("n"))
+    known = stage(running(known, ["relation", "side", "fixed"], [F.col("s").desc()], "n"), "running")
+    j = lookup(lookup(q, counts, ["fixed", "s"]), known, ["relation", "side", "fixed", "s"])
+    # `before` right answers score higher, n as much, the answer itself among them
+    return j.select(
+        "head", "relation", "tail", "side", (F.col("higher") - F.col("before") + 1).alias("optimistic"),
+        (F.col("least") - F.col("before") - F.col("n") + 1).alias("pessimistic"), (F.lit(n) - F.col("total") + 1).alias("candidates"),
+    )
 
 
 @query(
@@ -335,9 +395,10 @@ def filtered_ranks(triples: DataFrame, test: DataFrame, vectors: DataFrame) -> D
 def kg_relation_translation(spark: SparkSession, d: str) -> DataFrame:
     """A vector for each relation: the mean, over its triples, of the tail's vector less the head's."""
     triples = kg(spark, d)
-    v = entity_vectors(adjacency(triples))
+    triples = stage(triples.select("head", "relation", "tail"), "triples")
+    v = entity_vectors(triples)
     end = lambda key, name: v.select(F.col("node").alias(key), F.col("v").alias(name))
-    j = triples.select("head", "relation", "tail").distinct().join(end("head", "h"), "head").join(end("tail", "t"), "tail")
+    j = lookup(lookup(triples.distinct(), end("head", "h"), ["head"]), end("tail", "t"), ["tail"])
     moved = j.select("relation", F.posexplode(F.zip_with("t", "h", lambda x, y: x - y)).alias("component", "value"))
     return moved.groupBy("relation", "component").agg((F.round(F.avg("value"), 9) + 0.0).alias("value"), F.count("*").alias("triples"))
 
@@ -363,9 +424,12 @@ def kg_factors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("kg_filtered_ranks", f"WITH {_RANK_SQL} SELECT head, relation, tail, side, candidates, optimistic, pessimistic, (optimistic + pessimistic) / 2.0 AS realistic FROM ranks")
 def kg_filtered_ranks(spark: SparkSession, d: str) -> DataFrame:
-    triples = kg(spark, d)
-    test = kg_split(spark, d).filter("part = 'test'").select("head", "relation", "tail").distinct()
-    return filtered_ranks(triples, test, entity_vectors(adjacency(triples))).withColumn("realistic", (F.col("optimistic") + F.col("pessimistic")) / 2.0)
+    with scratch(spark) as keep:
+        triples = stage(kg(spark, d).select("head", "relation", "tail"), "triples")
+        vectors = entity_vectors(triples)
+        triples = stage(triples.distinct().withColumn("part", split_part()), "distinct")
+        ranks = filtered_ranks(triples, triples.filter("part = 'test'"), vectors)
+        return keep(stage(ranks.withColumn("realistic", (F.col("optimistic") + F.col("pessimistic")) / 2.0), "ranks"))
 
 
 #: Sums over ranks r among n candidates, m their median; e: the mean of a random rank.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..joins import grid
 from ..registry import query, read
 
 
@@ -29,52 +31,79 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
 
 
-#: Vectors of a block of rows, and of a block of queries.
-ROW_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Vectors of a block of rows, and of a block of queries; cells of one query whose best are merged at once.
+ROW_BLOCK, QUERY_BLOCK, FAN = 4096, 1024, 64
 
 
-def packed(vectors: DataFrame, key: str, vector: str, size: int, name: str) -> tuple[DataFrame, int]:
-    """Vectors in blocks of about so many: (name, keys and vectors as one array), and the number of blocks."""
-    v = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"))
-    blocks = max(1, -(-v.count() // size))
-    return v.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias(name)).agg(F.collect_list(F.struct("key", "v")).alias(f"{name}_of")), blocks
+def packed(vectors: DataFrame, columns: list[str], blocks: int, name: str, body: str) -> DataFrame:
+    """Rows in so many blocks, dealt by the first of the columns: (name, body: the columns as an array of structs)."""
+    block = F.pmod(F.xxhash64(columns[0]), F.lit(blocks)).cast("int").alias(name)
+    return vectors.groupBy(block).agg(F.collect_list(F.struct(*columns)).alias(body))
 
 
-def _units(block: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and vectors of a block; each vector by its length, a zero vector stays zero."""
-    key = block.field("key").to_numpy(zero_copy_only=False)
-    x = block.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(key), -1)
+def n_blocks(rows: int, size: int) -> int:
+    return max(1, -(-rows // size))
+
+
+def by_dimension(vectors: DataFrame, vector: str) -> dict[int, int]:
+    """How many vectors there are of each dimension; null and empty ones are left out."""
+    count = vectors.filter(F.size(vector) > 0).groupBy(F.size(vector).alias("dim")).count().limit(65).collect()
+    if len(count) > 64:
+        raise ValueError("vectors of more than 64 dimensions")
+    return {r.dim: r["count"] for r in count}
+
+
+def _units(block: pa.Array, vector: str) -> np.ndarray:
+    """Vectors of a block by their lengths; a zero vector stays zero."""
+    x = block.field(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(block), -1)
     n = np.sqrt((x * x).sum(axis=1))
-    return key, x / np.where(n == 0, 1.0, n)[:, None]
+    return x / np.where(n == 0, 1.0, n)[:, None]
 
 
 def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """(query_id, vec_id, score, rank): of all rows the k nearest to each query. queries: (query_id, q); rows: (vec_id, v).
 
-    Blocks of queries meet blocks of rows, each pair once, as matrix products; of a pair only the k best of each
-    query are kept, and these are merged. All vectors have one dimension.
+    Blocks of queries and blocks of rows make a grid of matrix products, a task for each cell; of a cell only the k best of
+    each query are kept, and these are merged in a tree of FAN cells at a time. A query is held against the rows of its
+    own dimension; null and empty vectors take no part.
     """
-    q, blocks = packed(queries, "query_id", "q", QUERY_BLOCK, "block")
-    r, _ = packed(rows, "vec_id", "v", ROW_BLOCK, "part")
-    pairs = r.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "block").select("block_of", "part_of")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for one, other in zip(b.column(0), b.column(1), strict=True):
-                (qid, x), (vid, y) = _units(one.values), _units(other.values)
-                s = np.round(x @ y.T, 9) + 0.0
-                if exclude_self:
-                    s[qid[:, None] == vid[None, :]] = -np.inf
-                order = np.argsort(vid, kind="stable")
-                vid, s = vid[order], s[:, order]
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(s, top, 1)
-                ok = value > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, ok.sum(axis=1))), pa.array(vid[top][ok]), pa.array(value[ok])], names=["query_id", "vec_id", "score"])
-
-    best = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+    asked, held = by_dimension(queries, "q"), by_dimension(rows, "v")
+    parts = [_topk(queries.filter(F.size("q") == d), rows.filter(F.size("v") == d), asked[d], held[d], k, exclude_self) for d in sorted(asked.keys() & held)]
+    if not parts:
+        return queries.select("query_id", F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _topk(queries: DataFrame, rows: DataFrame, n_queries: int, n_rows: int, k: int, exclude_self: bool) -> DataFrame:
+    blocks, parts = n_blocks(n_queries, QUERY_BLOCK), n_blocks(n_rows, ROW_BLOCK)
+
+    def run(asked: pa.Array, held: pa.Array, part: int) -> Iterator[pa.RecordBatch]:
+        x, y = _units(asked, "q"), _units(held, "v")
+        qid, vid = (z.to_numpy(zero_copy_only=False) for z in (asked.field("query_id"), held.field("vec_id")))
+        s = np.round(x @ y.T, 9) + 0.0
+        if exclude_self:
+            s[qid[:, None] == vid[None, :]] = -np.inf
+        order = np.argsort(vid, kind="stable")
+        vid, s = vid[order], s[:, order]
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(s, top, 1)
+        ok = value > -np.inf
+        n = int(ok.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, ok.sum(axis=1))), pa.array(np.full(n, part, np.int32)), pa.array(vid[top][ok]), pa.array(value[ok])], names=["query_id", "part", "vec_id", "score"])
+
+    left = packed(queries, ["query_id", "q"], blocks, "block", "left_of")
+    right = packed(rows, ["vec_id", "v"], parts, "part", "right_of")
+    best = grid(left, right, blocks, parts, run, "query_id long, part int, vec_id long, score double")
+    while parts > FAN:
+        best, parts = best.withColumn("part", F.floor(F.col("part") / FAN).cast("int")), -(-parts // FAN)
+        best = ranked(best, ["query_id", "part"], k).drop("rank")
+    return ranked(best.drop("part"), ["query_id"], k)
+
+
+def ranked(found: DataFrame, group: list[str], k: int) -> DataFrame:
+    """The k best rows of each group by score, then vec_id, with their rank."""
+    rank = F.row_number().over(W.partitionBy(*group).orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def few_queries(rows: DataFrame) -> DataFrame:
