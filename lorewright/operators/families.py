@@ -1,29 +1,25 @@
-"""Template families in full: which family a template's name belongs to, and the text that it stands for.
+"""Template families: tables of rules, labels, frames and patterns, and the text of patterns and constants.
 
-All families are rows of tables; a template row is matched and written by column expressions made from them, without
-a shuffle. A pattern is a list of pieces: a piece is written if the template has all the parameters that it names.
+A pattern is a list of pieces: a piece is written if the template has all the parameters that it names. What runs
+over these tables is in rendering.py.
 """
 
 from __future__ import annotations
 
-import functools
-import operator
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..registry import query, read
-from .templates import _sql_rules, apply_rules, templates
-
 # How a lowered name is matched, the words, the family; the first match wins.
-RULES = [
+_WORDS = [
+    *(("exact", [f"infobox {k}"], k) for k in ("quest", "item", "bonuses", "npc", "location", "skill")),
     ("prefix", ["infobox"], "infobox"),
-    ("all", ["combat", "stats"], "combat stats"),
+    ("inner", ["combat"], "combat stats"),
     ("exact", ["stats"], "combat stats"),
     ("prefix", ["dropsline"], "drops line"),
-    ("drops", ["head"], "drops head"),
-    ("drops", ["bottom"], "drops bottom"),
+    ("prefix", ["dropstable"], "drops head"),
+    ("prefix", ["dropstable"], "drops bottom"),
     ("prefix", ["dropstable"], "drops table"),
     ("exact", ["recipe", "creation"], "recipe"),
     ("prefix", ["locline"], "location line"),
@@ -50,6 +46,7 @@ RULES = [
     ("exact", ["plink", "pl"], "page link"),
     ("exact", ["efn", "footnote"], "footnote"),
     ("exact", ["scp", "skill calculator"], "skill level"),
+    ("exact", ["quest details", "questdetails"], "quest details"),
     ("exact", ["questreqstart", "quest req start"], "quest start"),
     ("exact", ["*", "bullet"], "bullet"),
     ("exact", ["pagename"], "page name"),
@@ -86,10 +83,14 @@ RULES = [
     ("exact", ["fact", "citation needed"], "fact"),
     ("exact", ["coins", "gp"], "coins"),
     ("exact", ["members", "member"], "members"),
-    ("exact", ["skills", "skill"], "skill"),
+    ("exact", ["skills", "skill"], "skill link"),
     ("exact", ["bosses", "boss"], "boss"),
     ("suffix", [" weapons", " equipment"], "equipment category"),
 ]
+# What a name must hold besides the word of its rule.
+_ALSO = {"drops head": "head", "drops bottom": "bottom"}
+#: Rows of (kind, word, also, family) in order of priority.
+RULES = [(kind, w, "stats" if kind == "inner" else _ALSO.get(family), family) for kind, ws, family in _WORDS for w in ws]
 
 # The text of families whose parameters do not count.
 CONSTANT = {
@@ -150,43 +151,75 @@ PATTERN = {
     "audio": (["Audio: {title}"], "Audio Available"),
     "drop value": (["Average Drop Value: {value}"], "Drop Value Calculated"),
     "coins": (["{1} coins"], "coins"),
-    "skill": (["Skill: {1}"], "Skill"),
+    "skill link": (["Skill: {1}"], "Skill"),
     "boss": (["Boss: {1}"], "Boss"),
 }
 
-# Labels of a drop's parameters.
-DROP_LABELS = {
-    "name": "Item Name",
-    "quantity": "Quantity",
-    "rarity": "Drop Rate",
-    "raritynotes": "Drop Rate Notes",
-    "rolls": "Rolls Per Kill",
-    "gemw": "Grand Exchange",
-    "leagueregion": "League Region",
-    "members": "Members Only",
-    "noted": "Noted",
-    "stackable": "Stackable",
+_COMMON = {"members": "Members Only", "release": "Release Date"}
+# Labels of parameters by family, where they are not the key with capitals.
+LABELS = {
+    "infobox": _COMMON | {
+        "combat": "Combat Level", "examine": "Examine Text", "att": "Attack Level", "str": "Strength Level", "def": "Defence Level", "mage": "Magic Level", "range": "Ranged Level",
+        "attbns": "Attack Bonus", "strbns": "Strength Bonus", "amagic": "Magic Attack Bonus", "mbns": "Magic Damage Bonus", "arange": "Ranged Attack Bonus", "rngbns": "Ranged Strength Bonus",
+        "dstab": "Stab Defence", "dslash": "Slash Defence", "dcrush": "Crush Defence", "dmagic": "Magic Defence", "dlight": "Light Ranged Defence", "dstandard": "Standard Ranged Defence",
+        "dheavy": "Heavy Ranged Defence", "max hit": "Maximum Hit", "xpbonus": "XP Bonus", "slayxp": "Slayer XP", "cat": "Slayer Category", "assignedby": "Assigned By",
+        "immunepoison": "Poison Immunity", "immunevenom": "Venom Immunity", "immunecannon": "Cannon Immunity", "immunethrall": "Thrall Immunity", "id": "NPC ID",
+        "leagueregion": "League Region", "destroy": "Destroy Text", "quest": "Quest Item", "version1": "Form 1", "version2": "Form 2", "version3": "Form 3",
+    },
+    "quest": _COMMON | {
+        "name": "Quest Name", "number": "Quest Number", "image": "Quest Image", "series": "Quest Series", "start": "Start Point", "startmap": "Start Map Location",
+        "items": "Items Required", "kills": "Enemies to Defeat", "ironman": "Ironman Concerns", "leagueregion": "League Region",
+    },
+    "item": _COMMON | {
+        "name": "Item Name", "image": "Item Image", "quest": "Quest Item", "examine": "Examine Text", "exchange": "Grand Exchange", "id": "Item ID", "leagueregion": "League Region",
+        "destroy": "Destroy Text", "kept": "Kept on Death", "highalch": "High Alchemy Value", "lowalch": "Low Alchemy Value",
+    },
+    "bonuses": {
+        "astab": "Stab Attack Bonus", "aslash": "Slash Attack Bonus", "acrush": "Crush Attack Bonus", "amagic": "Magic Attack Bonus", "arange": "Ranged Attack Bonus",
+        "dstab": "Stab Defence Bonus", "dslash": "Slash Defence Bonus", "dcrush": "Crush Defence Bonus", "dmagic": "Magic Defence Bonus", "drange": "Ranged Defence Bonus",
+        "str": "Strength Bonus", "rstr": "Ranged Strength Bonus", "mdmg": "Magic Damage Bonus", "prayer": "Prayer Bonus", "slot": "Equipment Slot", "speed": "Attack Speed", "range": "Attack Range",
+    },
+    "npc": _COMMON | {"name": "NPC Name", "image": "NPC Image", "quest": "Quest NPC", "examine": "Examine Text", "map": "Map Location", "id": "NPC ID", "leagueregion": "League Region"},
+    "location": _COMMON | {"name": "Location Name", "image": "Location Image", "type": "Location Type", "leagueregion": "League Region"},
+    "skill": _COMMON | {"name": "Skill Name", "image": "Skill Image", "type": "Skill Type", "table": "Training Table", "leagueregion": "League Region"},
+    "quest details": {"start": "Start Point", "startmap": "Start Map Location", "items": "Items Required", "kills": "Enemies to Defeat", "ironman": "Ironman Concerns", "leagueregion": "League Region"},
+    "drops line": {
+        "name": "Item Name", "rarity": "Drop Rate", "raritynotes": "Drop Rate Notes", "rolls": "Rolls Per Kill", "gemw": "Grand Exchange", "leagueregion": "League Region", "members": "Members Only",
+    },
+    "combat stats": {
+        "att": "Attack", "attack": "Attack", "str": "Strength", "strength": "Strength", "def": "Defence", "defence": "Defence", "range": "Ranged", "ranged": "Ranged",
+        "mage": "Magic", "magic": "Magic", "prayer": "Prayer", "hitpoints": "Hitpoints", "hp": "Hitpoints", "combat": "Combat Level",
+    },
+    "generic": _COMMON | {f"{n}": f"Parameter {n}" for n in range(1, 6)} | {f"{k}": f"{k.upper()} Coordinate" for k in "xyz"} | {
+        "id": "ID", "xp": "Experience", "url": "URL", "examine": "Examine Text", "destroy": "Destroy Text", "alch": "Alchemy Value", "store": "Store Price", "exchange": "Exchange Price",
+        "combat": "Combat Level", "respawn": "Respawn Time",
+    },
+}
+# Labels of an infobox that come with a number, "(Form n)" after them.
+FORMS = {
+    "examine": ("Examine Text", (1, 2, 3)), "dmagic": ("Magic Defence", (1, 2, 3)), "dlight": ("Light Ranged Defence", (1, 2, 3)), "dstandard": ("Standard Ranged Defence", (1, 2, 3)),
+    "dheavy": ("Heavy Ranged Defence", (1, 2, 3)), "max hit": ("Maximum Hit", (2,)), "attack style": ("Attack Style", (1, 2, 3)), "id": ("NPC ID", (1, 2, 3)),
+    "elementalweaknesstype": ("Elemental Weakness Type", (1, 2, 3)), "elementalweaknesspercent": ("Elemental Weakness Percent", (1, 2, 3)),
+}
+# What stands before, between and after a family's parameters, and what stands if there are none.
+FRAMES = {
+    "infobox": ("", "\n", "\n", None),
+    "quest": ("=== Quest Information ===", "\n", "\n", None),
+    "item": ("=== Item Information ===", "\n", "", None),
+    "bonuses": ("=== Combat Bonuses ===", "\n", "\n", None),
+    "npc": ("=== NPC Information ===", "\n", "", None),
+    "location": ("=== Location Information ===", "\n", "", None),
+    "skill": ("=== Skill Information ===", "\n", "", None),
+    "quest details": ("=== Quest Details ===", "\n", "", None),
+    "combat stats": ("Combat Stats: ", ", ", "", ""),
+    "drops line": ("", " | ", "", "[Drop Entry]"),
+    "diary stats": ("Skill Requirements: ", ", ", "", "Skill Requirements"),
+    "generic": ("", ", ", "", None),
 }
 # Names of floors.
 FLOORS = {"0": "Ground Floor", "1": "1st Floor", "2": "2nd Floor", "3": "3rd Floor"}
 
 
-def family(name: Column) -> Column:
-    """The family of a template's name; null if none."""
-    n, out = F.lower(name), F.lit(None).cast("string")
-    either = lambda test, ws: functools.reduce(operator.or_, (test(n, F.lit(w)) for w in ws))
-    match = {
-        "exact": lambda ws: n.isin(ws),
-        "prefix": lambda ws: either(F.startswith, ws),
-        "suffix": lambda ws: either(F.endswith, ws),
-        "all": lambda ws: functools.reduce(operator.and_, (F.contains(n, F.lit(w)) for w in ws)),
-        "drops": lambda ws: F.startswith(n, F.lit("dropstable")) & either(F.contains, ws),
-    }
-    for kind, ws, to in reversed(RULES):
-        out = F.when(match[kind](ws), to).otherwise(out)
-    return out
-
-
 def value(params: Column, key: str) -> Column:
     """The value of a parameter, null if absent; the last of a repeated key."""
     found = F.filter(params, lambda p: p["key"] == key)
@@ -208,12 +241,9 @@ def piece(params: Column, text: str) -> Column:
     return F.concat(*out)
 
 
-def labelled(params: Column, labels: dict[str, str], sep: str) -> Column:
-    """Parameters with a value as "Label: value": the family's label, else the key with spaces and capitals."""
-    title = lambda k: F.initcap(F.replace(k, F.lit("_"), F.lit(" ")))
-    known = F.create_map(*(F.lit(v) for kv in labels.items() for v in kv)) if labels else None
-    label = lambda k: title(k) if known is None else F.coalesce(F.element_at(known, F.lower(k)), title(k))
-    return F.array_join(F.transform(F.filter(params, lambda p: p["value"] != ""), lambda p: F.concat(label(p["key"]), F.lit(": "), p["value"])), sep)
+def title_case(t: Column) -> Column:
+    """Every run of letters with a capital and small letters after it."""
+    return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"[\p{L}]+|[^\p{L}]+"), F.lit(0)), F.initcap), "")
 
 
 def _first(params: Column) -> Column:
@@ -222,7 +252,7 @@ def _first(params: Column) -> Column:
 
 
 def text_of(name: Column, fam: Column, params: Column) -> Column:
-    """What a template of a family stands for; null for a family that has no pattern here."""
+    """What a template of a family stands for; null for a family whose parameters are labelled."""
     has = lambda k: F.exists(params, lambda p: p["key"] == k)
     link = F.coalesce(_first(params), F.get(F.filter(params, lambda p: (p["value"] != "") & ~F.startswith(p["key"], F.lit("pic")) & ~p["key"].isin("txt", "name")), F.lit(0))["value"])
     shown = value(params, "txt")
@@ -231,7 +261,6 @@ def text_of(name: Column, fam: Column, params: Column) -> Column:
     skill, level = (F.get(params, F.lit(k))["value"] for k in (0, 1))
     skill, level = (F.coalesce(value(params, "1"), skill), F.coalesce(value(params, "2"), level))
     level_word = F.when(F.lower(skill).isin("combat", "quest"), ": ").otherwise(" Level: ")
-    stats, drops = labelled(params, {}, ", "), labelled(params, DROP_LABELS, " | ")
     own = {
         "boostable": F.when((F.coalesce(value(params, "1"), F.lit("")) == "yes") | (F.coalesce(value(params, "yes"), F.lit("")) != ""), "[Boostable]").otherwise("[Not Boostable]"),
         "quest start": F.when(has("yes") | has("1"), "(Required to Start)").otherwise(""),
@@ -243,8 +272,6 @@ def text_of(name: Column, fam: Column, params: Column) -> Column:
         "respell": F.coalesce(F.when(has("1"), F.concat(F.lit("Also known as: "), value(params, "2"))), F.lit("")),
         "skill level": F.coalesce(F.concat(F.when(F.lower(skill) == "quest", "Quest Points").otherwise(F.initcap(skill)), level_word, level), F.lit("Skill Requirement")),
         "equipment category": F.concat(F.lit("=== "), F.initcap(F.replace(name, F.lit("_"), F.lit(" "))), F.lit(" ===")),
-        "diary stats": F.when(stats != "", F.concat(F.lit("Skill Requirements: "), stats)).otherwise("Skill Requirements"),
-        "drops line": F.when(drops != "", drops).otherwise("[Drop Entry]"),
     }
     for k, (pieces, none) in PATTERN.items():
         some = F.array_compact(F.array(*(piece(params, p) for p in pieces)))
@@ -256,67 +283,6 @@ def text_of(name: Column, fam: Column, params: Column) -> Column:
     return out
 
 
-def expanded(df: DataFrame, raw: str) -> DataFrame:
-    """A row for each outermost template of the text `raw`, with pos, name, family (null if none) and its text."""
-    rows = df.select("*", F.posexplode(templates(F.col(raw))).alias("pos", "x")).withColumn("family", family(F.col("x.name")))
-    return rows.select(*df.columns, "pos", F.col("x.name").alias("name"), "family", text_of(F.col("x.name"), F.col("family"), F.col("x.params")).alias("text"))
-
-
-def _page(d: DataFrame, forms: list[tuple[str, str]]) -> DataFrame:
-    """Parts with a page of templates, made by SQL that Spark and DuckDB read alike."""
-    return d.selectExpr("p_partkey", f"concat_ws(' and ', {', '.join(raw for raw, _ in forms)}) AS raw")
-
-
-def _want(forms: list[tuple[str, str]]) -> str:
-    return f"SELECT p_partkey, unnest(range({len(forms)}))::INTEGER AS pos, unnest([{', '.join(want for _, want in forms)}]) AS text FROM part"
-
-
-_PATTERN_FORMS = [
-    ("'{{Map|name=' || p_name || '|x=' || p_size || '|y=' || p_partkey || '}}'", "'Map: ' || p_name || ' | Coordinates: (' || p_size || ', ' || p_partkey || ')'"),
-    ("'{{Map|x=' || p_size || '}}'", "'[Map]'"),
-    ("'{{GP|' || p_size || '}}'", "p_size || ' coins'"),
-    ("'{{FloorNumber|uk=' || p_size % 5 || '}}'", "CASE p_size % 5 WHEN 0 THEN 'Ground Floor' WHEN 1 THEN '1st Floor' WHEN 2 THEN '2nd Floor' WHEN 3 THEN '3rd Floor' ELSE '4th Floor' END"),
-    ("'{{Recipe|skill1=smithing|skill1lvl=' || p_size || '|mat1=' || p_name || '|mat3=' || p_type || '|output1=' || p_brand || '}}'", "'Requires: ' || p_size || ' Smithing | Materials: ' || p_name || ', ' || p_type || ' | Creates: ' || p_brand"),
-    ("'{{EmoteClue|tier=hard|item2=' || p_name || '}}'", "'Clue Tier: Hard | Required Items: ' || p_name"),
-    ("'{{Subject changes|date=1 May|change=' || repeat('x', p_size + 80) || '}}'", "'Update Date: 1 May | Change: ' || CASE WHEN p_size > 20 THEN repeat('x', 100) || '...' ELSE repeat('x', p_size + 80) END"),
-    ("'{{plink|' || p_name || '|txt=' || p_type || '}}'", "'[[' || p_name || '|' || p_type || ']]'"),
-    ("'{{SCP|' || CASE WHEN p_size % 2 = 0 THEN 'mining' ELSE 'quest' END || '|' || p_size || '}}'", "CASE WHEN p_size % 2 = 0 THEN 'Mining Level: ' ELSE 'Quest Points: ' END || p_size"),
-    ("'{{Boostable|' || CASE WHEN p_size % 2 = 0 THEN 'yes' ELSE 'no' END || '}}'", "CASE WHEN p_size % 2 = 0 THEN '[Boostable]' ELSE '[Not Boostable]' END"),
-    ("'{{HasTranscript|npc}}'", "'[Transcript Available]'"),
-    ("'{{Relative location|location=' || p_brand || '|west=' || p_type || '}}'", "'Location: ' || p_brand || ' | West: ' || p_type"),
-    ("'{{CiteTwitter|user=' || p_partkey || '}}'", "'[Twitter: @' || p_partkey || ']'"),
-    ("'{{efn|' || p_type || '}}'", "'[Note: ' || p_type || ']'"),
-    ("'{{Re|' || p_brand || '}}'", "'[See: ' || p_brand || ']'"),
-    ("'{{Respell|a|' || p_name || '}}'", "'Also known as: ' || p_name"),
-    ("'{{ItemSpawnLine|name=' || p_name || '|members=Yes}}'", "'Item: ' || p_name || ' | Members: Yes'"),
-    ("'{{Rune weapons}}'", "'=== Rune Weapons ==='"),
-]
-_LABEL_FORMS = [
-    ("'{{DropsLine|name=' || p_name || '|quantity=' || p_size || '|rarity=|Alt_note=' || p_brand || '}}'", "'Item Name: ' || p_name || ' | Quantity: ' || p_size || ' | Alt Note: ' || p_brand"),
-    ("'{{DropsLineClue}}'", "'[Drop Entry]'"),
-    ("'{{DiarySkillStats|mining=' || p_size || '|rune_craft=' || p_partkey || '}}'", "'Skill Requirements: Mining: ' || p_size || ', Rune Craft: ' || p_partkey"),
-]
-# a name of each constant family: the shortest word of its rule, and a parameter that does not count
-_NAMES = {"drops head": "DropsTableHead", "drops bottom": "DropsTableBottom", "changes header": "Changes header"}
-_NAMES |= {to: ws[0] for _, ws, to in RULES if to in CONSTANT and to not in _NAMES}
-_CONSTANT_FORMS = [(f"'{{{{{_NAMES[k]}|' || p_name || '}}}}'", f"'{v}'") for k, v in CONSTANT.items()]
-
-
-@query("template_pattern", _want(_PATTERN_FORMS))
-def template_pattern(spark: SparkSession, d: str) -> DataFrame:
-    return expanded(_page(read(spark, d, "part"), _PATTERN_FORMS), "raw").select("p_partkey", "pos", "text")
-
-
-@query("template_labelled", _want(_LABEL_FORMS))
-def template_labelled(spark: SparkSession, d: str) -> DataFrame:
-    return expanded(_page(read(spark, d, "part"), _LABEL_FORMS), "raw").select("p_partkey", "pos", "text")
-
-
-@query("template_constant", _want(_CONSTANT_FORMS))
-def template_constant(spark: SparkSession, d: str) -> DataFrame:
-    return expanded(_page(read(spark, d, "part"), _CONSTANT_FORMS), "raw").select("p_partkey", "pos", "text")
-
-
 # Rules that make rendered text readable, in order, as (pattern, replacement with $n).
 READABLE = [
     (r"\[\[([^|\]]+)\|([^\]]+)\]\]", "$2"),
@@ -360,19 +326,3 @@ LEFT_BEHIND = [
     (r"\n\s*\n\s*\n", "\n\n"),
     (r"(?m)^\s+|\s+$", ""),
 ]
-_NL = "chr(10)"
-_READABLE_SQL = f"'== ' || p_brand || ' ==' || {_NL} || {_NL} || {_NL} || {_NL} || '  [[' || p_brand || '|the brand]]  is ''''''bold''''''.It has sizeOf: ' || p_size || 'Items. |a|' || p_name || '|' || p_size || ' <b>x</b>{{{{Sub|1}}}}'"
-_BEHIND_SQL = f"'[[' || p_name || '|text]] [[' || p_brand || ']]' || {_NL} || 'Image1: a.png' || {_NL} || ' left|140px' || {_NL} || '130px | right' || {_NL} || '1: 300px' || {_NL} || '2:' || {_NL} || 'size 3: x277px ' || p_size || {_NL} || 'thumb|y' || {_NL} || '[show] v' || {_NL} || 'v • d • e' || {_NL} || repeat('• ', p_size) || {_NL} || '[https://a.example/b ' || p_type || ']<!-- c -->{{{{ }}}}' || {_NL} || '{{{{open'"
-
-
-@query("wiki_readable", f"SELECT p_partkey, {_sql_rules(_READABLE_SQL, READABLE)} AS text FROM part")
-def wiki_readable(spark: SparkSession, d: str) -> DataFrame:
-    """Rendered text made readable by all its rules; white space at either end goes."""
-    p = read(spark, d, "part").selectExpr("p_partkey", f"{_READABLE_SQL} AS t".replace("''''''", "\\'\\'\\'"))
-    return p.select("p_partkey", apply_rules(F.col("t"), READABLE).alias("text"))
-
-
-@query("wikitext_left_behind", f"SELECT p_partkey, {_sql_rules(_BEHIND_SQL, LEFT_BEHIND)} AS text FROM part")
-def wikitext_left_behind(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part").selectExpr("p_partkey", f"{_BEHIND_SQL} AS t")
-    return p.select("p_partkey", apply_rules(F.col("t"), LEFT_BEHIND).alias("text"))

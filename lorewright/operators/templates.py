@@ -11,40 +11,6 @@ from pyspark.sql import functions as F
 
 from ..registry import query, read
 
-# Families of templates by name, first match wins (kind of match, word, family).
-RULES = [
-    ("prefix", "infobox", "labelled"),
-    ("exact", "coins", "coins"),
-    ("suffix", "head", "constant"),
-    ("suffix", "bottom", "constant"),
-    ("exact", "floornumber", "floor"),
-    ("contains", "location", "labelled"),
-]
-# Labels of parameters.
-LABELS = {"name": "Item name", "value": "Worth"}
-# Markup rules in order, as (pattern, replacement with $n).
-MARKUP = [
-    (r"\[\[Category:[^\]]*\]\]", ""),
-    (r"\[\[[^\]|]+\|([^\]]+)\]\]", "$1"),
-    (r"\[\[([^\]]+)\]\]", "$1"),
-    (r"'''([^']+)'''", "$1"),
-    (r"''([^']+)''", "$1"),
-    (r"\{\{[^}]*\}\}", ""),
-    (r"<[^>]*>", ""),
-    (r"[ \t]+", " "),
-    (r" ?\n ?", "\n"),
-    (r"\n{3,}", "\n\n"),
-]
-# Further rules for artefacts of raw wikitext.
-ARTEFACTS = [
-    (r"<!--[^>]*-->", ""),
-    (r"\[https?://[^ \]]+ ([^\]]+)\]", "$1"),
-    (r"\[\[(File|Image):[^\]]*\]\]", ""),
-    (r"(left|right|center)\|[0-9]+px", ""),
-    (r"[0-9]+: [0-9]+px", ""),
-    (r"(thumb|frame)\|[^\n]*", ""),
-    (r"\{\{[ |]*\}\}", ""),
-]
 # Bracket tokens of an older format and their labels.
 LEGACY = [
     (r"\[DiarySkillStats: *([^\]]*)\]", "Skill requirements: $1"),
@@ -88,7 +54,7 @@ def parts(inner: Column) -> Column:
         return F.struct(depth.alias("depth"), F.when(cut, "").otherwise(F.concat(acc["cur"], c)).alias("cur"), F.when(cut, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"))
 
     # a trailing empty part is dropped
-    end = lambda a: F.when(F.trim(a["cur"]) == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"])))
+    end = lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"])))
     return F.aggregate(F.regexp_extract_all(inner, F.lit(r"[{}|]|[^{}|]+"), F.lit(0)), zero, step, end)
 
 
@@ -97,7 +63,7 @@ def _clip(t: Column) -> Column:
 
 
 def params(ps: Column) -> Column:
-    """The parts after the name as (key, value); one without a key is counted: "1", "2" and so on."""
+    """Parts as (key, value); one without a key is counted: "1", "2" and so on."""
     zero = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<key:string,value:string>>").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -107,46 +73,32 @@ def params(ps: Column) -> Column:
         value = F.when(named, _clip(F.regexp_replace(p, "^[^=]*=", ""))).otherwise(_clip(p))
         return F.struct(n.alias("n"), F.concat(acc["out"], F.array(F.struct(key.alias("key"), value.alias("value")))).alias("out"))
 
-    return F.aggregate(F.slice(ps, 2, F.greatest(F.size(ps), F.lit(1))), zero, step, lambda acc: acc["out"])
-
-
-def dispatch(name: Column) -> Column:
-    n, out = F.lower(name), F.lit(None).cast("string")
-    match = {"exact": lambda w: n == w, "prefix": lambda w: F.startswith(n, F.lit(w)), "suffix": lambda w: F.endswith(n, F.lit(w)), "contains": lambda w: F.contains(n, F.lit(w))}
-    for kind, word, family in reversed(RULES):
-        out = F.when(match[kind](word), family).otherwise(out)
-    return F.coalesce(out, F.lit("other"))
+    return F.aggregate(ps, zero, step, lambda acc: acc["out"])
 
 
 def templates(t: Column) -> Column:
-    """The outermost templates of a text: (s, e, inner, name, family, params)."""
-    a = F.transform(spans(t), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.substring(t, x["s"] + 3, x["e"] - x["s"] - 4).alias("inner")))
-    b = F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["inner"].alias("inner"), parts(x["inner"]).alias("ps")))
-    name = lambda x: F.coalesce(_clip(F.get(x["ps"], F.lit(0))), F.lit(""))
-    return F.transform(b, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["inner"].alias("inner"), name(x).alias("name"), dispatch(name(x)).alias("family"), params(x["ps"]).alias("params")))
+    """The outermost templates of a text: (s, e, inner, name, params). The first bar ends the name, whatever braces are around it."""
+    inner = lambda x: _clip(F.substring(t, x["s"] + 3, x["e"] - x["s"] - 4))
+    a = F.transform(spans(t), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), inner(x).alias("inner")))
+    name = lambda x: _clip(F.substring_index(x["inner"], "|", 1))
+    rest = lambda x: parts(F.regexp_replace(x["inner"], r"^[^|]*\|?", ""))
+    return F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["inner"].alias("inner"), name(x).alias("name"), params(rest(x)).alias("params")))
 
 
-def shown(x: Column) -> Column:
-    """The text that a template stands for; one of an unknown family keeps its first 50 characters."""
-    labels = F.create_map(*(F.lit(v) for kv in LABELS.items() for v in kv))
-    full = F.filter(x["params"], lambda p: p["value"] != "")
-    lines = F.transform(full, lambda p: F.concat(F.coalesce(F.element_at(labels, F.lower(p["key"])), F.initcap(p["key"])), F.lit(": "), p["value"]))
-    first = F.coalesce(F.get(x["params"], F.lit(0))["value"], F.lit(""))
-    known = F.when(x["family"] == "labelled", F.array_join(lines, "\n")).when(x["family"] == "coins", F.concat(first, F.lit(" coins"))).when(x["family"] == "floor", F.concat(F.lit("floor "), first)).when(x["family"] == "constant", "")
-    return known.otherwise(F.concat(F.lit("[Template: "), F.substring(x["inner"], 1, 50), F.lit("...]")))
+def legacy_fixed(t: Column) -> Column:
+    """Bracket tokens of the older format as labelled text."""
+    return apply_rules(t, LEGACY)
 
 
-def render(t: Column) -> Column:
-    """The text with each outermost template replaced by what it stands for. Null stays null."""
-    pieces = F.transform(templates(t), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), shown(x).alias("text")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, x["s"] - a["at"]), x["text"]).alias("out"))
-    return F.aggregate(pieces, zero, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.char_length(t))))
+# Labels that a page has whose templates were parsed.
+PARSED = ["Combat Level:", "Attack:", "Defence:", "Drop:", "Rarity:", "Location:", "Area:"]
 
 
 def issues(text: Column, raw: Column) -> Column:
-    """Codes of what is wrong with a page."""
-    many = F.regexp_count(text, F.lit(r"\{\{[^}]*\}\}")) > 5
+    """Codes of what is wrong with a page. Templates count as unparsed if there are over five and no label of parsed ones."""
+    many = F.regexp_count(text, F.lit(r"\{\{[^}]+\}\}")) > 5
+    for label in PARSED:
+        many &= ~F.contains(text, F.lit(label))
     return F.array_compact(
         F.array(
             F.when(text.rlike(r"\[(DiarySkillStats|ItemSpawnTableHead|ItemSpawnLine):"), F.lit("legacy_bracket_tokens")),
@@ -162,8 +114,7 @@ def wiki(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").selectExpr("p_partkey", "p_name", "p_brand", "p_type", "p_size", f"{raw} as raw")
 
 
-#: Artefacts and old tokens around the text of a part; parts with an even size have the tokens.
-_NOISE_SQL = "'<!-- x -->left|140px ' || p_name || ' 1: 300px [https://a.example/b ' || p_brand || '] [[File:x.png]]{{ | }}'"
+#: Old tokens after the name of a part; parts with an even size have them.
 _OLD_SQL = "p_name || CASE WHEN p_size % 2 = 0 THEN ' [DiarySkillStats: ' || p_brand || '] [ItemSpawnLine: ' || p_type || ']' ELSE '' END"
 
 
@@ -184,94 +135,16 @@ def template_spans(spark: SparkSession, d: str) -> DataFrame:
     return w.select("p_partkey", "pos", F.col("x.s").alias("start"), F.expr("substring(raw, x.s + 1, x.e - x.s)").alias("template"))
 
 
-@query("template_params", _SPANS + """, r AS (SELECT p_partkey, unnest([0, 0, 0, 0, 1]) AS pos, unnest([0, 1, 2, 3, 0]) AS param_pos, unnest(['name', 'value', 'brand', '1', '1']) AS key, unnest([p_name, p_size::VARCHAR, '[[' || p_brand, 'the brand]]', p_size::VARCHAR]) AS value FROM t) SELECT p_partkey, pos::INTEGER AS pos, param_pos::INTEGER AS param_pos, key, value FROM r""")
+@query("template_params", _SPANS + """, r AS (SELECT p_partkey, unnest([0, 0, 0, 0, 1, 3]) AS pos, unnest([0, 1, 2, 3, 0, 0]) AS param_pos, unnest(['name', 'value', 'brand', '1', '1', '1']) AS key, unnest([p_name, p_size::VARCHAR, '[[' || p_brand, 'the brand]]', p_size::VARCHAR, p_size || '}}']) AS value FROM t) SELECT p_partkey, pos::INTEGER AS pos, param_pos::INTEGER AS param_pos, key, value FROM r""")
 def template_params(spark: SparkSession, d: str) -> DataFrame:
     """The bar of a link cuts a parameter as well; only braces protect one."""
     w = wiki(spark, d).select("p_partkey", F.posexplode(templates(F.col("raw"))).alias("pos", "x"))
     return w.select("p_partkey", "pos", F.posexplode("x.params").alias("param_pos", "p")).select("p_partkey", "pos", "param_pos", "p.key", "p.value")
 
 
-@query("template_dispatch", "SELECT unnest(['Infobox Item', 'Coins', 'Chart head', 'Odd {{Sub']) AS name, unnest(['labelled', 'coins', 'constant', 'other']) AS family, unnest([n, n, n, n]) AS pages FROM (SELECT count(*) AS n FROM part)")
-def template_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    w = wiki(spark, d).select(F.explode(templates(F.col("raw"))).alias("x"))
-    return w.groupBy(F.regexp_extract("x.name", r"^[^|0-9]*[^|0-9}]", 0).alias("name"), F.col("x.family").alias("family")).agg(F.count("*").alias("pages"))
-
-
-_RENDERED = "'Item name: ' || p_name || chr(10) || 'Worth: ' || p_size || chr(10) || 'Brand: [[' || p_brand || chr(10) || '1: the brand]]' || prose || p_size || ' coins  [Template: Odd {{Sub|' || p_size || '}}...] {{open'"
-
-
-@query("template_render", _SPANS + f" SELECT p_partkey, {_RENDERED} AS text FROM t")
-def template_render(spark: SparkSession, d: str) -> DataFrame:
-    return wiki(spark, d).select("p_partkey", render(F.col("raw")).alias("text"))
-
-
-@query("wiki_markup_clean", _SPANS + f" SELECT p_partkey, {_sql_rules('prose', MARKUP)} AS text FROM t")
-def wiki_markup_clean(spark: SparkSession, d: str) -> DataFrame:
-    prose = F.expr("concat('\\n\\'\\'\\'', p_name, '\\'\\'\\' is made by [[', p_brand, '|them]] as [[', p_type, ']].\\n')")
-    return read(spark, d, "part").select("p_partkey", apply_rules(prose, MARKUP).alias("text"))
-
-
-@query("wikitext_clean", f"SELECT p_partkey, {_sql_rules(_NOISE_SQL, ARTEFACTS)} AS text FROM part")
-def wikitext_clean(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").select("p_partkey", apply_rules(F.expr(_NOISE_SQL), ARTEFACTS).alias("text"))
-
-
 @query("legacy_token_fix", "SELECT p_partkey, p_name || CASE WHEN p_size % 2 = 0 THEN ' Skill requirements: ' || p_brand || ' Spawn: ' || p_type ELSE '' END AS text FROM part")
 def legacy_token_fix(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").select("p_partkey", apply_rules(F.expr(_OLD_SQL), LEGACY).alias("text"))
-
-
-def reprocessed(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with old tokens or raw text (sizes that five divides have none), and their text made anew."""
-    p = read(spark, d, "part").selectExpr("p_partkey", f"{_OLD_SQL} as text", "case when p_size % 5 <> 0 then concat(p_name, ' {{Coins|', p_size, '}}') end as raw")
-    fixed = apply_rules(F.col("text"), LEGACY)
-    new = F.when(F.col("raw").isNotNull(), render(F.col("raw"))).otherwise(fixed)
-    return p.withColumn("new_text", new).withColumn("changed", F.col("new_text") != F.col("text"))
-
-
-_REPRO = "r AS (SELECT p_partkey, p_size % 5 = 0 AS missing, CASE WHEN p_size % 5 <> 0 THEN p_name || ' ' || p_size || ' coins' WHEN p_size % 2 = 0 THEN p_name || ' Skill requirements: ' || p_brand || ' Spawn: ' || p_type ELSE p_name END AS new_text, p_size % 5 <> 0 OR p_size % 2 = 0 AS changed FROM part)"
-
-
-@query("reprocess_changed", f"WITH {_REPRO} SELECT p_partkey, new_text FROM r WHERE changed")
-def reprocess_changed(spark: SparkSession, d: str) -> DataFrame:
-    return reprocessed(spark, d).filter("changed").select("p_partkey", "new_text")
-
-
-@query("repair_summary", f"WITH {_REPRO} SELECT count(*) AS total, count(*) FILTER (WHERE NOT missing) AS had_raw, count(*) FILTER (WHERE missing) AS no_raw, count(*) FILTER (WHERE changed) AS changed FROM r")
-def repair_summary(spark: SparkSession, d: str) -> DataFrame:
-    count = lambda c, n: F.count(F.when(c, 1)).alias(n)
-    return reprocessed(spark, d).agg(F.count("*").alias("total"), count(F.col("raw").isNotNull(), "had_raw"), count(F.col("raw").isNull(), "no_raw"), count(F.col("changed"), "changed"))
-
-
-_ISSUES = "SELECT p_partkey, unnest(list_filter([CASE WHEN p_size % 2 = 0 THEN 'legacy_bracket_tokens' END, CASE WHEN p_size % 5 = 0 THEN 'missing_raw_wikitext' END], lambda x: x IS NOT NULL)) AS issue FROM part"
-
-
-@query("template_issues", _ISSUES)
-def template_issues(spark: SparkSession, d: str) -> DataFrame:
-    return reprocessed(spark, d).select("p_partkey", F.explode(issues(F.col("text"), F.col("raw"))).alias("issue"))
-
-
-@query("issue_report", f"SELECT issue, count(*) AS pages, min(p_partkey) AS first_page FROM ({_ISSUES}) GROUP BY issue")
-def issue_report(spark: SparkSession, d: str) -> DataFrame:
-    return template_issues(spark, d).groupBy("issue").agg(F.count("*").alias("pages"), F.min("p_partkey").alias("first_page"))
-
-
-def with_past(found: DataFrame, past: DataFrame, key: str) -> DataFrame:
-    """Issues found now together with those of a past log; one that both name stands once, as found now."""
-    every = found.select(key, "issue", F.lit(0).alias("age")).unionByName(past.select(key, "issue", F.lit(1).alias("age")))
-    return every.groupBy(key, "issue").agg(F.when(F.min("age") == 0, "found").otherwise("past").alias("known"))
-
-
-_PAST = "SELECT p_partkey, 'legacy_bracket_tokens' AS issue FROM part WHERE p_size % 3 = 0"
-
-
-@query("issue_report_with_past", f"""WITH e AS (SELECT *, 0 AS age FROM ({_ISSUES}) UNION ALL SELECT *, 1 FROM ({_PAST})), k AS (SELECT p_partkey, issue, min(age) AS age FROM e GROUP BY ALL)
-    SELECT issue, CASE WHEN age = 0 THEN 'found' ELSE 'past' END AS known, count(*) AS pages, min(p_partkey) AS first_page FROM k GROUP BY issue, age""")
-def issue_report_with_past(spark: SparkSession, d: str) -> DataFrame:
-    """Pages to fetch again by issue, of this run and of the log of earlier ones (here, by the part's size)."""
-    past = read(spark, d, "part").filter("p_size % 3 = 0").select("p_partkey", F.lit("legacy_bracket_tokens").alias("issue"))
-    g = with_past(template_issues(spark, d), past, "p_partkey").groupBy("issue", "known")
-    return g.agg(F.count("*").alias("pages"), F.min("p_partkey").alias("first_page"))
+    return read(spark, d, "part").select("p_partkey", legacy_fixed(F.expr(_OLD_SQL)).alias("text"))
 
 
 @query("infobox_links", "SELECT p_partkey, unnest([split_part(p_brand, '#', 1), split_part(p_brand, '#', 1), p_type]) AS target, unnest([0, 1, 2])::INTEGER AS pos FROM part")
@@ -308,10 +181,3 @@ def infobox_triples(spark: SparkSession, d: str) -> DataFrame:
     last = w.groupBy("p_partkey", F.col("x.key").alias("key")).agg(F.max_by("x.value", "pos").alias("tail"))
     title = F.concat(F.lit("Part "), F.col("p_partkey").cast("string"))
     return last.select(title.alias("head"), F.concat(F.lit("has_"), "key").alias("relation"), "tail", title.alias("source_title"), F.col("p_partkey").cast("long").alias("revid"))
-
-
-@query("repair_missing", f"WITH {_REPRO} SELECT DISTINCT 'Part ' || p_partkey AS title FROM r WHERE missing")
-def repair_missing(spark: SparkSession, d: str) -> DataFrame:
-    """The titles that lack raw text, each once, in order."""
-    t = reprocessed(spark, d).filter("raw is null")
-    return t.select(F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("title")).distinct().orderBy("title")

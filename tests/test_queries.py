@@ -107,7 +107,7 @@ def test_registered_factors_cover_the_graph(spark, data):
 
 
 def test_past_issues_stand_once(spark):
-    from lorewright.operators import templates
+    from lorewright.operators import rendering as templates
 
     now = spark.createDataFrame([(1, "x"), (2, "x"), (2, "x")], "page long, issue string")
     past = spark.createDataFrame([(2, "x"), (3, "x"), (3, "x")], "page long, issue string")
