@@ -6,6 +6,7 @@ from .functions import text  # noqa: F401
 from .operators import changes, chain, evidence, graph, intents, pages, rendering, retrieval, sessions, templates  # noqa: F401
 from .sources import files  # noqa: F401
 from .streaming import feeds  # noqa: F401
+from .streaming import sessions as stream_sessions  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -10,7 +10,7 @@ import pytest
 from lorewright import catalog
 from lorewright.operators import graph, retrieval
 from lorewright.sources import files
-from lorewright.streaming import feeds
+from lorewright.streaming import feeds, tables
 
 
 def shown(v):
@@ -47,8 +47,7 @@ def test_stream_keeps_latest_revision(spark, tmp_path):
         spark.createDataFrame(part, "title string, revid long, kind string").selectExpr("title", "revid", "current_timestamp() as ts", "kind").coalesce(1).write.mode("append").parquet(src)
     target = str(tmp_path / "out")
     feeds.upsert(feeds.feed(spark, src, schema, 1), target, str(tmp_path / "cp")).awaitTermination()
-    last = max(os.listdir(target))
-    assert sorted((r.title, r.revid) for r in spark.read.parquet(f"{target}/{last}").collect()) == [("a", 3), ("b", 1)]
+    assert sorted((r.title, r.revid) for r in tables.snapshot(spark, target).collect()) == [("a", 3), ("b", 1)]
 
 
 def test_lines_are_read_in_their_order_and_bad_ones_skipped(spark, tmp_path):
@@ -86,7 +85,7 @@ def test_streams_see_repeats_and_what_they_hold_already(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
     model = lambda df: df.selectExpr("key", "length(text) as size")
     feeds.embed(feeds.feed(spark, src, schema, 1), str(tmp_path / "index"), str(tmp_path / "cp"), model).awaitTermination()
-    assert sorted(r["size"] for r in spark.read.parquet(str(tmp_path / "index")).collect()) == [3, 3, 5]
+    assert sorted(r["size"] for r in tables.snapshot(spark, str(tmp_path / "index")).collect()) == [3, 3, 5]
 
 
 def test_factors_tell_groups_apart(spark):
