@@ -66,3 +66,12 @@ def test_stages_take_odd_rows(spark, data):
     assert len(hidden) == len(rows) and not any("@" in (r.text or "") for r in hidden)
     assert all(r.text for r in out["source mix"]) and {r.rec for r in out["source mix"]} == {"x"}
     assert sorted(r.doc_id or -1 for r in out["encoding"]) == sorted(r[0] or -1 for r in rows)
+
+
+def test_stages_called_before_any_is_written(spark, data):
+    """Two results of one stage and one of another, made first and then read, in another order."""
+    docs = common.read(spark, data, "documents")
+    half = docs.filter("doc_id % 2 = 0")
+    a, b, c = corpus_pipeline.keep_good(spark, docs, data), corpus_pipeline.keep_good(spark, half, data), corpus_pipeline.one_of_each(spark, half, data)
+    assert c.count() <= half.count() and b.count() <= half.count() and a.count() >= b.count() > 0
+    assert c.count() == corpus_pipeline.one_of_each(spark, half, data).count()
