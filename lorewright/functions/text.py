@@ -172,12 +172,11 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
 
 
-@query("levenshtein_pairs", "WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w)::INT AS distance FROM w a JOIN w b ON a.w[1] = b.w[1] AND a.w < b.w")
+@query("levenshtein_pairs", "SELECT p_partkey, levenshtein(split_part(p_name, ' ', 1), split_part(p_name, ' ', 2))::INT AS distance, levenshtein(lower(p_type), lower(p_brand)) <= 6 AS near FROM part")
 def levenshtein_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Distances between the distinct words that share a first letter."""
-    w = read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().withColumn("i", F.substring("w", 1, 1))
-    j = w.alias("x").join(w.alias("y"), (F.col("x.i") == F.col("y.i")) & (F.col("x.w") < F.col("y.w")))
-    return j.select(F.col("x.w").alias("a"), F.col("y.w").alias("b"), F.levenshtein("x.w", "y.w").alias("distance"))
+    """The distance of given pairs, and whether one is within a bound; which words are near each other is spelling_neighbours."""
+    one, two = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    return read(spark, d, "part").select("p_partkey", F.levenshtein(one, two).alias("distance"), (F.levenshtein(F.lower("p_type"), F.lower("p_brand"), 6) >= 0).alias("near"))
 
 
 @query("text_preview", "SELECT doc_id, " + ", ".join(f"CASE WHEN length(text) > {n} THEN substring(text, 1, {n}) || '...' ELSE text END AS preview_{n}" for n in (200, 600, 900)) + " FROM documents")

@@ -16,6 +16,7 @@ from ..joins import grid, lookup, numbered, running
 from ..registry import query, read, workspace
 from ..sources.files import read_json_lines, read_triples, write_json_lines, write_triples
 from ..staging import scratch, stage
+from .indexes import holds
 from .retrieval import QUERY_BLOCK, ROW_BLOCK, n_blocks, packed, unit
 
 KG_SQL = """kg AS (
@@ -174,13 +175,17 @@ def split_part() -> Column:
     FROM q JOIN kg ON contains(lower(head), entity) OR contains(lower(tail), entity)""",
 )
 def kg_relationships(spark: SparkSession, d: str) -> DataFrame:
-    """Triples whose head or tail contains a queried name; the head wins. The names are those of all nations, a fixed few, so each triple looks them up in place."""
-    names = read(spark, d, "nation").agg(F.collect_list(F.lower("n_name")).alias("names"))
-    j = kg(spark, d).join(F.broadcast(names))
-    hit = F.filter("names", lambda n: F.contains(F.lower("head"), n) | F.contains(F.lower("tail"), n))
-    j = j.select("head", "relation", "tail", F.explode(hit).alias("entity"))
-    out = F.contains(F.lower("head"), F.col("entity"))
-    return j.select("entity", F.when(out, "outgoing").otherwise("incoming").alias("direction"), "relation", F.when(out, F.col("tail")).otherwise(F.col("head")).alias("other"))
+    """Triples whose head or tail contains a queried name; the head wins. Labels are found by an index of their trigrams."""
+    with scratch(spark) as keep:
+        triples = stage(kg(spark, d).select("head", "relation", "tail"), "triples")
+        labels = triples.select(F.explode(F.array("head", "tail")).alias("label")).distinct()
+        names = read(spark, d, "nation").select(F.lower("n_name").alias("needle")).distinct()
+        found = stage(holds(labels.select(F.lower("label").alias("text")).distinct(), names), "found")
+        named = lambda end: triples.join(found, F.lower(end) == F.col("text")).select("head", "relation", "tail", F.col("needle").alias("entity"))
+        out = named("head").withColumn("direction", F.lit("outgoing"))
+        back = named("tail").filter(~F.contains(F.lower("head"), F.col("entity"))).withColumn("direction", F.lit("incoming"))
+        other = F.when(F.col("direction") == "outgoing", F.col("tail")).otherwise(F.col("head"))
+        return keep(stage(out.unionByName(back).select("entity", "direction", "relation", other.alias("other")), "relationships"))
 
 
 def neighborhood(triples: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
@@ -207,17 +212,24 @@ def kg_neighborhood(spark: SparkSession, d: str) -> DataFrame:
     return neighborhood(kg(spark, d), seeds, 2)
 
 
+_ASKED_SQL = "q AS (SELECT lower(n_name) AS q FROM nation UNION SELECT lower(p_brand) FROM part UNION SELECT 'er#' || s_suppkey % 50 FROM supplier UNION SELECT lower(substring(p_type, 2, 4)) FROM part UNION SELECT 'no such name' FROM region UNION SELECT 'y:' FROM region)"
+
+
 @query(
     "kg_entity_resolve",
-    f"""WITH {KG_SQL}, {_IDS_SQL.format(kg='kg')}, q AS (SELECT lower(substring(n_name, 1, 4)) AS q FROM nation)
+    f"""WITH {KG_SQL}, {_IDS_SQL.format(kg='kg')}, {_ASKED_SQL}
     SELECT q AS name, arg_min(label, (CASE WHEN lower(label) = q THEN 0 ELSE 1 END, id)) AS label FROM q JOIN ids ON contains(lower(label), q) GROUP BY q""",
 )
 def kg_entity_resolve(spark: SparkSession, d: str) -> DataFrame:
-    """An exact match, else the first label by id that contains the name."""
-    names = read(spark, d, "nation").agg(F.collect_set(F.lower(F.substring("n_name", 1, 4))).alias("names"))
-    j = entity_ids(kg(spark, d)).join(F.broadcast(names))
-    j = j.select("label", "id", F.explode(F.filter("names", lambda n: F.contains(F.lower("label"), n))).alias("name"))
-    return j.groupBy("name").agg(F.min_by("label", F.struct((F.lower("label") != F.col("name")).alias("x"), "id")).alias("label"))
+    """An exact match, else the first label by id that contains the name; for whole and partial names, found and not found."""
+    part, one = read(spark, d, "part"), lambda df, c: df.select(c.alias("needle"))
+    names = one(read(spark, d, "nation"), F.lower("n_name")).union(one(part, F.lower("p_brand"))).union(one(part, F.lower(F.substring("p_type", 2, 4))))
+    names = names.union(one(read(spark, d, "supplier"), F.concat(F.lit("er#"), (F.col("s_suppkey") % 50).cast("string")))).union(one(read(spark, d, "region"), F.explode(F.array(F.lit("no such name"), F.lit("y:"))))).distinct()
+    with scratch(spark) as keep:
+        ids = stage(entity_ids(kg(spark, d)).withColumn("text", F.lower("label")), "ids")
+        found = holds(ids.select("text").distinct(), names)
+        best = ids.join(found, "text").groupBy(F.col("needle").alias("name")).agg(F.min_by("label", F.struct((F.col("text") != F.col("needle")).alias("x"), "id")).alias("label"))
+        return keep(stage(best, "resolved"))
 
 
 @query("kg_by_relation", f"WITH {KG_SQL} SELECT head, relation, tail FROM kg WHERE contains(relation, 'brand') ORDER BY revid, head, relation, tail LIMIT 50")

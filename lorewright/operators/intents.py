@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..registry import query, read
+from .indexes import suggestions
 
 # The words that speak for an intent.
 INTENTS = {
@@ -146,18 +147,6 @@ _LEX = """lex AS (SELECT w, count(*) AS freq FROM (SELECT unnest(string_split(p_
     tok AS (SELECT question, unnest(range(1, 3)) AS pos, unnest(string_split(question, ' ')) AS tok FROM que)"""
 
 
-def suggestions(words: DataFrame, lexicon: DataFrame, most: int) -> DataFrame:
-    """(tok, w, confidence, rank) for words (tok) against lexicon (w, freq): first letter equal, lengths two apart at
-    most, distance two (one for short words). An equality join on letter and length."""
-    q = words.select("tok", F.char_length("tok").alias("n"), F.substring("tok", 1, 1).alias("first"))
-    blocks = q.withColumn("length", F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)))
-    j = blocks.join(lexicon.select("w", "freq", F.substring("w", 1, 1).alias("first"), F.char_length("w").alias("length")), ["first", "length"])
-    j = j.withColumn("dist", F.levenshtein("tok", "w")).filter(F.col("dist") <= F.when(F.col("n") >= 5, 2).otherwise(1))
-    j = j.withColumn("confidence", F.round(1 - F.col("dist") / F.greatest("n", "length").cast("double"), 9))
-    rank = F.row_number().over(W.partitionBy("tok").orderBy(F.col("confidence").desc(), F.col("freq").desc(), "w"))
-    return j.withColumn("rank", rank).filter(F.col("rank") <= most).select("tok", "w", "confidence", "rank")
-
-
 @query(
     "query_variants",
     f"""WITH {_LEX}, unk AS (SELECT DISTINCT tok FROM tok WHERE tok NOT IN (SELECT w FROM lex)),

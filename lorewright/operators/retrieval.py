@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..joins import grid
 from ..registry import query, read
+from .indexes import suggestions
 
 
 def norm(v: Column) -> Column:
@@ -214,17 +215,11 @@ def subquery_expand(spark: SparkSession, d: str) -> DataFrame:
     SELECT q, w AS suggestion, confidence, row_number() OVER (PARTITION BY q ORDER BY confidence DESC, freq DESC, w) AS rank FROM f QUALIFY rank <= 3""",
 )
 def spell_suggest(spark: SparkSession, d: str) -> DataFrame:
-    """Unknown words against the lexicon: same first letter, lengths at most two apart, distance two (one for
-    short words). Blocked by (first letter, length), so it is an equality join."""
+    """Unknown words against the lexicon: same first letter, distance two (one for short words)."""
     lex = read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("freq"))
-    q = lex.filter(F.char_length("w") > 4).select(F.concat(F.substring("w", 1, 2), F.expr("substring(w, 4)")).alias("q")).distinct()
-    q = q.join(lex.select(F.col("w").alias("q")), "q", "left_anti").withColumn("n", F.char_length("q"))
-    blocks = q.select("q", "n", F.substring("q", 1, 1).alias("first"), F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)).alias("length"))
-    j = blocks.join(lex.select("w", "freq", F.substring("w", 1, 1).alias("first"), F.char_length("w").alias("length")), ["first", "length"])
-    j = j.withColumn("dist", F.levenshtein("q", "w")).filter(F.col("dist") <= F.when(F.col("n") >= 5, 2).otherwise(1))
-    j = j.withColumn("confidence", F.round(1 - F.col("dist") / F.greatest("n", "length").cast("double"), 9))
-    rank = F.row_number().over(W.partitionBy("q").orderBy(F.col("confidence").desc(), F.col("freq").desc(), "w"))
-    return j.withColumn("rank", rank).filter("rank <= 3").select("q", F.col("w").alias("suggestion"), "confidence", "rank")
+    q = lex.filter(F.char_length("w") > 4).select(F.concat(F.substring("w", 1, 2), F.expr("substring(w, 4)")).alias("tok")).distinct()
+    q = q.join(lex.select(F.col("w").alias("tok")), "tok", "left_anti")
+    return suggestions(q, lex, 3).select(F.col("tok").alias("q"), F.col("w").alias("suggestion"), "confidence", "rank")
 
 
 @query(
