@@ -32,7 +32,7 @@ WORD_END = "</w>"
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Words kept by a worker before the older ones go.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 80_000
 
 
 def byte_letters() -> list[str]:
