@@ -33,6 +33,8 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Words kept by a worker before the older ones go.
 KEPT_WORDS = 80_000
+#: Answers about pairs of tokens kept by a worker before all go.
+KEPT_PAIRS = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -129,12 +131,12 @@ class Encoder:
         return True
 
     def fits(self, a: int, b: int) -> bool:
-        """Whether b may follow a. The answers are kept by a, up to two million of them."""
+        """Whether b may follow a. The answers are kept by a, up to KEPT_PAIRS of them."""
         row = self.fits_after.setdefault(a, {})
         known = row.get(b)
         if known is None:
             self.n_kept += 1
-            if self.n_kept > 2_000_000:
+            if self.n_kept > KEPT_PAIRS:
                 self.n_kept = 1
                 self.fits_after.clear()
                 row = self.fits_after.setdefault(a, {})
