@@ -99,9 +99,9 @@ def pages_of(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.expr(_TITLE).alias("title"), F.expr(_TEXT).alias("text"), F.array(F.expr(_CATEGORY)).alias("categories"))
 
 
-def found_by(spark: SparkSession, d: str, k: int) -> DataFrame:
+def found_by(spark: SparkSession, d: str, k: int, with_rank: bool = False) -> DataFrame:
     rows = corpus(spark, d)
-    return cosine_topk(few_queries(rows), rows, k).select("query_id", "vec_id", "score", F.expr(_Q).alias("q"))
+    return cosine_topk(few_queries(rows), rows, k).select("query_id", "vec_id", "score", *(["rank"] if with_rank else []), F.expr(_Q).alias("q"))
 
 
 def _step_sql(k: int) -> str:
