@@ -131,9 +131,11 @@ def _signs(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, white space made one space. Unclosed and stray tags are allowed."""
     out: list[Block] = []
-    # (tag, number, boilerplate, content, named content, numbers of what looks like boilerplate and of articles around it)
-    stack: list[tuple[str, int, bool, bool, bool, tuple[int, ...], tuple[int, ...]]] = [("", 0, False, False, False, (), ())]
-    around: list[tuple[tuple[int, ...], tuple[int, ...]]] = []
+    # (tag, number, boilerplate, content, named content)
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # by the number of a container: what it is in, whether it looks like boilerplate, whether it is an article, its own text
+    parent, looks, articles, size = [0], [False], [False], [0]
+    home: list[int] = []
     parts: list[str] = []
     tag, links, in_link, number, at = "", 0, False, 0, 0
     closed = True  # whether the open link has an end; else it ends at the next block
@@ -145,8 +147,9 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                _, n, boiler, content, named, looks, articles = stack[-1]
-                around.append((looks, articles))
+                _, n, boiler, content, named = stack[-1]
+                home.append(n)
+                size[n] += len(text)
                 out.append(Block(text, tag, n, boiler, content, named, min(1.0, links / len(text))))
             parts.clear()
         links = 0
@@ -185,14 +188,14 @@ def blocks(page: str) -> list[Block]:
                 if not ends:
                     number += 1
                     boiler, look, content, named = _signs(name, attributes)
-                    _, _, was_boiler, was_content, was_named, looks, articles = stack[-1]
+                    _, inside, was_boiler, was_content, was_named = stack[-1]
                     if name == "header" and was_content:
                         boiler = False  # the head of an article belongs to it
-                    if content:
-                        articles = (*articles, number)
-                    if look:
-                        looks = (*looks, number)
-                    stack.append((name, number, was_boiler or boiler, was_content or content, was_named or named, looks, articles))
+                    parent.append(inside)
+                    looks.append(look)
+                    articles.append(content)
+                    size.append(0)
+                    stack.append((name, number, was_boiler or boiler, was_content or content, was_named or named))
                     is_open[name] += 1
                 elif is_open[name]:
                     while True:
@@ -209,15 +212,17 @@ def blocks(page: str) -> list[Block]:
                 closed = then is not None and then[1] == "/"
     add(page[at:])
     close()
-    size: Counter[int] = Counter()
-    for b, (looks, articles) in zip(out, around, strict=True):
-        for n in {*looks, *articles}:
-            size[n] += len(b.text)
-    most = MOST * sum(len(b.text) for b in out)
+    # a container is numbered after what it is in: from the last to the first, texts add up to all that is inside
+    most = MOST * sum(size)
+    for n in range(number, 0, -1):
+        size[parent[n]] += size[n]
     # the longest article of the page is none for what looks like boilerplate around it
-    longest = max((n for _, articles in around for n in articles), key=lambda n: (size[n], -n), default=0)
-    for b, (looks, articles) in zip(out, around, strict=True):
-        b.boiler |= any(size[n] < most and not (longest in articles and n < longest) for n in looks)
+    longest = max((n for n in range(1, number + 1) if articles[n] and size[n]), key=lambda n: (size[n], -n), default=0)
+    boiler_in = [False] * (number + 1)
+    for n in range(1, number + 1):
+        boiler_in[n] = (n != longest and boiler_in[parent[n]]) or (looks[n] and size[n] < most)
+    for b, n in zip(out, home, strict=True):
+        b.boiler |= boiler_in[n]
     return out
 
 

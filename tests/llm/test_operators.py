@@ -395,3 +395,19 @@ def test_min_length_of_packed_runs():
     x["gram"], x["first"] = [1, 5, 2**63], [9, 8, 7]
     assert (suffixes._entries(suffixes._planes(x), 3) == x).all()
     assert isinstance(pa.array([1]), pa.Array)
+
+
+@pytest.mark.parametrize("tag", ["form", "article", "div class=ad", "aside", "div"])
+def test_pages_nested_deeply_take_time_in_proportion(tag):
+    """20,000 containers inside each other, of every kind that is looked at; closed and unclosed."""
+    name = tag.split()[0]
+    for end in ("", f"</{name}>" * 20_000):
+        began = time.time()
+        html.main_text("".join(f"<{tag}><p>some words here</p>" for _ in range(20_000)) + end)
+        assert time.time() - began < 5
+
+
+def test_pages_with_columns_of_any_names(spark):
+    """Columns that are called like those of the result or the steps are no hindrance."""
+    df = spark.createDataFrame([(1, "u", f"<article><p>{LONG}</p></article>", "x", 3)], "page_id long, url string, html string, text string, n_chars int")
+    assert [(r.page_id, r.url, r.n_chars) for r in html.extract(df).collect()] == [(1, "u", len(LONG.strip()))]

@@ -43,14 +43,20 @@ def test_same_rows_as_sql(spark, data, name):
 
 
 def test_toxicity(spark, data, texts):
-    toxic = {r.doc_id: r.toxic for r in common.read(spark, data, "labels").collect()}
     out = rows_of(spark, data, "op1_toxicity")
     assert sorted(r.doc_id for r in out) == sorted(texts)
     for r in out:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
-    known = [r for r in out if r.doc_id in toxic]
-    assert np.mean([r.predicted == toxic[r.doc_id] for r in known]) > 0.8
+
+
+def test_toxicity_on_rows_it_has_not_learned_from(spark):
+    """Most toxic documents are found and few others are flagged; answering one label for all would fail."""
+    larger = "/root/testdata/sf0.1"
+    toxic = {r.doc_id: r.toxic for r in common.read(spark, larger, "labels").collect()}
+    known = [(r.predicted, toxic[r.doc_id]) for r in rows_of(spark, larger, "op1_toxicity") if r.held_out and r.doc_id in toxic]
+    hits, found, there = (sum(x) for x in zip(*((p * t, p, t) for p, t in known), strict=True))
+    assert there > 50 and hits >= 0.75 * there and hits >= 0.85 * found
 
 
 def test_bpe(spark, data, texts):
