@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..registry import query, read
-from .intents import INTENTS, tags
+from .intents import INTENTS, in_sql, tags
 from .retrieval import _COS, _E, corpus, cosine_topk
 
 # Verdict patterns, negative ones first.
 VERDICTS = [
-    ("No", "immune to melee|cannot be damaged by melee|melee (?:cannot|can.t|won.t) (?:hit|damage|affect)|only (?:damaged|affected|harmed|hit|attacked) by (?:magic|ranged)|can only be (?:damaged|affected|harmed|hit|attacked) by (?:magic|ranged)|must use (?:magic|ranged)"),
+    ("No", "immune to melee|cannot be damaged by melee|melee (?:cannot|can't|won't) (?:hit|damage|affect)|only (?:damaged|affected|harmed|hit|attacked) by (?:magic|ranged)|can only be (?:damaged|affected|harmed|hit|attacked) by (?:magic|ranged)|must use (?:magic|ranged)"),
     ("Yes", "can be damaged by melee|melee (?:can|does) (?:hit|damage|affect)|vulnerable to melee|weak to melee"),
 ]
 # Lines that state a requirement.
@@ -199,7 +199,7 @@ def requirement_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "verdict_quote",
-    f"WITH li AS ({_LINES}), f AS (SELECT p_partkey, " + ", ".join(f"list_filter(ls, lambda x: regexp_matches(lower(x), '{p}'))[1] AS {v}" for v, p in VERDICTS) + " FROM li) SELECT p_partkey, CASE WHEN No IS NOT NULL THEN 'No' ELSE 'Yes' END AS verdict, substring(coalesce(No, Yes), 1, 240) AS quote FROM f WHERE coalesce(No, Yes) IS NOT NULL",
+    f"WITH li AS ({_LINES}), f AS (SELECT p_partkey, " + ", ".join(f"list_filter(ls, lambda x: regexp_matches(lower(x), '{in_sql(p)}'))[1] AS {v}" for v, p in VERDICTS) + " FROM li) SELECT p_partkey, CASE WHEN No IS NOT NULL THEN 'No' ELSE 'Yes' END AS verdict, substring(coalesce(No, Yes), 1, 240) AS quote FROM f WHERE coalesce(No, Yes) IS NOT NULL",
 )
 def verdict_quote(spark: SparkSession, d: str) -> DataFrame:
     """The first line that denies, else the first that affirms, cut at 240 characters."""
@@ -210,7 +210,7 @@ def verdict_quote(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", verdict.alias("verdict"), F.substring(F.coalesce(*found), 1, 240).alias("quote")).filter("verdict is not null")
 
 
-_TAGGED = " UNION ALL ".join(f"SELECT conv_id, turn, text, '{k}' AS intent FROM conversations WHERE regexp_matches(lower(text), '{INTENTS[k]}')" for k in NEUTRAL)
+_TAGGED = " UNION ALL ".join(f"SELECT conv_id, turn, text, '{k}' AS intent FROM conversations WHERE regexp_matches(lower(text), '{in_sql(INTENTS[k])}')" for k in NEUTRAL)
 
 
 @query("intent_expand", "SELECT conv_id, turn, CASE intent " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NEUTRAL.items()) + f" END AS term FROM ({_TAGGED})")
@@ -250,6 +250,38 @@ def search_terms(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.filter(tokens(F.col("text")), lambda x: F.char_length(x) > 4))).alias("term"))
 
 
+# Terms that a question may name, and what words of a question add to them.
+TERMS = [
+    "melee", "range", "ranged", "magic", "mage", "prayer", "weapon", "armor", "armour", "shield", "helmet", "boots", "gloves", "rune", "runes", "scroll", "prayer scroll", "augury", "rigour",
+    "boss", "monster", "combat", "fight", "phase", "special attack", "defence", "defense", "accuracy", "damage", "dps",
+    "price", "gold", "gp", "profit", "loss", "market", "trade", "expensive", "cheap", "valuable", "worthless",
+]
+ADDED = [
+    (["boss", "fight", "kill"], ["boss mechanics", "combat strategy", "boss drops"]),
+    (["prayer", "scroll"], ["prayer scroll", "augury", "rigour", "preserve"]),
+    (["range", "ranged", "mage", "magic"], ["ranged combat", "magic combat", "combat triangle"]),
+    (["price", "gold", "gp", "profit", "loss"], ["market analysis", "item prices", "profit margins"]),
+]
+
+
+def listed_terms(q: Column) -> Column:
+    """The terms that a question names anywhere and those that its words add, each once, in their order."""
+    q = F.lower(q)
+    named = [F.when(F.contains(q, F.lit(t)), F.lit(t)) for t in TERMS]
+    more = [F.when(q.rlike("|".join(words)), F.lit(t)) for words, ts in ADDED for t in ts]
+    return F.array_distinct(F.array_compact(F.array(*named, *more)))
+
+
+_ASKED = "text || CASE item_id % 5 WHEN 0 THEN ' How to Kill the boss?' WHEN 1 THEN ' A prayer scroll for range' WHEN 2 THEN ' worthless gold?' WHEN 3 THEN ' special attack of a weapon' ELSE '' END"
+_LISTED = ", ".join([*(f"CASE WHEN contains(q, '{t}') THEN '{t}' END" for t in TERMS), *(f"CASE WHEN regexp_matches(q, '{'|'.join(ws)}') THEN '{t}' END" for ws, ts in ADDED for t in ts)])
+
+
+@query("question_terms", f"SELECT DISTINCT item_id, t AS term FROM (SELECT item_id, unnest([{_LISTED}]) AS t FROM (SELECT item_id, lower({_ASKED}) AS q FROM benchmark)) WHERE t IS NOT NULL")
+def question_terms(spark: SparkSession, d: str) -> DataFrame:
+    """What to search for by the words of a question."""
+    return read(spark, d, "benchmark").select("item_id", F.explode(listed_terms(F.expr(_ASKED))).alias("term"))
+
+
 @query("context_assemble", "SELECT source, string_agg('[' || n || '] ' || doc_id || ':' || chr(10) || substring(text, 1, 200), chr(10) ORDER BY n) AS context, sum(length(text))::BIGINT AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents QUALIFY n <= 8) GROUP BY source")
 def context_assemble(spark: SparkSession, d: str) -> DataFrame:
     """Up to eight documents of a title, numbered, 200 characters of each."""

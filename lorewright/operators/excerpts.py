@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
-from .intents import EVIDENCE, INTENTS, tags
+from .intents import EVIDENCE, INTENTS, in_sql, tags
 from .models import _TERMS, terms
 from .priors import _FOUND, found_by, pages_of
 
@@ -86,7 +86,7 @@ def contexts(hits: DataFrame, most: int = 8) -> DataFrame:
 
 
 _THREE = "thr AS (SELECT query_id, vec_id, q, title, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM fou QUALIFY rank <= 3)"
-_BONUS = " + ".join(f"CASE WHEN regexp_matches(lower(q), '{INTENTS[k]}') AND regexp_matches(lower(snippet), '{v}') THEN {BONUS} ELSE 0 END" for k, v in EVIDENCE.items())
+_BONUS = " + ".join(f"CASE WHEN regexp_matches(lower(q), '{in_sql(INTENTS[k])}') AND regexp_matches(lower(snippet), '{v}') THEN {BONUS} ELSE 0 END" for k, v in EVIDENCE.items())
 
 
 @query(

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import page_title
-from ..joins import grid, lookup, numbered, running
+from ..joins import grid, lookup, numbered, running, so_far
 from ..registry import query, read, workspace
 from ..sources.files import read_json_lines, read_triples, write_json_lines, write_triples
 from ..staging import scratch, stage
@@ -444,7 +444,8 @@ def kg_filtered_ranks(spark: SparkSession, d: str) -> DataFrame:
         return keep(stage(ranks.withColumn("realistic", (F.col("optimistic") + F.col("pessimistic")) / 2.0), "ranks"))
 
 
-#: Sums over ranks r among n candidates, m their median; e: the mean of a random rank.
+#: Sums over ranks r among n candidates, m their median. Of a random rank k among n: h and hh are the sums of 1 / k and
+#: its square over all k, p and pp those of k to the power 1 / count and 2 / count.
 _METRICS = {
     "count": "count(r)", **{f"hits_at_{k}": f"avg(CASE WHEN r <= {k} THEN 1e0 ELSE 0e0 END)" for k in (1, 3, 5, 10)},
     "arithmetic_mean_rank": "avg(r)", "geometric_mean_rank": "exp(avg(ln(r)))", "harmonic_mean_rank": "1 / avg(1 / r)", "median_rank": "max(m)",
@@ -453,6 +454,10 @@ _METRICS = {
     "adjusted_arithmetic_mean_rank": "avg(r) / avg((n + 1) / 2.0)", "adjusted_arithmetic_mean_rank_index": "1 - (avg(r) - 1) / (avg((n + 1) / 2.0) - 1)",
     "z_arithmetic_mean_rank": "(avg((n + 1) / 2.0) - avg(r)) / sqrt(sum((n * n - 1) / 12.0) / (count(r) * count(r)))",
     "adjusted_hits_at_k": "(avg(CASE WHEN r <= 10 THEN 1e0 ELSE 0e0 END) - avg(least(10, n) / n)) / (1 - avg(least(10, n) / n))",
+    "adjusted_geometric_mean_rank_index": "1 - (exp(avg(ln(r))) - 1) / (exp(sum(ln(p / n))) - 1)",
+    "z_geometric_mean_rank": "(exp(sum(ln(p / n))) - exp(avg(ln(r)))) / sqrt(exp(sum(ln(pp / n))) - exp(2 * sum(ln(p / n))))",
+    "adjusted_inverse_harmonic_mean_rank": "(avg(1 / r) - avg(h / n)) / (1 - avg(h / n))",
+    "z_inverse_harmonic_mean_rank": "(avg(1 / r) - avg(h / n)) / sqrt(sum(hh / n - h / n * h / n) / (count(r) * count(r)))",
     "z_hits_at_k": "(avg(CASE WHEN r <= 10 THEN 1e0 ELSE 0e0 END) - avg(least(10, n) / n)) / sqrt(sum(least(10, n) / n * (1 - least(10, n) / n)) / (count(r) * count(r)))",
 }
 
@@ -460,16 +465,38 @@ _METRICS = {
 @query(
     "rank_metrics",
     f"""WITH {_RANK_SQL}, m AS (SELECT side, candidates::DOUBLE AS n, 'optimistic' AS mode, optimistic::DOUBLE AS r FROM ranks UNION ALL SELECT side, candidates, 'pessimistic', pessimistic FROM ranks UNION ALL SELECT side, candidates, 'realistic', (optimistic + pessimistic) / 2.0 FROM ranks),
-    l AS (SELECT * FROM m UNION ALL SELECT 'both', n, mode, r FROM m), c AS (SELECT side, mode, median(r) AS m FROM l GROUP BY ALL), k AS (SELECT l.*, c.m, median(abs(r - c.m)) OVER (PARTITION BY side, mode) AS mad FROM l JOIN c USING (side, mode)),
+    l AS (SELECT * FROM m UNION ALL SELECT 'both', n, mode, r FROM m), c AS (SELECT side, mode, median(r) AS m FROM l GROUP BY ALL),
+    z AS (SELECT side, count(*) / 3.0 AS t FROM l GROUP BY side), y AS (SELECT side, x, sum(1e0 / x) OVER o AS h, sum(1e0 / (x * x)) OVER o AS hh, sum(pow(x, 1e0 / t)) OVER o AS p, sum(pow(x, 2e0 / t)) OVER o AS pp
+      FROM z, (SELECT unnest(range(1, (SELECT max(candidates) + 1 FROM ranks)))::DOUBLE AS x) WINDOW o AS (PARTITION BY side ORDER BY x)),
+    k AS (SELECT l.*, c.m, h, hh, p, pp, median(abs(r - c.m)) OVER (PARTITION BY l.side, l.mode) AS mad FROM l JOIN c USING (side, mode) JOIN y ON y.side = l.side AND y.x = l.n),
     w AS (SELECT side, mode, {", ".join(f"{e} AS {k}" for k, e in _METRICS.items())} FROM k GROUP BY side, mode)
     SELECT side, mode, metric, round(value::DOUBLE, 6) AS value FROM ({" UNION ALL ".join(f"SELECT side, mode, '{k}' AS metric, {k} AS value FROM w" for k in _METRICS)})""",
 )
 def rank_metrics(spark: SparkSession, d: str) -> DataFrame:
+    with scratch(spark) as keep:
+        return keep(stage(metrics_of(kg_filtered_ranks(spark, d)), "metrics"))
+
+
+def random_sums(r: DataFrame) -> DataFrame:
+    """(side, n, h, hh, p, pp) for the numbers of candidates n that r (side, mode, n) has: sums over the ranks 1 to n."""
+    count = {x.side: x["count"] for x in r.groupBy("side", "mode").count().collect()}  # three sides at most
+    most = int(r.agg(F.max("n")).first()[0] or 0)
+    x = F.col("x").cast("double")
+    powers = {f"{name}_{side}": F.pow(x, F.lit(e / n)) for side, n in count.items() for name, e in (("p", 1.0), ("pp", 2.0))}
+    sums = so_far(r.sparkSession.range(1, most + 2).withColumnRenamed("id", "x"), [F.col("x")], {"h": 1 / x, "hh": 1 / (x * x)} | powers)
+    # what is before x = n + 1 is the sum over 1 to n; only the numbers that occur are kept
+    sums = sums.withColumn("n", x - 1).join(F.broadcast(r.select("n").distinct()), "n", "left_semi")
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"p_{s}").alias("p"), F.col(f"pp_{s}").alias("pp")) for s in count))).alias("s")
+    return sums.select("n", "h", "hh", each).select("s.side", "n", "h", "hh", "s.p", "s.pp")
+
+
+def metrics_of(ranks: DataFrame) -> DataFrame:
     """By side and both, and by mode. Medians are exact: a histogram of ranks for each side and mode."""
     modes = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.col(m).cast("double").alias("r")) for m in ("optimistic", "pessimistic", "realistic")))).alias("m")
-    r = kg_filtered_ranks(spark, d).select(F.explode(F.array("side", F.lit("both"))).alias("side"), F.col("candidates").cast("double").alias("n"), modes).select("side", "n", "m.*")
+    r = ranks.select(F.explode(F.array("side", F.lit("both"))).alias("side"), F.col("candidates").cast("double").alias("n"), modes).select("side", "n", "m.*")
     r = r.join(F.broadcast(r.groupBy("side", "mode").agg(F.percentile("r", 0.5).alias("m"))), ["side", "mode"])
     r = r.join(F.broadcast(r.groupBy("side", "mode").agg(F.percentile(F.abs(F.col("r") - F.col("m")), 0.5).alias("mad"))), ["side", "mode"])
+    r = lookup(r, stage(random_sums(r), "random-sums"), ["side", "n"])
     wide = r.groupBy("side", "mode").agg(*(F.expr(e).cast("double").alias(k) for k, e in _METRICS.items()))
     return wide.unpivot(["side", "mode"], list(_METRICS), "metric", "value").withColumn("value", F.round("value", 6))
 

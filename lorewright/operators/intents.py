@@ -27,7 +27,7 @@ INTENTS = {
     "combat_mechanics": "tick|prayer|overhead|cycle|special attack|spec|enrage",
     "equipment_stats": "stab|slash|crush|magic bonus|ranged bonus|strength bonus|prayer bonus",
     "comparison": "compare|vs|versus|difference between",
-    "timeline": "update|patch|changelog|release|date|latest|newest|what.s new|most recent|recent|new content|recent update",
+    "timeline": "update|patch|changelog|release|date|latest|newest|what's new|most recent|recent|new content|recent update",
     "slayer": "slayer|task|assigned|master|block|extend",
     "clue": "clue|emote|coordinate|cryptic",
     "spell_prayer": "spell|prayer|protect from|cast|book",
@@ -57,6 +57,11 @@ PATTERNS = {
 }
 
 
+def in_sql(pattern: str) -> str:
+    """A pattern as it stands between the quotes of SQL."""
+    return pattern.replace("'", "''")
+
+
 def whole(words: str) -> str:
     """A pattern for any of the words where no letter, number or underscore touches it; any engine reads it alike."""
     return rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{words})(?:$|[^\p{{L}}\p{{N}}_])"
@@ -106,7 +111,7 @@ def keep_by_intent(candidates: DataFrame) -> DataFrame:
     return left.withColumn("any_", F.max("foe_").over(by)).filter(~F.col("asked_") | F.col("foe_") | ~F.col("any_")).drop("asked_", "foe_", "any_")
 
 
-_TAGGED = " UNION ALL ".join(f"SELECT conv_id, turn, text, '{k}' AS intent FROM conversations WHERE role = 'user' AND regexp_matches(lower(text), '{v}')" for k, v in INTENTS.items())
+_TAGGED = " UNION ALL ".join(f"SELECT conv_id, turn, text, '{k}' AS intent FROM conversations WHERE role = 'user' AND regexp_matches(lower(text), '{in_sql(v)}')" for k, v in INTENTS.items())
 _HOLDS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS intent FROM documents WHERE regexp_matches(lower(text), '{v}')" for k, v in EVIDENCE.items())
 
 
