@@ -82,6 +82,30 @@ def source_list(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("query_id", "vec_id", "rank", "title", "categories", F.least(F.lit(0.999), F.greatest(F.lit(0.0), F.col("score"))).alias("similarity"), url.alias("url"))
 
 
+def tool_search(found: DataFrame, used: DataFrame, cut: float = 0.7, terms: int = 5, most: int = 8) -> DataFrame:
+    """(asker, title, vec_id, n): found (asker, term, rank, vec_id, title, score) for the first `terms` terms of an asker: rows
+    above the cut whose title the asker has not used (asker, title), each title once, as its earliest term found it, and
+    the first `most`. An asker's rows are bounded by its terms and what each finds."""
+    first = found.filter((F.col("score") > cut) & (F.col("term") <= terms)).join(used, ["asker", "title"], "left_anti")
+    first = first.groupBy("asker", "title").agg(F.min(F.struct("term", "rank", "vec_id")).alias("o"))
+    n = F.row_number().over(W.partitionBy("asker").orderBy("o"))
+    return first.withColumn("n", n).filter(F.col("n") <= most).select("asker", "title", "o.vec_id", "n")
+
+
+@query(
+    "semantic_tools",
+    f"""WITH {_E}, {_NAMED}, f AS (SELECT query_id // 1000 AS asker, query_id // 100 % 10 + 1 AS term, rank, vec_id, title, score FROM ({_topk_sql(6)}) JOIN nam USING (vec_id)),
+    u AS (SELECT title, min((term, rank, vec_id)) AS o, asker FROM f WHERE score > 0.2 AND term <= 5 AND (asker, title) NOT IN (SELECT vec_id // 1000, title FROM nam WHERE vec_id % 200 = 0) GROUP BY asker, title)
+    SELECT asker, title, o[3] AS vec_id, row_number() OVER (PARTITION BY asker ORDER BY o) AS n FROM u QUALIFY n <= 8""",
+)
+def semantic_tools(spark: SparkSession, d: str) -> DataFrame:
+    """Terms are the queries of one run of 1000 ids; every other term's own title is used already. Random vectors are far
+    from each other, so the cut is 0.2 here."""
+    found = candidates(spark, d, 6).select(F.floor(F.col("query_id") / 1000).alias("asker"), (F.floor(F.col("query_id") / 100) % 10 + 1).alias("term"), "rank", "vec_id", "title", "score")
+    used = named(spark, d).filter("vec_id % 200 = 0").select(F.floor(F.col("vec_id") / 1000).alias("asker"), "title")
+    return tool_search(found, used, 0.2)
+
+
 def pool(found: DataFrame, bonus: Column, most: int) -> DataFrame:
     """(query_id, base, vec_id, score, hits): found (query_id, sub, vec_id, score, title) by base title: the best row, more
     for each further hit, and of these the best `most` of a query. Combined map-side by query and base title."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..registry import query, read
+from ..staging import scratch, stage
 from .intents import INTENTS, in_sql, tags
 from .retrieval import _COS, _E, corpus, cosine_topk
 
@@ -128,18 +129,32 @@ def boosted_rank(spark: SparkSession, d: str) -> DataFrame:
     r2 AS (SELECT DISTINCT r1.seed, k.dst FROM r1 JOIN k ON k.src = r1.dst WHERE k.dst <> r1.seed AND (r1.seed, k.dst) NOT IN (SELECT (seed, dst) FROM r1))
     SELECT seed, dst AS vec_id, 1 AS round FROM r1 UNION ALL SELECT seed, dst, 2 FROM r2""",
 )
-def recursive_expand(spark: SparkSession, d: str, rounds: int = 2, per_seed: int = 3) -> DataFrame:
-    """From each seed (ids divisible by 100) its nearest vectors, then those of the new ones, round by round. A frontier
-    has at most seeds * per_seed ** rounds rows."""
+def recursive_expand(spark: SparkSession, d: str) -> DataFrame:
+    """From each seed (ids divisible by 100) its nearest vectors, then those of the new ones."""
     rows = corpus(spark, d)
-    seen = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("seed"), "vec_id", F.lit(0).alias("round"))
-    front = seen
+    with scratch(spark) as keep:
+        return keep(expanded(rows, rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("seed"))).select("seed", "vec_id", "round"))
+
+
+def expanded(rows: DataFrame, seeds: DataFrame, rounds: int = 2, per_seed: int = 3, most: int = 40, frontier: int = 12) -> DataFrame:
+    """(seed, vec_id, round, at): round by round the nearest rows (vec_id, v) of those that the round before found first.
+
+    In a round a seed's new rows are taken in the order of what they are near to and then of nearness, and numbered (at);
+    it goes on with the first `frontier` of them and has `most` in all. What a round finds is stored, so none is
+    computed again; a round of a seed has at most frontier * per_seed rows.
+    """
+    front = stage(seeds.select("seed", F.col("seed").alias("vec_id"), F.lit(0).alias("round"), F.lit(0).alias("at")).distinct(), "seen")
+    seen = front
     for n in range(1, rounds + 1):
         q = rows.join(front.select("vec_id").distinct(), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-        near = cosine_topk(q, rows, per_seed, exclude_self=True).select(F.col("query_id").alias("from"), F.col("vec_id").alias("to"))
-        reached = front.join(near, F.col("vec_id") == F.col("from")).select("seed", F.col("to").alias("vec_id")).distinct()
-        front = reached.join(seen.select("seed", "vec_id"), ["seed", "vec_id"], "left_anti").withColumn("round", F.lit(n))
-        seen = seen.unionByName(front)
+        near = cosine_topk(q, rows, per_seed, exclude_self=True).select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("to"), "rank")
+        reached = front.join(near, "vec_id").groupBy("seed", F.col("to").alias("vec_id")).agg(F.min(F.struct("at", "rank")).alias("o"))
+        new = reached.join(seen.select("seed", "vec_id"), ["seed", "vec_id"], "left_anti").join(seen.groupBy("seed").agg((F.count("*") - 1).alias("held")), "seed")
+        new = new.withColumn("at", F.row_number().over(W.partitionBy("seed").orderBy("o", "vec_id"))).filter(F.col("at") + F.col("held") <= most)
+        new = stage(new.select("seed", "vec_id", F.lit(n).alias("round"), "at"), "found")
+        if new.isEmpty():
+            break
+        seen, front = seen.unionByName(new), new.filter(F.col("at") <= frontier)
     return seen.filter("round > 0")
 
 

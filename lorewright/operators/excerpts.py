@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
-from .intents import EVIDENCE, INTENTS, in_sql, tags
+from .intents import EVIDENCE, GUARDED, INTENTS, in_sql, tags
 from .models import _TERMS, terms
 from .priors import _FOUND, found_by, pages_of
 
@@ -89,17 +89,33 @@ _THREE = "thr AS (SELECT query_id, vec_id, q, title, trim(text, ' ' || chr(9) ||
 _BONUS = " + ".join(f"CASE WHEN regexp_matches(lower(q), '{in_sql(INTENTS[k])}') AND regexp_matches(lower(snippet), '{v}') THEN {BONUS} ELSE 0 END" for k, v in EVIDENCE.items())
 
 
-@query(
-    "excerpts_of_hits",
-    f"""WITH {_FOUND}, {_THREE}, w AS (SELECT *, unnest(range(0, length(text), {STRIDE})) AS start FROM thr), x AS (SELECT *, substring(text, start + 1, {WINDOW}) AS snippet FROM w WHERE (start = 0 OR start + {WINDOW - STRIDE} < length(text)) AND length(text) - start >= {LEAST})
-    SELECT query_id, vec_id, start, least(length(text), start + {WINDOW})::BIGINT AS "end", round(len(list_filter({_TERMS}, lambda w: contains(lower(snippet), w))) + {_BONUS}, 9)::DOUBLE AS score, snippet FROM x QUALIFY row_number() OVER (PARTITION BY query_id, vec_id ORDER BY score DESC, start) <= 2""",
-)
+_BEST = f"""{_FOUND}, {_THREE}, w AS (SELECT *, unnest(range(0, length(text), {STRIDE})) AS start FROM thr), x AS (SELECT *, substring(text, start + 1, {WINDOW}) AS snippet FROM w WHERE (start = 0 OR start + {WINDOW - STRIDE} < length(text)) AND length(text) - start >= {LEAST}),
+    bes AS (SELECT query_id, vec_id, q, start, least(length(text), start + {WINDOW})::BIGINT AS "end", round(len(list_filter({_TERMS}, lambda w: contains(lower(snippet), w))) + {_BONUS}, 9)::DOUBLE AS score, snippet FROM x QUALIFY row_number() OVER (PARTITION BY query_id, vec_id ORDER BY score DESC, start) <= 2)"""
+
+
+@query("excerpts_of_hits", f'WITH {_BEST} SELECT query_id, vec_id, start, "end", score, snippet FROM bes')
 def excerpts_of_hits(spark: SparkSession, d: str) -> DataFrame:
     """The two best windows of the three best pages of each question."""
     pairs = found_by(spark, d, 3).join(pages_of(spark, d), "vec_id")
     return excerpts(pairs.select("query_id", "vec_id", "q", "text"))
 
 
+def guarded(questions: DataFrame, context: DataFrame) -> DataFrame:
+    """(query_id, intent, refused): for each guarded intent of a question (query_id, q) whether nothing in its context
+    (query_id, snippet) is evidence for it. Snippets are told by a flag for each intent before they are combined."""
+    held = context.groupBy("query_id").agg(*(F.bool_or(F.lower("snippet").rlike(EVIDENCE[k])).alias(k) for k in GUARDED))
+    j = questions.join(held, "query_id", "left")
+    verdict = F.array(*(F.when(F.lower("q").rlike(INTENTS[k]), F.struct(F.lit(k).alias("intent"), (~F.coalesce(F.col(k), F.lit(False))).alias("refused"))) for k in GUARDED))
+    return j.select("query_id", F.explode(F.array_compact(verdict)).alias("v")).select("query_id", "v.*")
+
+
+@query("evidence_guard_hits", f"WITH {_BEST}, que AS (SELECT DISTINCT query_id, q FROM fou) " + " UNION ALL ".join(f"SELECT query_id, '{k}' AS intent, NOT coalesce((SELECT bool_or(regexp_matches(lower(snippet), '{EVIDENCE[k]}')) FROM bes WHERE bes.query_id = que.query_id), FALSE) AS refused FROM que WHERE regexp_matches(lower(q), '{INTENTS[k]}')" for k in GUARDED))
+def evidence_guard_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Questions refused where the excerpts of what a search has found hold no evidence."""
+    found = found_by(spark, d, 3)
+    return guarded(found.select("query_id", "q").distinct(), excerpts_of_hits(spark, d))
+
+
 @query(
     "context_of_hits",
     f"""WITH {_FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM fou QUALIFY rank <= 8)

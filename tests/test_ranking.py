@@ -7,7 +7,7 @@ import regex
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from lorewright.operators import excerpts, models, priors
+from lorewright.operators import chain, evidence, excerpts, models, priors
 from lorewright.operators.intents import EVIDENCE, INTENTS
 
 
@@ -91,3 +91,39 @@ def test_pages_that_answer_nothing(spark):
     rows = [("Fox (disambiguation)", []), ("Fox (Interface item)", []), ("Fox", ["Interface items"]), ("Fox", ["x", "Disambiguation pages"]), ("Fox", ["Foxes"]), ("Fox", [])]
     df = spark.createDataFrame(rows, "title string, categories array<string>")
     assert [r[0] for r in df.select(priors.answers_nothing(F.col("title"), F.col("categories"))).collect()] == [True] * 4 + [False] * 2
+
+
+def test_expansion_keeps_to_its_caps(spark):
+    """Points on a line: each is near its neighbours, and the order of discovery decides who is within the caps."""
+    import math
+
+    rows = [(i, [math.cos(i / 50), math.sin(i / 50)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    cos = lambda a, b: round(sum(x * y for x, y in zip(rows[a][1], rows[b][1])), 9)
+
+    def brute(seed, rounds, per, most, frontier):
+        front, seen, out = [seed], {seed}, []
+        for n in range(1, rounds + 1):
+            new = []
+            for a in front:
+                for b in sorted((j for j in range(60) if j != a), key=lambda j: (-cos(a, j), j))[:per]:
+                    if b not in seen and b not in new:
+                        new.append(b)
+            new = new[: most - len(out)]
+            out += [(seed, b, n) for b in new]
+            seen |= set(new)
+            front = new[:frontier]
+        return out
+
+    seeds = spark.createDataFrame([(5,), (30,), (30,)], "seed long")
+    for caps in ((2, 3, 40, 12), (3, 4, 7, 2), (4, 2, 3, 1)):
+        got = evidence.expanded(df, seeds, *caps).select("seed", "vec_id", "round").collect()
+        assert sorted(map(tuple, got)) == sorted(brute(5, *caps) + brute(30, *caps))
+
+
+def test_tools_take_unused_titles_once(spark):
+    found = [(1, 1, 1, 10, "a", 0.9), (1, 1, 2, 11, "b", 0.8), (1, 2, 1, 12, "a", 0.99), (1, 2, 2, 13, "c", 0.7), (1, 6, 1, 14, "d", 0.9), (2, 1, 1, 11, "b", 0.9)]
+    df = spark.createDataFrame(found, "asker long, term long, rank int, vec_id long, title string, score double")
+    used = spark.createDataFrame([(2, "b")], "asker long, title string")
+    assert sorted(map(tuple, chain.tool_search(df, used).collect())) == [(1, "a", 10, 1), (1, "b", 11, 2)]
+    assert [r.title for r in chain.tool_search(df, used, 0.5, 9, 1).collect()] == ["a"]
