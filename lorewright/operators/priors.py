@@ -13,7 +13,7 @@ from .changes import PASSING_ASKED, PASSING_TEXT, PASSING_TITLE, passing
 from .intents import INTENTS
 from .retrieval import _E, _topk_sql, corpus, cosine_topk, few_queries
 
-_NAMESPACES = ["guide:", "user:", "talk:", "blog:", "old school runescape wiki:", "oldschool runescape wiki:"]
+_NAMESPACES = ["guide:", "user:", "talk:", "blog:"]
 # In order, where a rule looks, the words it looks for, the intents it is for (none: all), and what it adds
 # if it finds one of the words and the question has one of the intents, has none of them, and if it has but finds none.
 RULES = [
