@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from lorewright.llm import ann, bpe, dedup, hashing, html, pii, ppm, quality, suffixes, toxicity
+from lorewright.llm import ann, bpe, common, dedup, hashing, html, pii, ppm, quality, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_words string, sig string, rid string, uid int"
 
@@ -179,6 +180,19 @@ def test_repeated_passages_equal_brute_force(spark, monkeypatch, part_rows):
     assert suffixes.deduplicate(df.limit(0)).count() == 0
 
 
+def test_staged_tables_leave_no_shuffle_files(spark):
+    disks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    written = lambda: {n.rsplit("_", 2)[0] for d in disks for _, _, names in os.walk(d) for n in names if n.startswith("shuffle_")}
+    before = written()
+    df = spark.range(1000).selectExpr("id", "id % 7 as k").groupBy("k").applyInArrow(lambda t: t, "id long, k long")
+    table = common.stage(df, "test")
+    end = time.time() + 3  # executors delete them on their own
+    while written() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not written() - before
+    assert spark.conf.get(common.FREED) == "false" and sorted(r.id for r in table.collect()) == list(range(1000))
+
+
 def test_multikey_order_is_lexicographic():
     rng = np.random.default_rng(1)
     words, ids = rng.integers(0, 3, (500, 4)).astype(np.uint64), rng.integers(0, 3, 500)
