@@ -27,6 +27,15 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / F.when(n == 0, 1.0).otherwise(n))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x with so many digits as DuckDB's round() has it: the product with the power of ten is rounded, half away from zero,
+    and the sign of a zero stays. Spark's round() goes by the shortest decimal of x, whose halves are other ones."""
+    scale = F.lit(10.0**digits)
+    z = x * scale
+    r = F.rint(z)
+    return F.when((z - r == 0.5) & (z > 0), r + 1).when((z - r == -0.5) & (z < 0), r - 1).otherwise(r) / scale
+
+
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
     return e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
@@ -161,7 +170,7 @@ def hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("l2_normalize", "SELECT vec_id, list_transform(v, lambda x: round(x / CASE WHEN n = 0 THEN 1 ELSE n END, 9)) AS unit FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)")
 def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return corpus(spark, d).select("vec_id", F.transform(unit(F.col("v")), lambda x: F.round(x, 9)).alias("unit"))
+    return corpus(spark, d).select("vec_id", F.transform(unit(F.col("v")), lambda x: rounded(x, 9)).alias("unit"))
 
 
 @query("vector_blend", f"WITH {_E} SELECT a.vec_id, list_transform(list_zip(a.v, b.v), lambda x: round(0.7 * x[1] + 0.3 * x[2], 9)) AS blend FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
