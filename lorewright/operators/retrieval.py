@@ -41,8 +41,9 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
 
 
-#: Vectors of a block of rows, and of a block of queries; cells of one query whose best are merged at once.
-ROW_BLOCK, QUERY_BLOCK, FAN = 4096, 1024, 64
+#: Vectors of a block of rows, and of a block of queries; cells of one query whose best are merged at once; queries of a
+#: block whose scores are made exact at once.
+ROW_BLOCK, QUERY_BLOCK, FAN, EXACT = 4096, 1024, 64, 128
 
 
 def packed(vectors: DataFrame, columns: list[str], blocks: int, name: str, body: str) -> DataFrame:
@@ -63,43 +64,76 @@ def by_dimension(vectors: DataFrame, vector: str) -> dict[int, int]:
     return {r.dim: r["count"] for r in count}
 
 
-def _units(block: pa.Array, vector: str) -> np.ndarray:
-    """Vectors of a block by their lengths; a zero vector stays zero."""
-    x = block.field(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(block), -1)
-    n = np.sqrt((x * x).sum(axis=1))
-    return x / np.where(n == 0, 1.0, n)[:, None]
+def _vectors(block: pa.Array, vector: str) -> np.ndarray:
+    return block.field(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(block), -1)
 
 
-def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+def _inner(x: Iterator[np.ndarray], y: Iterator[np.ndarray]) -> np.ndarray:
+    """Inner products of vectors given by components, summed from the first component on as SQL sums a list."""
+    total = 0.0
+    for a, b in zip(x, y, strict=True):
+        total = total + a * b
+    return total
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """As rounded()."""
+    z = x * 10.0**digits
+    r = np.rint(z)
+    return (r + ((z - r == 0.5) & (z > 0)) - ((z - r == -0.5) & (z < 0)) if (np.abs(z - r) == 0.5).any() else r) / 10.0**digits
+
+
+def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool = False, weight: float | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): of all rows the k nearest to each query. queries: (query_id, q); rows: (vec_id, v).
 
+    A score is the cosine to nine digits; with `weight`, that times the weight to six digits, and rows are chosen by this.
     Blocks of queries and blocks of rows make a grid of matrix products, a task for each cell; of a cell only the k best of
-    each query are kept, and these are merged in a tree of FAN cells at a time. A query is held against the rows of its
-    own dimension; null and empty vectors take no part.
+    each query are kept, and these are merged in a tree of FAN cells at a time. Products only tell which rows may be among
+    the k best: these are scored again by sums in the order of the components, so that a score does not hang on its block.
+    A query is held against the rows of its own dimension; null and empty vectors take no part.
     """
     asked, held = by_dimension(queries, "q"), by_dimension(rows, "v")
-    parts = [_topk(queries.filter(F.size("q") == d), rows.filter(F.size("v") == d), asked[d], held[d], k, exclude_self) for d in sorted(asked.keys() & held)]
+    parts = [_topk(queries.filter(F.size("q") == d), rows.filter(F.size("v") == d), asked[d], held[d], k, exclude_self, weight) for d in sorted(asked.keys() & held)]
     if not parts:
         return queries.select("query_id", F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def _topk(queries: DataFrame, rows: DataFrame, n_queries: int, n_rows: int, k: int, exclude_self: bool) -> DataFrame:
+def _topk(queries: DataFrame, rows: DataFrame, n_queries: int, n_rows: int, k: int, exclude_self: bool, weight: float | None) -> DataFrame:
     blocks, parts = n_blocks(n_queries, QUERY_BLOCK), n_blocks(n_rows, ROW_BLOCK)
+    # twice what rounding moves a score by at most
+    slack = 2e-9 if weight is None else 1.1e-6 + 2e-9 * abs(weight)
+
+    def best_of(x: np.ndarray, y: np.ndarray, qid: np.ndarray, vid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of queries, ids and scores of the k best of each, best first."""
+        a, b = (np.sqrt(_inner(z.T, z.T)) for z in (x, y))
+        one = lambda z, n: z / np.where(n == 0, 1.0, n)[:, None]
+        s = one(x, a) @ one(y, b).T
+        if weight is not None:
+            s *= weight
+        s[np.isnan(s)] = -np.inf
+        if exclude_self:
+            s[qid[:, None] == vid[None, :]] = -np.inf
+        few = min(k, s.shape[1])
+        least = np.partition(s, s.shape[1] - few, axis=1)[:, s.shape[1] - few] - slack
+        i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        n = a[i] * b[j]
+        value = _inner((c[i] for c in x.T), (c[j] for c in y.T)) / np.where(n == 0, 1.0, n)
+        value = _rounded(np.where(n == 0, 0.0, value), 9)
+        if weight is not None:
+            value = _rounded(value * weight, 6)
+        order = np.lexsort((vid[j], -value, i))
+        i, j, value = i[order], j[order], value[order]
+        top = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[top], vid[j[top]], value[top]
 
     def run(asked: pa.Array, held: pa.Array, part: int) -> Iterator[pa.RecordBatch]:
-        x, y = _units(asked, "q"), _units(held, "v")
+        x, y = _vectors(asked, "q"), _vectors(held, "v")
         qid, vid = (z.to_numpy(zero_copy_only=False) for z in (asked.field("query_id"), held.field("vec_id")))
-        s = np.round(x @ y.T, 9) + 0.0
-        if exclude_self:
-            s[qid[:, None] == vid[None, :]] = -np.inf
-        order = np.argsort(vid, kind="stable")
-        vid, s = vid[order], s[:, order]
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(s, top, 1)
-        ok = value > -np.inf
-        n = int(ok.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, ok.sum(axis=1))), pa.array(np.full(n, part, np.int32)), pa.array(vid[top][ok]), pa.array(value[ok])], names=["query_id", "part", "vec_id", "score"])
+        for at in range(0, len(x), EXACT):
+            own = qid[at : at + EXACT]
+            i, found, value = best_of(x[at : at + EXACT], y, own, vid)
+            yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(np.full(len(i), part, np.int32)), pa.array(found), pa.array(value)], names=["query_id", "part", "vec_id", "score"])
 
     left = packed(queries, ["query_id", "q"], blocks, "block", "left_of")
     right = packed(rows, ["vec_id", "v"], parts, "part", "right_of")
@@ -161,11 +195,13 @@ def semantic_search_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query("hybrid_merge", f"WITH {_E}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round({_COS} * CASE WHEN b.label < 5 THEN 1.1 ELSE 1.0 END, 6) AS score FROM e a, e b WHERE a.vec_id % 100 = 0) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10")
 def hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Pages (labels 0 to 4) weigh 1.1 times as much as entities; the best ten of both. Ten of each side suffice."""
+    """Pages (labels 0 to 4) weigh 1.1 times as much as entities; the best ten of both. Ten of each side suffice, if they
+    are the best by the weighed score as it is rounded."""
     rows = corpus(spark, d)
     q = few_queries(rows)
-    both = cosine_topk(q, rows.filter("label < 5"), 10).withColumn("score", F.round(F.col("score") * 1.1, 6)).unionByName(cosine_topk(q, rows.filter("label >= 5"), 10).withColumn("score", F.round("score", 6)))
-    return both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).filter("rank <= 10")
+    side = lambda which, weight: cosine_topk(q, rows.filter(which), 10, weight=weight).drop("rank")
+    # a row without a label is an entity
+    return ranked(side("label < 5", 1.1).unionByName(side("coalesce(label >= 5, true)", 1.0)), ["query_id"], 10)
 
 
 @query("l2_normalize", "SELECT vec_id, list_transform(v, lambda x: round(x / CASE WHEN n = 0 THEN 1 ELSE n END, 9)) AS unit FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)")
