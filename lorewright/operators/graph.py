@@ -340,58 +340,75 @@ def both_sides(answer: str = "answer") -> Column:
     return F.explode(F.array(side("tail", "head", "tail"), side("head", "tail", "head"))).alias("q")
 
 
-def anchor_counts(q: DataFrame, vectors: DataFrame) -> DataFrame:
+def anchor_counts(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
     """(fixed, s, higher, least): for each anchor (fixed) and each score s that one of its answers has, how many of all
-    entities score higher, and how many at least as much. An anchor is scored against all entities once for ANSWERS answers:
-    its scores are sorted, and all its answers are found in them."""
-    pairs = stage(q.select("fixed", "s").distinct(), "anchor-scores")
+    entities score higher, and how many at least as much.
+
+    pairs: (fixed, s) distinct; shapes: (shape, v, n), a vector and how many entities have it; fixed is the shape of the
+    anchor. An anchor is scored against all shapes once for ANSWERS answers: its scores are sorted, and all its answers are
+    found in them.
+    """
+    pairs = stage(pairs, "anchor-scores")
     many = pairs.groupBy("fixed").agg(F.count("*").alias("n")).filter(F.col("n") > ANSWERS)
     # at most one anchor for each ANSWERS pairs
     pairs = pairs.join(F.broadcast(many), "fixed", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("s"), F.ceil(F.col("n") / ANSWERS)), F.lit(0)))
     anchors = pairs.groupBy("fixed", "piece").agg(F.collect_list("s").alias("s"))
-    anchors = stage(lookup(anchors, vectors.withColumnRenamed("node", "fixed"), ["fixed"]), "anchors")
-    blocks, parts = n_blocks(anchors.count(), QUERY_BLOCK), n_blocks(vectors.count(), ROW_BLOCK)
+    anchors = stage(lookup(anchors, shapes.select(F.col("shape").alias("fixed"), "v"), ["fixed"]), "anchors")
+    blocks, parts = n_blocks(anchors.count(), QUERY_BLOCK), n_blocks(shapes.count(), ROW_BLOCK)
 
     def run(asked: pa.Array, held: pa.Array, part: int) -> Iterator[pa.RecordBatch]:
         x, y = (z.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(z), -1) for z in (asked, held))
-        got = np.floor(x @ y.T * GRID + SHIFT)
+        got, n = np.floor(x @ y.T * GRID + SHIFT), held.field("n").to_numpy()
         s = asked.field("s")
         size, s = np.diff(s.offsets.to_numpy()), s.flatten().to_numpy(zero_copy_only=False)
         ends = np.cumsum(size)
         higher, least = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
         single = np.flatnonzero(size == 1)
         own = s[ends[single] - 1][:, None]
-        higher[ends[single] - 1], least[ends[single] - 1] = (got[single] > own).sum(axis=1), (got[single] >= own).sum(axis=1)
+        higher[ends[single] - 1], least[ends[single] - 1] = (got[single] > own) @ n, (got[single] >= own) @ n
         for i in np.flatnonzero(size > 1):
-            row, at = np.sort(got[i]), slice(ends[i] - size[i], ends[i])
-            higher[at], least[at] = len(row) - np.searchsorted(row, s[at], "right"), len(row) - np.searchsorted(row, s[at], "left")
+            order, at = np.argsort(got[i]), slice(ends[i] - size[i], ends[i])
+            row, before = got[i][order], np.concatenate([[0], np.cumsum(n[order])])
+            higher[at], least[at] = before[-1] - before[np.searchsorted(row, s[at], "right")], before[-1] - before[np.searchsorted(row, s[at], "left")]
         yield pa.RecordBatch.from_arrays([asked.field("fixed").take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(s), pa.array(higher), pa.array(least)], names=["fixed", "s", "higher", "least"])
 
     left = packed(anchors, ["fixed", "v", "s"], blocks, "block", "left_of")
-    right = packed(vectors, ["node", "v"], parts, "part", "right_of")
-    return grid(left, right, blocks, parts, run, "fixed string, s long, higher long, least long").groupBy("fixed", "s").agg(F.sum("higher").alias("higher"), F.sum("least").alias("least"))
+    right = packed(shapes, ["shape", "v", "n"], parts, "part", "right_of")
+    return grid(left, right, blocks, parts, run, "fixed long, s long, higher long, least long").groupBy("fixed", "s").agg(F.sum("higher").alias("higher"), F.sum("least").alias("least"))
 
 
 def filtered_ranks(triples: DataFrame, test: DataFrame, vectors: DataFrame) -> DataFrame:
     """For both sides of each test triple the rank of the right entity among all entities but other right answers.
 
-    triples and test are stored tables of distinct (head, relation, tail); vectors is a stored table (node, v). Each anchor
-    meets all entities once, whatever its number of questions. The right answers of a question's anchor and relation are
-    scored once too and counted by score; their running count, from the greatest score down, tells each answer how many
-    of them are before it. The work is that of triples plus distinct anchors times entities.
+    triples and test are stored tables of distinct (head, relation, tail); vectors is a stored table (node, v). Entities
+    of one vector are one shape, and scores are those of shapes. Each anchor's shape meets all shapes once, whatever its
+    number of questions. The right answers of a question's anchor and relation are counted by shape and by score; their
+    running count, from the greatest score down, tells each answer how many of them are before it. The work is that of
+    triples plus the shapes of anchors times all shapes.
     """
     n = vectors.count()
-    end = lambda name, key: vectors.select(F.col("node").alias(key), F.col("v").alias(name))
-    scored = lambda df, other: lookup(lookup(df, end("f", "fixed"), ["fixed"]), end("o", other), [other]).withColumn("s", score(F.col("f"), F.col("o"))).drop("f", "o")
-    q = stage(test.select("head", "relation", "tail", both_sides()).select("head", "relation", "tail", "q.*"), "questions")
-    q = stage(scored(q, "answer"), "questions")
-    counts = stage(anchor_counts(q, vectors), "counts")
+    shapes = stage(vectors.groupBy("v").agg(F.count("*").alias("n")).withColumn("shape", F.monotonically_increasing_id()), "shapes")
+    of = stage(lookup(vectors, shapes.select("v", "shape"), ["v"]).select("node", "shape"), "shape-of")
+    end = lambda key, name: of.select(F.col("node").alias(key), F.col("shape").alias(name))
+    vector = lambda key, name: shapes.select(F.col("shape").alias(key), F.col("v").alias(name))
+    shaped = lambda df, other: stage(lookup(stage(lookup(df, end("fixed", "f"), ["fixed"]), "half"), end(other, "o"), [other]).drop(other), "shaped")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """pairs of shapes (f, o) with their score s."""
+        pairs = stage(pairs.select("f", "o").distinct(), "pairs")
+        pairs = lookup(stage(lookup(pairs, vector("f", "x"), ["f"]), "half"), vector("o", "y"), ["o"])
+        return stage(pairs.select("f", "o", score(F.col("x"), F.col("y")).alias("s")), "scores")
+
+    q = shaped(stage(test.select("head", "relation", "tail", both_sides()).select("head", "relation", "tail", "q.*"), "questions"), "answer")
+    q = stage(lookup(q, scored(q), ["f", "o"]).drop("o"), "questions")
+    counts = stage(anchor_counts(q.select(F.col("f").alias("fixed"), "s").distinct(), shapes), "counts").withColumnRenamed("fixed", "f")
     groups = stage(q.select("relation", "side", "fixed").distinct(), "groups")
     known = triples.select("relation", both_sides("other")).select("relation", "q.*")
-    known = stage(lookup(known, groups, ["relation", "side", "fixed"]), "known")
-    known = scored(known, "other").groupBy("relation", "side", "fixed", "s").agg(F.count("*").alias("n"))
+    known = shaped(stage(lookup(known, groups, ["relation", "side", "fixed"]), "known"), "other")
+    known = stage(known.groupBy("relation", "side", "fixed", "f", "o").agg(F.count("*").alias("n")), "known")
+    known = lookup(known, scored(known), ["f", "o"]).groupBy("relation", "side", "fixed", "s").agg(F.sum("n").alias("n"))
     known = stage(running(known, ["relation", "side", "fixed"], [F.col("s").desc()], "n"), "running")
-    j = lookup(lookup(q, counts, ["fixed", "s"]), known, ["relation", "side", "fixed", "s"])
+    j = lookup(stage(lookup(q, counts, ["f", "s"]), "counted"), known, ["relation", "side", "fixed", "s"])
     # `before` right answers score higher, n as much, the answer itself among them
     return j.select(
         "head", "relation", "tail", "side", (F.col("higher") - F.col("before") + 1).alias("optimistic"),
