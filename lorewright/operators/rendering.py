@@ -10,7 +10,7 @@ from ..functions.text import decode_entities, sql_decode
 from ..joins import lookup
 from ..registry import query, read
 from ..staging import scratch, stage
-from .families import CONSTANT, FORMS, FRAMES, LABELS, LEFT_BEHIND, READABLE, RULES, text_of, title_case
+from .families import CONSTANT, FORMS, FRAMES, LABELS, LEFT_BEHIND, READABLE, RULES, text_of, title_case, value
 from .templates import _OLD_SQL, _sql_rules, apply_rules, issues, legacy_fixed, templates
 
 
@@ -92,6 +92,51 @@ def template_rows(pages: DataFrame, key: str, raw: str) -> DataFrame:
     return j.select(key, "pos", "s", "e", "name", "family", "params", F.coalesce("labelled", fixed, F.lit("")).alias("text"))
 
 
+def family(low: Column) -> Column:
+    """The family of a lowered name, as dispatch() deals it."""
+    out = None
+    for kind, word, also, to in RULES:
+        hit = {"exact": low == word, "prefix": F.startswith(low, F.lit(word)), "suffix": F.endswith(low, F.lit(word)), "inner": F.contains(low, F.lit(word))}[kind]
+        hit = hit if also is None else hit & F.contains(low, F.lit(also))
+        out = F.when(hit, to) if out is None else out.when(hit, to)
+    return out.otherwise("generic")
+
+
+def _let(x: Column, f) -> Column:
+    """f of x, with x evaluated once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def labelled_text(of: str, name: Column, params: Column) -> Column:
+    """What labelled() gives for a template of the family, within its row."""
+    head, sep, tail, none = FRAMES[of]
+    named = LABELS.get(of, {}) | ({f"{k}{n}": f"{v} (Form {n})" for k, (v, ns) in FORMS.items() for n in ns} if of == "infobox" else {})
+    label = (lambda key: F.element_at(F.create_map(*(F.lit(x) for kv in named.items() for x in kv)), F.trim(F.lower(key)))) if named else (lambda key: F.lit(None).cast("string"))
+    first = F.filter(params, lambda p, i: ~F.exists(F.slice(params, F.lit(1), i), lambda q: q["key"] == p["key"]))
+    rows = F.transform(first, lambda p: F.struct(p["key"].alias("key"), value(params, p["key"]).alias("value"), label(p["key"]).alias("label")))
+    counts = {"combat stats": lambda p: p["label"].isNotNull(), "generic": lambda p: (p["value"] != "") & ~F.startswith(p["key"], F.lit("_"))}.get(of, lambda p: p["value"] != "")
+    lines = F.transform(F.filter(rows, counts), lambda p: F.concat(F.coalesce(p["label"], title_case(F.replace(p["key"], F.lit("_"), F.lit(" ")))), F.lit(": "), p["value"]))
+    bare = F.trim(F.replace(name, F.lit("Infobox"), F.lit("")))
+    head = {"infobox": F.when(bare != "", F.concat(F.lit("=== "), bare, F.lit(" Information ==="))).otherwise(""), "generic": name}.get(of, F.lit(head))
+    between = F.when((head == "") | F.endswith(head, F.lit(" ")), "").otherwise(": " if of == "generic" else sep)
+    empty = F.concat(head, F.lit(tail)) if none is None else F.lit(none)
+    return _let(lines, lambda x: F.when(F.size(x) == 0, empty).otherwise(F.concat(head, between, F.array_join(x, sep), F.lit(tail))))
+
+
+def pieces_of(t: Column) -> Column:
+    """(s, e, text) of the outermost templates of a text, in order, within its row."""
+    rows = F.transform(templates(t), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["name"].alias("name"), x["params"].alias("params"), F.lower(x["name"]).alias("low")))
+    rows = F.transform(rows, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["name"].alias("name"), x["params"].alias("params"), family(x["low"]).alias("family")))
+
+    def text(x: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for of in FRAMES:
+            out = out.when(x["family"] == of, labelled_text(of, x["name"], x["params"]))
+        return F.coalesce(out.otherwise(text_of(x["name"], x["family"], x["params"])), F.lit(""))
+
+    return F.transform(rows, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), text(x).alias("text")))
+
+
 def put_back(t: Column, pieces: Column) -> Column:
     """t with each span (s, e) of the sorted pieces replaced by its text."""
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -102,13 +147,11 @@ def put_back(t: Column, pieces: Column) -> Column:
 def rendered(pages: DataFrame, key: str, raw: str, text: str | None = None) -> DataFrame:
     """(key, rendered): pages with each outermost template replaced by what it stands for; those without any as they are.
 
-    With `text`, a page whose raw text is null or empty has that text rendered in its place.
+    With `text`, a page whose raw text is null or empty has that text rendered in its place. A page is rendered within its
+    row: nothing is shuffled or stored.
     """
-    pages = pages.withColumn("from_", F.col(raw) if text is None else F.when(F.coalesce(raw, F.lit("")) == "", F.col(text)).otherwise(F.col(raw)))
-    rows = template_rows(pages, key, "from_")
-    pieces = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "e", "text"))).alias("pieces"))
-    j = pages.join(pieces, key, "left")
-    return j.select(key, F.when(F.col("pieces").isNull(), F.col("from_")).otherwise(put_back(F.col("from_"), F.col("pieces"))).alias("rendered"))
+    from_ = F.col(raw) if text is None else F.when(F.coalesce(raw, F.lit("")) == "", F.col(text)).otherwise(F.col(raw))
+    return pages.select(key, from_.alias("from_")).select(key, put_back(F.col("from_"), pieces_of(F.col("from_"))).alias("rendered"))
 
 
 def readable(t: Column) -> Column:
@@ -210,15 +253,20 @@ _PLAIN_SQL = "p_name || ' {{GP|' || p_size || '}}'"
 _WANT_SQL = f"CASE WHEN p_size % 5 = 0 THEN p_name || ' ' || p_size || ' coins' ELSE {_SHOWN_SQL} END"
 
 
+#: Pages of one task: a file of parts that one task reads becomes pages of a thousand times its bytes.
+PAGES = 1024
+
+
 def pages_of_all_families(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").selectExpr("p_partkey", f"CASE WHEN p_size % 5 <> 0 THEN {_PAGE_SQL} END AS raw", f"{_PLAIN_SQL} AS text")
+    part = read(spark, d, "part")
+    part = part.repartition(max(1, -(-part.count() // PAGES)), "p_partkey")
+    return part.selectExpr("p_partkey", f"CASE WHEN p_size % 5 <> 0 THEN {_PAGE_SQL} END AS raw", f"{_PLAIN_SQL} AS text")
 
 
 @query("template_render", f"SELECT p_partkey, {_WANT_SQL} AS text FROM part")
 def template_render(spark: SparkSession, d: str) -> DataFrame:
     """Whole pages over all families; a page without raw text is rendered from its text."""
-    with scratch(spark) as keep:
-        return keep(rendered(pages_of_all_families(spark, d), "p_partkey", "raw", "text").withColumnRenamed("rendered", "text"))
+    return rendered(pages_of_all_families(spark, d), "p_partkey", "raw", "text").withColumnRenamed("rendered", "text")
 
 
 @query("template_dispatch", "SELECT family, count(*) AS templates FROM (" + " UNION ALL ".join(f"SELECT '{family}' AS family FROM part" for family in [
